@@ -1,0 +1,488 @@
+"""Every operator as a query over the test tables."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+import tallyfold as tf
+from checks.views import (
+    PREDICTED,
+    WINDOWS,
+    dirty,
+    purchases,
+    retail,
+    supplier_country,
+    table,
+)
+from tallyfold.functions import numbers
+from tallyfold.operators import cleaning, rfm
+from tallyfold.operators.scoring import segment_sizes, segment_value
+from tallyfold.plans import forecast
+from tallyfold.session import shared_folder
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+# The SQL side repeats this one start; the library's default tries three.
+START = ("quantile",)
+QUERIES: dict[str, Query] = {}
+
+
+def query(function: Query) -> Query:
+    QUERIES[function.__name__] = function
+    return function
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Double results that engines add up in different orders, to six places."""
+    return df.withColumns({c: F.round(F.col(c), 6) for c in columns})
+
+
+# Files
+
+
+def _scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def _csv_copy(spark: SparkSession, sf_dir: str) -> str:
+    path = _scratch_path(spark, "invoices.csv")
+    dirty(spark, sf_dir).write.csv(path, header=True, escape='"', emptyValue="")
+    return path
+
+
+@query
+def scan_csv(spark, sf_dir):
+    return tf.read_transactions(spark, _csv_copy(spark, sf_dir))
+
+
+@query
+def scan_json(spark, sf_dir):
+    path = _scratch_path(spark, "invoices.jsonl")
+    dirty(spark, sf_dir).write.json(path)
+    return tf.read_transactions(spark, path)
+
+
+@query
+def scan_dispatch(spark, sf_dir):
+    path = _scratch_path(spark, "invoices.PARQUET")
+    dirty(spark, sf_dir).write.parquet(path)
+    return tf.read_transactions(spark, path)
+
+
+@query
+def records_json(spark, sf_dir):
+    clean = cleaning.lowercase_all(retail(spark, sf_dir), keep=["invoicedate"])
+    return tf.records_json(clean)
+
+
+# Cleaning
+
+
+@query
+def normalise_missing(spark, sf_dir):
+    return cleaning.normalise_missing(dirty(spark, sf_dir))
+
+
+@query
+def drop_incomplete(spark, sf_dir):
+    return cleaning.drop_incomplete(cleaning.normalise_missing(dirty(spark, sf_dir)))
+
+
+@query
+def incomplete_rows(spark, sf_dir):
+    return cleaning.incomplete_rows(cleaning.normalise_missing(dirty(spark, sf_dir)))
+
+
+@query
+def lowercase_all(spark, sf_dir):
+    return cleaning.lowercase_all(dirty(spark, sf_dir))
+
+
+@query
+def normalise_names(spark, sf_dir):
+    return cleaning.normalise_names(dirty(spark, sf_dir))
+
+
+@query
+def parse_dates(spark, sf_dir):
+    named = cleaning.normalise_names(dirty(spark, sf_dir, bad_dates=True))
+    return cleaning.parse_dates(named, strict=False).select("invoiceno", "invoicedate")
+
+
+@query
+def lenient_numbers(spark, sf_dir):
+    df = cleaning.normalise_names(dirty(spark, sf_dir))
+    return df.select(
+        "invoiceno",
+        numbers.lenient_number(df, "quantity").cast("double").alias("quantity"),
+        numbers.line_value(df, lenient=True).cast("double").alias("monetary"),
+    )
+
+
+@query
+def line_value(spark, sf_dir):
+    df = retail(spark, sf_dir, *PREDICTED)
+    return df.select(
+        "customerid", "invoicedate", numbers.line_value(df).cast("double").alias("monetary")
+    )
+
+
+@query
+def clean_transactions(spark, sf_dir):
+    return tf.clean(tf.read_transactions(spark, _csv_copy(spark, sf_dir)))
+
+
+# Monthly description
+
+
+def _describe(df: DataFrame, metric: str, **options) -> DataFrame:
+    return tf.describe(df, metric, **options).drop("month_start")
+
+
+@query
+def month_list(spark, sf_dir):
+    return tf.month_list(retail(spark, sf_dir, "invoicedate")).select("month")
+
+
+@query
+def country_list(spark, sf_dir):
+    return tf.country_list(retail(spark, sf_dir, "country"))
+
+
+@query
+def monthly_revenue(spark, sf_dir):
+    return _describe(retail(spark, sf_dir, "invoicedate", "quantity", "unitprice"), "revenue")
+
+
+@query
+def monthly_revenue_lenient(spark, sf_dir):
+    return _describe(tf.clean(dirty(spark, sf_dir).drop("Invoice No")), "revenue")
+
+
+@query
+def monthly_revenue_growth(spark, sf_dir):
+    df = retail(spark, sf_dir, "invoicedate", "quantity", "unitprice")
+    return _rounded(_describe(df, "revenue_growth"), "revenue_growth")
+
+
+@query
+def monthly_quantity(spark, sf_dir):
+    return _describe(retail(spark, sf_dir, "invoicedate", "quantity"), "quantity")
+
+
+@query
+def monthly_customers(spark, sf_dir):
+    return _describe(retail(spark, sf_dir, "invoicedate", "customerid"), "customers")
+
+
+@query
+def monthly_transactions(spark, sf_dir):
+    return _describe(retail(spark, sf_dir, "invoicedate"), "transactions")
+
+
+@query
+def monthly_revenue_country(spark, sf_dir):
+    return _describe(retail(spark, sf_dir), "revenue", country="nation_3")
+
+
+@query
+def monthly_customers_country(spark, sf_dir):
+    return _describe(retail(spark, sf_dir), "customers", country="nation_3")
+
+
+@query
+def monthly_revenue_fallback(spark, sf_dir):
+    return _describe(retail(spark, sf_dir), "revenue", country="atlantis", empty_means_all=True)
+
+
+# Recency, frequency, monetary value
+
+
+@query
+def last_purchase(spark, sf_dir):
+    return rfm.last_purchase(retail(spark, sf_dir, "customerid", "invoicedate"))
+
+
+@query
+def recency(spark, sf_dir):
+    return rfm.recency(retail(spark, sf_dir, "customerid", "invoicedate"))
+
+
+@query
+def recency_purchases(spark, sf_dir):
+    return rfm.recency(purchases(spark, sf_dir))
+
+
+@query
+def frequency(spark, sf_dir):
+    return rfm.frequency(retail(spark, sf_dir, "customerid", "invoicedate"))
+
+
+@query
+def monetary(spark, sf_dir):
+    return rfm.monetary(retail(spark, sf_dir, "customerid", "quantity", "unitprice"))
+
+
+@query
+def distinct_customers(spark, sf_dir):
+    return rfm.distinct_customers(retail(spark, sf_dir, "customerid"))
+
+
+@query
+def customer_countries(spark, sf_dir):
+    return rfm.customer_countries(supplier_country(spark, sf_dir))
+
+
+@query
+def rfm_metrics(spark, sf_dir):
+    return tf.rfm_metrics(retail(spark, sf_dir, *PREDICTED))
+
+
+@query
+def rfm_by_country(spark, sf_dir):
+    return tf.rfm_by_country(supplier_country(spark, sf_dir))
+
+
+# Clusters and segments
+
+
+def _metric_clusters(metric: str, method: str) -> Query:
+    def run(spark, sf_dir):
+        df = tf.rfm_metrics(retail(spark, sf_dir, *PREDICTED)).select("customerid", metric)
+        return tf.cluster_1d(df, metric, 4, f"{metric}_cluster", method=method, starts=START)
+
+    return run
+
+
+for _metric in ("recency", "frequency", "monetary"):
+    QUERIES[f"{_metric}_clusters"] = _metric_clusters(_metric, "lloyd")
+    QUERIES[f"{_metric}_clusters_ml"] = _metric_clusters(_metric, "ml")
+
+
+@query
+def order_cluster(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_suppkey") % 7).alias("label"), "l_extendedprice"
+    )
+    return tf.order_cluster(lines, "label", "l_extendedprice", ascending=False)
+
+
+def _segments(spark, sf_dir) -> DataFrame:
+    return tf.segment(retail(spark, sf_dir), starts=START)
+
+
+def _window_segments(spark, sf_dir) -> DataFrame:
+    slice_ = tf.window_slice(retail(spark, sf_dir, *PREDICTED), WINDOWS.rfm_start, WINDOWS.rfm_end)
+    return tf.segment(slice_, profile="window", starts=START)
+
+
+@query
+def rfm_segments(spark, sf_dir):
+    return _segments(spark, sf_dir)
+
+
+@query
+def rfm_segments_many_countries(spark, sf_dir):
+    return tf.segment(supplier_country(spark, sf_dir), starts=START)
+
+
+@query
+def segment_counts(spark, sf_dir):
+    return tf.segment_counts(_segments(spark, sf_dir))
+
+
+@query
+def segment_counts_country(spark, sf_dir):
+    return tf.segment_counts(_segments(spark, sf_dir), country="nation_3")
+
+
+@query
+def scatter_rvsm(spark, sf_dir):
+    return tf.scatter(_segments(spark, sf_dir), "recency", "monetary")
+
+
+@query
+def scatter_rvsf(spark, sf_dir):
+    return tf.scatter(_segments(spark, sf_dir), "recency", "frequency", country="nation_3")
+
+
+@query
+def scatter_fvsm(spark, sf_dir):
+    return tf.scatter(_segments(spark, sf_dir), "frequency", "monetary")
+
+
+# Windows
+
+
+@query
+def window_slice(spark, sf_dir):
+    sliced = tf.window_slice(retail(spark, sf_dir), WINDOWS.rfm_start, WINDOWS.rfm_end)
+    amounts = ("quantity", "unitprice")
+    return sliced.withColumns({c: F.col(c).cast("double") for c in amounts})
+
+
+@query
+def window_segments(spark, sf_dir):
+    return _window_segments(spark, sf_dir)
+
+
+@query
+def window_customer_count(spark, sf_dir):
+    slice_ = window_slice(spark, sf_dir)
+    return rfm.distinct_customers(slice_).agg(F.count("customerid").alias("customerid"))
+
+
+@query
+def window_segment_counts(spark, sf_dir):
+    return segment_sizes(_window_segments(spark, sf_dir))
+
+
+@query
+def window_segment_value(spark, sf_dir):
+    return _rounded(segment_value(_window_segments(spark, sf_dir)), "monetary")
+
+
+@query
+def score_profile(spark, sf_dir):
+    means = ("mean_recency", "mean_frequency", "mean_monetary")
+    return _rounded(tf.score_profile(_window_segments(spark, sf_dir)), *means)
+
+
+@query
+def future_revenue(spark, sf_dir):
+    return tf.future_revenue(retail(spark, sf_dir, *PREDICTED), WINDOWS.pred_start, WINDOWS.pred_end)
+
+
+@query
+def future_revenue_joined(spark, sf_dir):
+    df = retail(spark, sf_dir, *PREDICTED)
+    scored = rfm.distinct_customers(df.filter(WINDOWS.scored))
+    return tf.with_future_revenue(
+        scored, tf.future_revenue(df, WINDOWS.pred_start, WINDOWS.pred_end)
+    )
+
+
+@query
+def revenue_p99(spark, sf_dir):
+    found = tf.column_quantiles(future_revenue_joined(spark, sf_dir), "future_revenue", (0.99,))
+    return found.select(F.round("value", 6).alias("p99"))
+
+
+@query
+def outlier_trim(spark, sf_dir):
+    return tf.outlier_trim(future_revenue_joined(spark, sf_dir), "future_revenue")
+
+
+# Value clusters
+
+
+def _ltv(spark, sf_dir) -> DataFrame:
+    df = retail(spark, sf_dir, *PREDICTED)
+    return tf.future_value(
+        df, WINDOWS.rfm_start, WINDOWS.rfm_end, WINDOWS.pred_start, WINDOWS.pred_end, starts=START
+    )
+
+
+@query
+def ltv_clusters(spark, sf_dir):
+    return _ltv(spark, sf_dir)
+
+
+@query
+def ltv_describe(spark, sf_dir):
+    return _rounded(tf.ltv_describe(_ltv(spark, sf_dir)), "value")
+
+
+@query
+def ltv_counts(spark, sf_dir):
+    return forecast.ltv_counts(_ltv(spark, sf_dir))
+
+
+@query
+def ltv_revenue(spark, sf_dir):
+    return _rounded(forecast.ltv_revenue(_ltv(spark, sf_dir)), "future_revenue")
+
+
+@query
+def class_balance(spark, sf_dir):
+    return _rounded(tf.class_balance(_ltv(spark, sf_dir)), "share")
+
+
+@query
+def value_report(spark, sf_dir):
+    df = retail(spark, sf_dir, *PREDICTED)
+    return _rounded(tf.value_report(df, WINDOWS, starts=START), "value")
+
+
+@query
+def report_json(spark, sf_dir):
+    return tf.report_json(value_report(spark, sf_dir))
+
+
+# Classification
+
+
+@query
+def segment_onehot(spark, sf_dir):
+    return tf.segment_onehot(_window_segments(spark, sf_dir).select("customerid", "segment"))
+
+
+@query
+def ltv_features(spark, sf_dir):
+    return tf.ltv_features(_ltv(spark, sf_dir))
+
+
+@query
+def train_test_split(spark, sf_dir):
+    return tf.split(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("customerid")))
+
+
+@query
+def ltv_predictions(spark, sf_dir):
+    return tf.train_predict(_ltv(spark, sf_dir), algo="boosted")
+
+
+@query
+def ltv_predictions_forest(spark, sf_dir):
+    return tf.train_predict(_ltv(spark, sf_dir), algo="forest")
+
+
+def _guesses(spark, sf_dir) -> DataFrame:
+    """Value clusters against a guess from the money score, held-out customers only."""
+    return tf.split(_ltv(spark, sf_dir)).filter("is_test").select(
+        F.col("ltv_cluster").alias("label"),
+        F.least(F.col("monetary_cluster"), F.lit(2)).alias("prediction"),
+    )
+
+
+@query
+def accuracy(spark, sf_dir):
+    return _rounded(tf.accuracy(_guesses(spark, sf_dir)), "accuracy")
+
+
+@query
+def classification_report(spark, sf_dir):
+    report = tf.classification_report(_guesses(spark, sf_dir))
+    return _rounded(report, "precision", "recall", "f1")
+
+
+@query
+def classification_report_lines(spark, sf_dir):
+    """Every order line: return flag against a rule, one class of which never occurs."""
+    flag = F.col("l_returnflag")
+    pairs = table(spark, sf_dir, "lineitem").select(
+        F.when(flag == "A", 0).when(flag == "N", 1).when(flag == "R", 2).otherwise(3).alias("label"),
+        F.when(F.col("l_linestatus") == "F", 0).when(F.col("l_quantity") > 25, 1).otherwise(4).alias("prediction"),
+    )
+    return _rounded(tf.classification_report(pairs), "precision", "recall", "f1")
+
+
+@query
+def classifier_report(spark, sf_dir):
+    """The report of a trained forest on the customers it has not seen."""
+    predictions = tf.train_predict(_ltv(spark, sf_dir), algo="forest")
+    return tf.classification_report(predictions.filter("is_test"))
