@@ -155,13 +155,16 @@ def report_json(summaries: DataFrame) -> DataFrame:
     At most a few dozen rows by now: one per section, segment or cluster, and stat.
     """
     cells = summaries.groupBy("section", "stat").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("values")
+        F.to_json(
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value"))))
+        ).alias("cell")
     )
     flat = F.col("stat") == ""
+    stats = F.when(~flat, F.concat(F.lit('"'), "stat", F.lit('":'), "cell"))
     sections = cells.groupBy("section").agg(
-        F.first(F.when(flat, F.to_json("values")), ignorenulls=True).alias("flat"),
-        F.to_json(
-            F.map_from_entries(F.array_sort(F.collect_list(F.when(~flat, F.struct("stat", "values")))))
+        F.max(F.when(flat, F.col("cell"))).alias("flat"),
+        F.concat(
+            F.lit("{"), F.array_join(F.array_sort(F.collect_list(stats)), ","), F.lit("}")
         ).alias("nested"),
     )
     pair = F.concat(F.lit('"'), "section", F.lit('":'), F.coalesce("flat", "nested"))
