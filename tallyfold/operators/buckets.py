@@ -2,7 +2,7 @@
 
 Spark reduces a table to a histogram (series, value, rows) and sums ranges of it.
 The driver holds only range totals. Where a question falls inside a range, Spark
-splits that range into at most ``FANOUT`` finer ones and sums them again, until the
+splits that range into a fixed number of finer ones and sums them again, until the
 answer is exact. So no task and no driver ever holds all values of a column, which
 the built-in ``percentile`` needs, and a value shared by a third of all rows is one
 row of the histogram.
@@ -11,29 +11,39 @@ row of the histogram.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from decimal import Context, Decimal
-from functools import reduce
 from itertools import accumulate
-from operator import or_
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FANOUT = 2048
-# Ranges split by one job; the driver receives at most this many times FANOUT rows.
-SPLITS_PER_JOB = 64
+from tallyfold.errors import InvalidDataset
+
+# Finer ranges per split: many for the first one of a whole column, so that columns of
+# moderate size need little more, fewer for the many small splits that may follow.
+FIRST_FANOUT, FANOUT = 65536, 512
+# Ranges split by one job: bounds what is broadcast, and the rows that reach the driver.
+SPLITS_PER_JOB = 512
+# Columns or groups at a time; each holds FIRST_FANOUT totals on the driver.
+MAX_SERIES = 64
 VALUE = "decimal(24,4)"
 UNITS = 10**4
 _DIGITS = Context(prec=60)
 
+Thresholds = Mapping[object, Iterable[float]]
+
 
 @dataclass(frozen=True)
 class Bucket:
-    """Totals of the values from ``low`` to ``high``, in units of 1/10000."""
+    """Totals of the values from ``low`` to ``high``, in units of 1/10000.
+
+    ``slot`` is the range of the first split that it lies in.
+    """
 
+    slot: int
     low: int
     high: int
     rows: int
@@ -76,9 +86,17 @@ class ValueBuckets:
         self._totals: dict[object, list[int]] = {}
 
     def __enter__(self) -> ValueBuckets:
-        self._hist = self._hist.persist(StorageLevel.MEMORY_AND_DISK)
-        for row in self._hist.groupBy("series").agg(*_totals()).collect():
-            self._store(row["series"], [_bucket(row)])
+        hist = self._hist.persist(StorageLevel.MEMORY_AND_DISK)
+        whole = hist.groupBy("series").agg(*_totals()).limit(MAX_SERIES + 1).collect()
+        if len(whole) > MAX_SERIES:
+            raise InvalidDataset(f"more than {MAX_SERIES} groups")
+        bounds = {row["series"]: _bucket(row, 0) for row in whole}
+        self._keyed = hist.withColumn("slot", _first_slot(bounds))
+        found: dict[object, list[Bucket]] = {s: [] for s in bounds}
+        for row in self._keyed.groupBy("series", "slot").agg(*_totals()).collect():
+            found[row["series"]].append(_bucket(row, row["slot"]))
+        for s, buckets in found.items():
+            self._store(s, sorted(buckets, key=lambda b: b.low))
         return self
 
     def __exit__(self, *exc: object) -> None:
@@ -100,23 +118,36 @@ class ValueBuckets:
     def total(self, series: object) -> int:
         return self._totals[series][-1]
 
-    def settle(self, thresholds: Mapping[object, Iterable[float]]) -> None:
-        """Split until no bucket has values on both sides of any threshold."""
-        self._refine(
-            lambda: {
-                (s, i) for s, points in thresholds.items() for t in points
-                if (i := self._straddling(s, t)) is not None
-            }
-        )
+    def settle(
+        self,
+        thresholds: Thresholds,
+        ahead: Callable[[], Thresholds] = dict,
+    ) -> None:
+        """Split until no bucket has values on both sides of any threshold.
+
+        ``ahead`` foresees thresholds that will be asked for next; the buckets around
+        those are split by the same jobs.
+        """
+        while wanted := self._straddled(thresholds):
+            self._split(list(dict.fromkeys(wanted + self._straddled(ahead()))))
 
     def settle_ranks(self, ranks: Mapping[object, Iterable[int]]) -> None:
         """Split until the value at each rank (from 0) is known."""
-        self._refine(
-            lambda: {
-                (s, i) for s, places in ranks.items() for r in places
-                if (i := self._undecided(s, r)) is not None
-            }
-        )
+        while wanted := [
+            (s, i) for s, places in ranks.items() for r in places
+            if (i := self._undecided(s, r)) is not None
+        ]:
+            self._split(list(dict.fromkeys(wanted)))
+
+    def estimate(self, series: object, threshold: float) -> tuple[float, float]:
+        """About what ``below`` will say, from the buckets as they are."""
+        rows, total = self.below(series, threshold)
+        i = self._straddling(series, threshold)
+        if i is None:
+            return rows, total
+        b = self._buckets[series][i]
+        share = (threshold * UNITS - b.low) / (b.high - b.low)
+        return rows + b.rows * share, total + b.rows * share * (b.low + threshold * UNITS) / 2
 
     def below(self, series: object, threshold: float) -> tuple[int, int]:
         """Rows and sum (in units) of the values up to a settled threshold."""
@@ -163,29 +194,37 @@ class ValueBuckets:
             return None
         return bisect_right(self._rows[series], rank)
 
-    def _refine(self, wanted) -> None:
-        while targets := sorted(wanted())[:SPLITS_PER_JOB]:
-            self._split(targets)
+    def _straddled(self, thresholds: Thresholds) -> list[tuple[object, int]]:
+        return [
+            (s, i) for s, points in thresholds.items() for t in points
+            if (i := self._straddling(s, t)) is not None
+        ]
+
+    def _split(self, targets: Sequence[tuple[object, int]]) -> None:
+        """Replace buckets by finer ones: one job over the histogram for all of them.
 
-    def _split(self, targets: list[tuple[object, int]]) -> None:
-        """Replace buckets by finer ones: one job over the histogram for all of them."""
+        The ranges to split go along as a small table, joined on the slot of the
+        first split: a row of the histogram meets only the ranges of its own slot.
+        """
+        targets = targets[:SPLITS_PER_JOB]
         chosen = [(s, self._buckets[s][i]) for s, i in targets]
-        inside = [
-            (F.col("series") == s) & F.col("value").between(_decimal(b.low), _decimal(b.high))
-            for s, b in chosen
-        ]
-        slots = [
-            F.when(condition, F.lit(n * FANOUT) + _slot(b))
-            for n, (condition, (_, b)) in enumerate(zip(inside, chosen))
-        ]
+        kind = self._keyed.schema["series"].dataType.simpleString()
+        ranges = self._keyed.sparkSession.createDataFrame(
+            [
+                (n, s, b.slot, _decimal(b.low), _decimal(b.high), FANOUT * UNITS / (b.high - b.low))
+                for n, (s, b) in enumerate(chosen)
+            ],
+            f"target int, series {kind}, slot int, start {VALUE}, end {VALUE}, factor double",
+        )
         finer: dict[int, list[Bucket]] = {n: [] for n in range(len(chosen))}
         summed = (
-            self._hist.filter(reduce(or_, inside))
-            .groupBy(F.coalesce(*slots).alias("slot"))
+            self._keyed.join(F.broadcast(ranges), ["series", "slot"])
+            .filter(F.col("value").between(F.col("start"), F.col("end")))
+            .groupBy("target", _step(F.col("start"), F.col("factor"), FANOUT))
             .agg(*_totals())
         )
         for row in summed.collect():
-            finer[row["slot"] // FANOUT].append(_bucket(row))
+            finer[row["target"]].append(_bucket(row, chosen[row["target"]][1].slot))
         replaced: dict[object, dict[int, list[Bucket]]] = {}
         for n, (s, i) in enumerate(targets):
             replaced.setdefault(s, {})[i] = sorted(finer[n], key=lambda b: b.low)
@@ -204,24 +243,36 @@ def _totals() -> list[Column]:
     ]
 
 
-def _bucket(row) -> Bucket:
-    return Bucket(_units(row["low"]), _units(row["high"]), row["rows"], _units(row["total"]))
+def _bucket(row, slot: int) -> Bucket:
+    return Bucket(
+        slot, _units(row["low"]), _units(row["high"]), row["rows"], _units(row["total"])
+    )
 
 
 def _units(value: Decimal) -> int:
     return int(value.scaleb(4, _DIGITS))
 
 
-def _decimal(units: int) -> Column:
-    return F.lit(format(Decimal(units).scaleb(-4, _DIGITS), "f")).cast(VALUE)
+def _decimal(units: int) -> Decimal:
+    return Decimal(units).scaleb(-4, _DIGITS)
 
 
-def _slot(bucket: Bucket) -> Column:
-    """Which of FANOUT equal steps from low to high a value lies in.
+def _step(start: Column, factor: Column, fanout: int) -> Column:
+    """Which of ``fanout`` equal steps from the start of a range a value lies in.
 
-    Rounding here only shifts step edges: the slot never falls as the value rises,
-    low is in the first one and high in the last, so every split makes progress.
+    Rounding here only shifts step edges: the step never falls as the value rises,
+    the lowest value is in the first and the highest in the last, so every split
+    makes progress.
     """
-    factor = FANOUT * UNITS / (bucket.high - bucket.low)
-    offset = (F.col("value") - _decimal(bucket.low)).cast("double")
-    return F.least(F.floor(offset * factor).cast("int"), F.lit(FANOUT - 1))
+    offset = (F.col("value") - start).cast("double")
+    return F.least(F.floor(offset * factor).cast("int"), F.lit(fanout - 1))
+
+
+def _first_slot(bounds: Mapping[object, Bucket]) -> Column:
+    slot = F.lit(0)
+    for s, b in bounds.items():
+        if b.low < b.high:
+            low = F.lit(str(_decimal(b.low))).cast(VALUE)
+            factor = F.lit(FIRST_FANOUT * UNITS / (b.high - b.low))
+            slot = F.when(F.col("series") == s, _step(low, factor, FIRST_FANOUT)).otherwise(slot)
+    return slot

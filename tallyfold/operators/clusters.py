@@ -7,7 +7,7 @@ of comparisons with the k-1 midpoints: a projection, without a join or a shuffle
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -24,6 +24,9 @@ from tallyfold.session import materialise
 STARTS = ("quantile", "range", "farthest")
 MAX_STEPS = 60
 
+# A series and the start it is clustered from.
+Run = tuple[object, str]
+
 
 @dataclass(frozen=True)
 class Clusters:
@@ -49,16 +52,19 @@ def _midpoints(centres: Sequence[float]) -> list[float]:
     return [(a + b) / 2 for a, b in zip(centres, centres[1:])]
 
 
-def _shares(buckets: ValueBuckets, series: object, centres: Sequence[float]) -> list[tuple[int, int]]:
-    """Rows and sum of each cluster; a value on a midpoint belongs to the lower one."""
-    edges = [(0, 0), *(buckets.below(series, m) for m in _midpoints(centres))]
+def _shares(below, buckets: ValueBuckets, series: object, centres: Sequence[float]) -> list[tuple]:
+    """Rows and sum of each cluster; a value on a midpoint belongs to the lower one.
+
+    ``below`` is the exact count and sum up to a threshold, or an estimate of them.
+    """
+    edges = [(0, 0), *(below(series, m) for m in _midpoints(centres))]
     edges.append((buckets.rows(series), buckets.total(series)))
     return [(n - m, t - s) for (m, s), (n, t) in zip(edges, edges[1:])]
 
 
-def _moved(centres: Sequence[float], shares: Sequence[tuple[int, int]]) -> tuple[float, ...]:
+def _moved(centres: Sequence[float], shares: Sequence[tuple]) -> tuple[float, ...]:
     """Means of the clusters; an empty one stays where it is."""
-    return tuple(t / UNITS / n if n else c for c, (n, t) in zip(centres, shares))
+    return tuple(t / UNITS / n if n > 0 else c for c, (n, t) in zip(centres, shares))
 
 
 def _range_start(buckets: ValueBuckets, series: object, k: int) -> tuple[float, ...]:
@@ -81,12 +87,12 @@ def _farthest_start(buckets: ValueBuckets, series: object, k: int) -> tuple[floa
 
 def _start_centres(
     buckets: ValueBuckets, ks: dict[object, int], starts: Sequence[str]
-) -> dict[tuple[object, str], tuple[float, ...]]:
+) -> dict[Run, tuple[float, ...]]:
     """First centres per series and start, in the order of ``starts``."""
     unknown = set(starts) - set(STARTS)
     if unknown or not starts:
         raise ValueError(f"starts must be some of {STARTS}")
-    found: dict[tuple[object, str], tuple[float, ...]] = {}
+    found: dict[Run, tuple[float, ...]] = {}
     if "quantile" in starts:
         shares = {s: [(2 * i + 1) / (2 * k) for i in range(k)] for s, k in ks.items()}
         by_quantile = quantiles_of_all(buckets, shares)
@@ -116,19 +122,20 @@ def fit_lloyd(
             raise InvalidDataset(f"{buckets.rows(s)} rows are too few for {k} clusters")
     centres = _start_centres(buckets, ks, starts)
     moving = set(centres)
-    for _ in range(max_steps):
+    for step in range(max_steps):
         if not moving:
             break
-        _settle_midpoints(buckets, {run: centres[run] for run in moving})
+        runs = {run: centres[run] for run in moving}
+        buckets.settle(_thresholds(runs), lambda: _foreseen(buckets, runs, max_steps - step))
         for run in sorted(moving):
-            moved = _moved(centres[run], _shares(buckets, run[0], centres[run]))
+            moved = _moved(centres[run], _shares(buckets.below, buckets, run[0], centres[run]))
             if moved == centres[run]:
                 moving.discard(run)
             centres[run] = moved
-    _settle_midpoints(buckets, centres)
+    buckets.settle(_thresholds(centres))
     best: dict[object, tuple[Fraction, Clusters]] = {}
     for (s, _), found in centres.items():
-        shares = _shares(buckets, s, found)
+        shares = _shares(buckets.below, buckets, s, found)
         # The squared error is the sum of all squares, which no choice of clusters
         # changes, less this: compared as fractions, no rounding decides a tie.
         tightness = sum((Fraction(t * t, n) for n, t in shares if n), Fraction(0))
@@ -137,11 +144,24 @@ def fit_lloyd(
     return {s: clusters for s, (_, clusters) in best.items()}
 
 
-def _settle_midpoints(buckets: ValueBuckets, centres: dict[tuple[object, str], Sequence[float]]) -> None:
-    thresholds: dict[object, list[float]] = {}
-    for (s, _), found in centres.items():
-        thresholds.setdefault(s, []).extend(_midpoints(found))
-    buckets.settle(thresholds)
+def _thresholds(runs: Mapping[Run, Sequence[float]]) -> dict[object, list[float]]:
+    points: dict[object, list[float]] = {}
+    for (s, _), centres in runs.items():
+        points.setdefault(s, []).extend(_midpoints(centres))
+    return points
+
+
+def _foreseen(buckets: ValueBuckets, runs: Mapping[Run, Sequence[float]], steps: int) -> dict[object, list[float]]:
+    """Where the midpoints will go, going by estimates: the coming steps, played through."""
+    points: dict[object, list[float]] = {}
+    for (s, _), centres in runs.items():
+        for _ in range(steps):
+            points.setdefault(s, []).extend(_midpoints(centres))
+            moved = _moved(centres, _shares(buckets.estimate, buckets, s, centres))
+            if moved == centres:
+                break
+            centres = moved
+    return points
 
 
 def fit_ml(hist: DataFrame, k: int, seeds: Sequence[int] = (0,)) -> Clusters:
