@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.errors import InvalidDataset
 from tallyfold.operators.buckets import ValueBuckets, histogram, histogram_by
+from tallyfold.session import materialise
 
 
 def quantiles(buckets: ValueBuckets, series: object, probabilities: Sequence[float]) -> list[float]:
@@ -50,23 +51,29 @@ def column_quantiles(
         hist = histogram_by(df, column, by)
     with ValueBuckets(hist) as buckets:
         found = quantiles_of_all(buckets, {s: probabilities for s in buckets.series})
-    rows = [(s, p, v) for s, values in found.items() for p, v in zip(probabilities, values)]
+    rows = [(s, float(p), v) for s, values in found.items() for p, v in zip(probabilities, values)]
     group = "series" if by is None else by
     kind = "int" if by is None else df.schema[by].dataType.simpleString()
-    result = df.sparkSession.createDataFrame(rows, f"`{group}` {kind}, probability double, value double")
+    result = df.sparkSession.createDataFrame(
+        rows, f"`{group}` {kind}, probability double, value double"
+    )
     return result.drop("series") if by is None else result
 
 
 def outlier_trim(df: DataFrame, column: str, share: float = 0.99) -> DataFrame:
-    """The rows strictly below the quantile; the largest value is always dropped."""
-    with ValueBuckets(histogram(df, [column])) as buckets:
+    """The rows strictly below the quantile; the largest value is always dropped.
+
+    Read twice, for the limit and for the rows, so written to the shared folder first.
+    """
+    base = materialise(df)
+    with ValueBuckets(histogram(base, [column])) as buckets:
+        if not buckets.series:
+            raise InvalidDataset(f"there are no rows to trim by {column}")
         limit = trim_limit(buckets, 0, share, column)
-    return df.filter(F.col(column).cast("double") < limit)
+    return base.filter(F.col(column).cast("double") < limit)
 
 
 def trim_limit(buckets: ValueBuckets, series: object, share: float, column: str) -> float:
-    if not buckets.rows(series):
-        raise InvalidDataset(f"there are no rows to trim by {column}")
     limit = quantiles(buckets, series, [share])[0]
     if buckets.low(series) >= limit:
         raise InvalidDataset(
