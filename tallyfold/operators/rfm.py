@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.errors import InvalidDataset
 from tallyfold.functions.dates import whole_days
 from tallyfold.functions.numbers import line_value
+from tallyfold.session import materialise
 
 CUSTOMER = ("customerid",)
 
@@ -34,7 +35,7 @@ def monetary(df: DataFrame, keys: Sequence[str] = CUSTOMER) -> DataFrame:
 
 def recency(df: DataFrame, keys: Sequence[str] = CUSTOMER) -> DataFrame:
     """Whole days from a customer's last purchase to the last one in the table."""
-    return with_recency(last_purchase(df, keys), _latest(df)).drop("last_purchase")
+    return with_recency(last_purchase(df, keys)).drop("last_purchase")
 
 
 def distinct_customers(df: DataFrame) -> DataFrame:
@@ -75,29 +76,28 @@ def customer_country_totals(df: DataFrame) -> DataFrame:
     )
 
 
-def with_recency(totals: DataFrame, latest: Column) -> DataFrame:
-    return totals.withColumn("recency", whole_days(latest, F.col("last_purchase")))
+def with_recency(totals: DataFrame) -> DataFrame:
+    """Add the whole days from a last purchase to the latest of all.
 
-
-def _latest(df: DataFrame, column: str = "invoicedate") -> Column:
-    """The last moment in the table: a scalar subquery that reads one column."""
-    return df.agg(F.max(column)).scalar()
-
-
-def latest_purchase(totals: DataFrame) -> Column:
-    return _latest(totals, "last_purchase")
+    The latest of all is known only after the totals are, so these are written to the
+    shared folder: the transactions are read once, and the maximum comes from one
+    column of the much smaller totals, as a scalar subquery.
+    """
+    base = materialise(totals)
+    latest = base.agg(F.max("last_purchase")).scalar()
+    return base.withColumn("recency", whole_days(latest, F.col("last_purchase")))
 
 
 def rfm_metrics(df: DataFrame, keys: Sequence[str] = CUSTOMER) -> DataFrame:
     """Recency, frequency and monetary value per key, without clusters."""
-    return with_recency(customer_totals(df, keys), _latest(df)).select(
+    return with_recency(customer_totals(df, keys)).select(
         *keys, "recency", "frequency", F.col("monetary").cast("double").alias("monetary")
     )
 
 
 def rfm_by_country(df: DataFrame) -> DataFrame:
     """The metrics of the whole customer beside each of their countries."""
-    return with_recency(customer_country_totals(df), _latest(df)).select(
+    return with_recency(customer_country_totals(df)).select(
         "customerid",
         "country",
         "recency",

@@ -13,11 +13,10 @@ from tallyfold.errors import InvalidDataset
 from tallyfold.operators.buckets import ValueBuckets, histogram
 from tallyfold.operators.clusters import MAX_STEPS, STARTS, assign, fit_lloyd
 from tallyfold.operators.quantiles import column_quantiles, trim_limit
-from tallyfold.operators.rfm import latest_purchase, with_recency
+from tallyfold.operators.rfm import with_recency
 from tallyfold.operators.scoring import segment_sizes, segment_value
 from tallyfold.operators.windows import Windows, two_window_totals
 from tallyfold.plans.segments import CLUSTERS, METRICS, labelled, segment_columns
-from tallyfold.session import materialise
 
 TARGET = "future_revenue"
 
@@ -36,8 +35,7 @@ def customer_value(
     fact table; one histogram of all four figures serves both clusterings and the
     trim, which only cuts off the top of the revenue histogram.
     """
-    base = materialise(two_window_totals(df, windows))
-    base = with_recency(base, latest_purchase(base))
+    base = with_recency(two_window_totals(df, windows))
     revenue = len(METRICS)
     with ValueBuckets(histogram(base, [*METRICS, TARGET])) as buckets:
         if not buckets.series:

@@ -10,14 +10,8 @@ from pyspark.sql import functions as F
 from tallyfold.errors import InvalidDataset
 from tallyfold.operators.buckets import ValueBuckets, histogram
 from tallyfold.operators.clusters import MAX_STEPS, STARTS, Clusters, assign, fit_lloyd
-from tallyfold.operators.rfm import (
-    customer_country_totals,
-    customer_totals,
-    latest_purchase,
-    with_recency,
-)
+from tallyfold.operators.rfm import customer_country_totals, customer_totals, with_recency
 from tallyfold.operators.scoring import PROFILES, score
-from tallyfold.session import materialise
 
 METRICS = ("recency", "frequency", "monetary")
 CLUSTERS = 4
@@ -41,8 +35,7 @@ def segment(
         keys, totals = ["customerid", "country"], customer_country_totals(df)
     else:
         keys, totals = ["customerid"], customer_totals(df)
-    base = materialise(totals)
-    base = with_recency(base, latest_purchase(base))
+    base = with_recency(totals)
     with ValueBuckets(histogram(base, METRICS)) as buckets:
         if not buckets.series:
             raise InvalidDataset("there are no customers to segment")

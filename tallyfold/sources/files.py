@@ -1,4 +1,4 @@
-"""Reading transaction files: CSV, JSON and Parquet, single files, folders or globs."""
+"""Reading transaction files: CSV, JSON, Excel and Parquet; files, folders or globs."""
 
 from __future__ import annotations
 
@@ -7,7 +7,11 @@ import posixpath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-FORMATS = ("csv", "json", "jsonl", "parquet")
+from tallyfold.sources.workbooks import read_workbooks
+
+FORMATS = ("csv", "json", "jsonl", "parquet", "xlsx")
+# Formats whose first column is a row index.
+INDEXED = ("csv", "xlsx")
 
 
 def extension(path: str) -> str:
@@ -27,24 +31,29 @@ def read_transactions(
     fmt: str | None = None,
     drop_first_column: bool | None = None,
     schema: StructType | str | None = None,
+    multiline: bool = False,
 ) -> DataFrame:
     """A transaction file as text columns, untouched otherwise.
 
-    ``fmt`` is taken from the extension unless given. The first CSV column is a row
-    index and left out by default. ``json`` is an array of records, which Spark can
-    only read one file per task; ``jsonl`` has a record per line and can be split.
-    JSON needs a pass over the data to learn its columns unless a ``schema`` is given.
+    ``fmt`` is taken from the extension unless given. The first column of a CSV file or
+    a workbook is a row index and left out by default. ``json`` is an array of records,
+    which Spark can only read one file per task; ``jsonl`` has a record per line and can
+    be split. A CSV file can be split too, unless it has line breaks inside quotes and
+    needs ``multiline``. JSON takes a pass over the data to learn its columns unless a
+    ``schema`` is given.
     """
     fmt = (fmt or extension(path)).lower()
     if fmt not in FORMATS:
         raise ValueError(f"cannot read {path}: the format must be one of {', '.join(FORMATS)}")
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "csv":
-        df = reader.csv(path, header=True, inferSchema=False, escape='"')
+        df = reader.csv(path, header=True, inferSchema=False, escape='"', multiLine=multiline)
     elif fmt == "parquet":
         df = reader.parquet(path)
+    elif fmt == "xlsx":
+        df = read_workbooks(spark, path)
     else:
         df = reader.json(path, multiLine=fmt == "json", primitivesAsString=True)
     if drop_first_column is None:
-        drop_first_column = fmt == "csv"
+        drop_first_column = fmt in INDEXED
     return df.drop(df.columns[0]) if drop_first_column and df.columns else df

@@ -1,0 +1,41 @@
+"""Excel workbooks, read by pandas inside tasks: one workbook, at most 1,048,576 rows, each."""
+
+from __future__ import annotations
+
+import importlib.util
+import io
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StringType, StructType
+
+
+def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheet of every workbook as text, under the column names of the first one."""
+    if importlib.util.find_spec("openpyxl") is None:
+        raise RuntimeError("reading xlsx files needs the openpyxl package on driver and executors")
+    files = spark.read.format("binaryFile").load(path).select("content")
+    names = [r.name for r in files.limit(1).mapInPandas(_headers, "name string").collect()]
+    schema = StructType()
+    for name in names:
+        schema = schema.add(name, StringType())
+
+    def sheets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for content in _contents(batches):
+            sheet = pd.read_excel(io.BytesIO(content), dtype=str)
+            sheet.columns = [str(c) for c in sheet.columns]
+            yield sheet.reindex(columns=names).astype(object).where(lambda x: x.notna(), None)
+
+    return files.mapInPandas(sheets, schema)
+
+
+def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[bytes]:
+    for batch in batches:
+        yield from batch["content"]
+
+
+def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for content in _contents(batches):
+        sheet = pd.read_excel(io.BytesIO(content), dtype=str, nrows=0)
+        yield pd.DataFrame({"name": [str(c) for c in sheet.columns]})

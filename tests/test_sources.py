@@ -1,3 +1,4 @@
+import importlib.util
 import json
 
 import pytest
@@ -57,7 +58,7 @@ def test_unknown_format(spark):
         read_transactions(spark, "shop.txt")
 
 
-@pytest.mark.parametrize("name, allowed", [("a.csv", True), ("a.b.JSON", True), ("csv", False), ("a.txt", False), ("a.csv/b", False)])
+@pytest.mark.parametrize("name, allowed", [("a.csv", True), ("a.b.JSON", True), ("csv", False), ("a.txt", False), ("a.csv/b", False), ("a.xlsx", True)])
 def test_allowed_file(name, allowed):
     assert allowed_file(name) is allowed
 
@@ -69,3 +70,30 @@ def test_records(spark, transactions, tmp_path):
     assert records[1]["invoicedate"] == "2011-02-01 01:00:00.170000"
     write_records(df, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    path = tmp_path / "shop.csv"
+    path.write_text(CSV.replace("Lantern, ", "Lantern,\n"))
+    df = read_transactions(spark, str(path), multiline=True)
+    assert df.count() == 3
+
+
+def test_workbook_without_its_reader(spark):
+    if importlib.util.find_spec("openpyxl"):
+        pytest.skip("openpyxl is installed")
+    with pytest.raises(RuntimeError, match="openpyxl"):
+        read_transactions(spark, "shop.xlsx")
+
+
+def test_workbook(spark, tmp_path):
+    pytest.importorskip("openpyxl")
+    import pandas as pd
+
+    path = str(tmp_path / "shop.xlsx")
+    pd.DataFrame(
+        {"No": [1, 2], "Quantity": [6, None], "Invoice Date": pd.to_datetime(["2010-12-01 08:26", "2010-12-02"]),
+         "Unit Price": [2.55, 1], "Customer ID": ["A1", "A2"]}
+    ).to_excel(path, index=False)
+    (row,) = clean(read_transactions(spark, path)).collect()
+    assert (row.customerid, row.unitprice) == ("a1", "2.55")
