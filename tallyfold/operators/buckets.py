@@ -16,19 +16,23 @@ from dataclasses import dataclass
 from decimal import Context, Decimal
 from itertools import accumulate
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyfold.errors import InvalidDataset
 
-# Finer ranges per split: many for the first one of a whole column, so that columns of
-# moderate size need little more, fewer for the many small splits that may follow.
-FIRST_FANOUT, FANOUT = 65536, 512
+# The first ranges are steps of a logarithmic scale, this many per unit of ln(1 + |value|):
+# some 57,000 for amounts up to a million, 380,000 for the whole range of the type.
+STEPS_PER_E = 4096
+# Finer ranges per split of one range.
+FANOUT = 512
 # Ranges split by one job: bounds what is broadcast, and the rows that reach the driver.
 SPLITS_PER_JOB = 512
-# Columns or groups at a time; each holds FIRST_FANOUT totals on the driver.
-MAX_SERIES = 64
+# Groups of ``histogram_by``.
+MAX_GROUPS = 64
 VALUE = "decimal(24,4)"
 UNITS = 10**4
 _DIGITS = Context(prec=60)
@@ -40,7 +44,7 @@ Thresholds = Mapping[object, Iterable[float]]
 class Bucket:
     """Totals of the values from ``low`` to ``high``, in units of 1/10000.
 
-    ``slot`` is the range of the first split that it lies in.
+    ``slot`` is the step of the logarithmic scale that they lie in.
     """
 
     slot: int
@@ -58,21 +62,23 @@ def histogram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             for i, c in enumerate(columns)
         ]
     )
-    return (
-        df.select(F.inline(pairs))
-        .filter(F.col("value").isNotNull())
-        .groupBy("series", "value")
-        .agg(F.count("*").alias("rows"))
-    )
+    return _counted(df.select(F.inline(pairs)))
 
 
 def histogram_by(df: DataFrame, column: str, group: str) -> DataFrame:
-    """Rows per distinct value of one column within each group."""
+    """Rows per distinct value of one column within each of a few groups."""
+    pairs = df.select(F.col(group).alias("series"), F.col(column).cast(VALUE).alias("value"))
+    return _counted(pairs.filter(F.col("series").isNotNull()))
+
+
+def _counted(pairs: DataFrame) -> DataFrame:
+    number = F.col("value").cast("double")
+    scale = F.signum(number) * F.log1p(F.abs(number))
     return (
-        df.select(F.col(group).alias("series"), F.col(column).cast(VALUE).alias("value"))
-        .filter(F.col("value").isNotNull() & F.col("series").isNotNull())
+        pairs.filter(F.col("value").isNotNull())
         .groupBy("series", "value")
         .agg(F.count("*").alias("rows"))
+        .withColumn("slot", F.floor(scale * STEPS_PER_E).cast("int"))
     )
 
 
@@ -86,14 +92,12 @@ class ValueBuckets:
         self._totals: dict[object, list[int]] = {}
 
     def __enter__(self) -> ValueBuckets:
-        hist = self._hist.persist(StorageLevel.MEMORY_AND_DISK)
-        whole = hist.groupBy("series").agg(*_totals()).limit(MAX_SERIES + 1).collect()
-        if len(whole) > MAX_SERIES:
-            raise InvalidDataset(f"more than {MAX_SERIES} groups")
-        bounds = {row["series"]: _bucket(row, 0) for row in whole}
-        self._keyed = hist.withColumn("slot", _first_slot(bounds))
-        found: dict[object, list[Bucket]] = {s: [] for s in bounds}
-        for row in self._keyed.groupBy("series", "slot").agg(*_totals()).collect():
+        self._hist = self._hist.persist(StorageLevel.MEMORY_AND_DISK)
+        groups = self._hist.select("series").distinct().limit(MAX_GROUPS + 1).collect()
+        if len(groups) > MAX_GROUPS:
+            raise InvalidDataset(f"more than {MAX_GROUPS} groups")
+        found: dict[object, list[Bucket]] = {g["series"]: [] for g in groups}
+        for row in self._hist.groupBy("series", "slot").agg(*_totals()).collect():
             found[row["series"]].append(_bucket(row, row["slot"]))
         for s, buckets in found.items():
             self._store(s, sorted(buckets, key=lambda b: b.low))
@@ -203,22 +207,28 @@ class ValueBuckets:
     def _split(self, targets: Sequence[tuple[object, int]]) -> None:
         """Replace buckets by finer ones: one job over the histogram for all of them.
 
-        The ranges to split go along as a small table, joined on the slot of the
-        first split: a row of the histogram meets only the ranges of its own slot.
+        The ranges to split go along as a small table, joined on the slot: a row of the
+        histogram meets only the ranges of its own slot.
         """
         targets = targets[:SPLITS_PER_JOB]
         chosen = [(s, self._buckets[s][i]) for s, i in targets]
-        kind = self._keyed.schema["series"].dataType.simpleString()
-        ranges = self._keyed.sparkSession.createDataFrame(
-            [
-                (n, s, b.slot, _decimal(b.low), _decimal(b.high), FANOUT * UNITS / (b.high - b.low))
-                for n, (s, b) in enumerate(chosen)
-            ],
-            f"target int, series {kind}, slot int, start {VALUE}, end {VALUE}, factor double",
+        kind = to_arrow_type(self._hist.schema["series"].dataType)
+        number = pa.decimal128(24, 4)
+        ranges = self._hist.sparkSession.createDataFrame(
+            pa.table(
+                {
+                    "target": pa.array(range(len(chosen)), pa.int32()),
+                    "series": pa.array([s for s, _ in chosen], kind),
+                    "slot": pa.array([b.slot for _, b in chosen], pa.int32()),
+                    "start": pa.array([_decimal(b.low) for _, b in chosen], number),
+                    "end": pa.array([_decimal(b.high) for _, b in chosen], number),
+                    "factor": [FANOUT * UNITS / (b.high - b.low) for _, b in chosen],
+                }
+            )
         )
         finer: dict[int, list[Bucket]] = {n: [] for n in range(len(chosen))}
         summed = (
-            self._keyed.join(F.broadcast(ranges), ["series", "slot"])
+            self._hist.join(F.broadcast(ranges), ["series", "slot"])
             .filter(F.col("value").between(F.col("start"), F.col("end")))
             .groupBy("target", _step(F.col("start"), F.col("factor"), FANOUT))
             .agg(*_totals())
@@ -266,13 +276,3 @@ def _step(start: Column, factor: Column, fanout: int) -> Column:
     """
     offset = (F.col("value") - start).cast("double")
     return F.least(F.floor(offset * factor).cast("int"), F.lit(fanout - 1))
-
-
-def _first_slot(bounds: Mapping[object, Bucket]) -> Column:
-    slot = F.lit(0)
-    for s, b in bounds.items():
-        if b.low < b.high:
-            low = F.lit(str(_decimal(b.low))).cast(VALUE)
-            factor = F.lit(FIRST_FANOUT * UNITS / (b.high - b.low))
-            slot = F.when(F.col("series") == s, _step(low, factor, FIRST_FANOUT)).otherwise(slot)
-    return slot

@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyfold.errors import InvalidDataset
 from tallyfold.operators.buckets import ValueBuckets, histogram, histogram_by
@@ -51,11 +53,17 @@ def column_quantiles(
         hist = histogram_by(df, column, by)
     with ValueBuckets(hist) as buckets:
         found = quantiles_of_all(buckets, {s: probabilities for s in buckets.series})
-    rows = [(s, float(p), v) for s, values in found.items() for p, v in zip(probabilities, values)]
     group = "series" if by is None else by
-    kind = "int" if by is None else df.schema[by].dataType.simpleString()
+    kind = pa.int32() if by is None else to_arrow_type(df.schema[by].dataType)
+    rows = [(s, float(p), v) for s, values in found.items() for p, v in zip(probabilities, values)]
     result = df.sparkSession.createDataFrame(
-        rows, f"`{group}` {kind}, probability double, value double"
+        pa.table(
+            {
+                group: pa.array([r[0] for r in rows], kind),
+                "probability": pa.array([r[1] for r in rows], pa.float64()),
+                "value": pa.array([r[2] for r in rows], pa.float64()),
+            }
+        )
     )
     return result.drop("series") if by is None else result
 

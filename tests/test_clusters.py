@@ -67,10 +67,10 @@ def fitted(spark, values, k, starts):
 
 
 @pytest.mark.parametrize("name", SAMPLES)
-@pytest.mark.parametrize("fanouts", [(65536, 512), (4, 2)])
-def test_same_centres_as_the_plain_iteration(spark, name, fanouts, monkeypatch):
-    monkeypatch.setattr(module, "FIRST_FANOUT", fanouts[0])
-    monkeypatch.setattr(module, "FANOUT", fanouts[1])
+@pytest.mark.parametrize("steps, fanout", [(4096, 512), (1, 3)])
+def test_same_centres_as_the_plain_iteration(spark, name, steps, fanout, monkeypatch):
+    monkeypatch.setattr(module, "STEPS_PER_E", steps)
+    monkeypatch.setattr(module, "FANOUT", fanout)
     found = fitted(spark, SAMPLES[name], 4, ("quantile",))
     assert found.centres == pytest.approx(lloyd(SAMPLES[name], 4), rel=1e-9)
 
@@ -117,7 +117,7 @@ def test_too_few_rows(spark, values, method):
 
 @pytest.mark.parametrize("name", SAMPLES)
 def test_exact_quantiles(spark, name, monkeypatch):
-    monkeypatch.setattr(module, "FIRST_FANOUT", 16)
+    monkeypatch.setattr(module, "STEPS_PER_E", 2)
     monkeypatch.setattr(module, "FANOUT", 8)
     shares = (0, 0.01, 0.25, 0.5, 0.75, 0.99, 1)
     found = column_quantiles(column(spark, SAMPLES[name]), "value", shares).collect()
