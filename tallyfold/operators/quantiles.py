@@ -40,7 +40,7 @@ def _neighbours(place: float) -> tuple[int, int]:
 def _interpolated(buckets: ValueBuckets, series: object, place: float) -> float:
     """Equal neighbours give exactly their value, so that ``<`` against it is safe."""
     low, high = (buckets.at_rank(series, r) for r in _neighbours(place))
-    return low + (high - low) * (place - math.floor(place))
+    return min(low + (high - low) * (place - math.floor(place)), high)
 
 
 def column_quantiles(
