@@ -200,9 +200,9 @@ DESCRIBE = " union all ".join(
 REPORT = f"""
     select 'rfm_customer_count' as section, 'customerid' as key, '' as stat, cast(count(customerid) as double) as value from segments
     union all select 'rfm_customer_segment_count', segment, '', cast(count(customerid) as double) from segments group by segment
-    union all select 'rfm_customer_segment_monetary_value', segment, '', round(sum(monetary), 6) from segments group by segment
+    union all select 'rfm_customer_segment_monetary_value', segment, '', round(cast(sum(cast(monetary as decimal(30,4))) as double), 6) from segments group by segment
     union all select 'prediction_customer_count', cast(ltv_cluster as varchar), '', cast(count(customerid) as double) from ltv group by ltv_cluster
-    union all select 'prediction_ltv_revenue', cast(ltv_cluster as varchar), '', round(sum(future_revenue), 6) from ltv group by ltv_cluster
+    union all select 'prediction_ltv_revenue', cast(ltv_cluster as varchar), '', round(cast(sum(cast(future_revenue as decimal(30,4))) as double), 6) from ltv group by ltv_cluster
     union all select 'prediction_ltv_description', cast(ltv_cluster as varchar), stat, value from ({DESCRIBE})"""
 FLAGS = ", ".join(
     f"cast(segment = '{s}' as integer) as segment_{s.lower().replace('-', '_')}"
@@ -370,7 +370,7 @@ ORACLES: dict[str, str] = {
     "window_segments": on_window("select * from segments"),
     "window_customer_count": statement(SLICE, "select count(distinct customerid) as customerid from scored", "retail"),
     "window_segment_counts": on_window("select segment, count(customerid) as customers from segments group by 1"),
-    "window_segment_value": on_window("select segment, round(sum(monetary), 6) as monetary from segments group by 1"),
+    "window_segment_value": on_window("select segment, round(cast(sum(cast(monetary as decimal(30,4))) as double), 6) as monetary from segments group by 1"),
     "score_profile": on_window("""
         select overall_score, round(avg(recency), 6) as mean_recency, round(avg(frequency), 6) as mean_frequency,
                round(avg(monetary), 6) as mean_monetary from segments group by 1"""),
@@ -382,10 +382,11 @@ ORACLES: dict[str, str] = {
     "ltv_clusters": on_values("select * from ltv"),
     "ltv_describe": on_values(DESCRIBE),
     "ltv_counts": on_values("select ltv_cluster, count(customerid) as customers from ltv group by 1"),
-    "ltv_revenue": on_values("select ltv_cluster, round(sum(future_revenue), 6) as future_revenue from ltv group by 1"),
+    "ltv_revenue": on_values("select ltv_cluster, round(cast(sum(cast(future_revenue as decimal(30,4))) as double), 6) as future_revenue from ltv group by 1"),
     "class_balance": on_values("""
         select ltv_cluster, round(count(*) / sum(count(*)) over (), 6) as share from ltv group by 1"""),
     "value_report": on_values(REPORT),
+    "ltv_summaries": on_values(f"select * from ({REPORT}) where section like 'prediction%'"),
     "segment_onehot": on_window(f"select customerid, {FLAGS} from segments"),
     "ltv_features": on_values(f"select * exclude (segment, future_revenue), {FLAGS} from ltv"),
     "train_test_split": f"select cast(c_custkey as varchar) as customerid, {in_test('cast(c_custkey as varchar)')} as is_test from customer",

@@ -418,6 +418,11 @@ def value_report(spark, sf_dir):
     return _rounded(tf.value_report(df, WINDOWS, starts=START), "value")
 
 
+@query
+def ltv_summaries(spark, sf_dir):
+    return _rounded(tf.ltv_summaries(_ltv(spark, sf_dir)), "value")
+
+
 @query
 def report_json(spark, sf_dir):
     return tf.report_json(value_report(spark, sf_dir))
@@ -443,12 +448,12 @@ def train_test_split(spark, sf_dir):
 
 @query
 def ltv_predictions(spark, sf_dir):
-    return tf.train_predict(_ltv(spark, sf_dir), algo="boosted")
+    return tf.train_predict(_ltv(spark, sf_dir), algo="forest")
 
 
 @query
-def ltv_predictions_forest(spark, sf_dir):
-    return tf.train_predict(_ltv(spark, sf_dir), algo="forest")
+def ltv_predictions_boosted(spark, sf_dir):
+    return tf.train_predict(_ltv(spark, sf_dir), algo="boosted")
 
 
 def _guesses(spark, sf_dir) -> DataFrame:

@@ -36,3 +36,8 @@ def line_value(df: DataFrame, lenient: bool = False) -> Column:
     """Unit price times quantity of one line."""
     number = lenient_number if lenient else strict_number
     return number(df, "unitprice") * number(df, "quantity")
+
+
+def exact(name: str) -> Column:
+    """A money column at the edge, back as a decimal: its sums do not depend on their order."""
+    return F.col(name).cast("decimal(30,8)")

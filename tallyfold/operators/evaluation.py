@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,9 +18,10 @@ def split(df: DataFrame, key: str = "customerid", test: int = 20, seed: int = 0)
 
 
 def class_balance(df: DataFrame, label: str = "ltv_cluster") -> DataFrame:
-    """Share of each class; the total is a scalar over the few class counts."""
+    """Share of each class; the window runs over one row per class."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    return counts.select(label, (F.col("n") / counts.agg(F.sum("n")).scalar()).alias("share"))
+    total = F.sum("n").over(Window.partitionBy())
+    return counts.select(label, (F.col("n") / total).alias("share"))
 
 
 def accuracy(pairs: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -35,56 +34,62 @@ def classification_report(
 ) -> DataFrame:
     """Precision, recall, F1 and support per class, accuracy, macro and weighted means.
 
-    The pairs are shuffled once, down to one row per (label, prediction); all else is
-    arithmetic on those. What is undefined counts as 0.
+    The pairs are read and shuffled once, down to one row per (label, prediction); all
+    else is arithmetic on those. What is undefined counts as 0.
     """
     cells = pairs.groupBy(
         F.col(label).cast("int").alias("label"), F.col(prediction).cast("int").alias("prediction")
     ).agg(F.count("*").alias("n"))
-    hit = F.col("label") == F.col("prediction")
+    n, none = F.col("n"), F.lit(0).cast("bigint")
+    hits = F.when(F.col("label") == F.col("prediction"), n).otherwise(none)
     sides = F.array(
-        F.struct(F.col("label").alias("class"), F.col("n").alias("actual"), F.lit(0).cast("bigint").alias("predicted"),
-                 F.when(hit, F.col("n")).otherwise(0).alias("hits")),
-        F.struct(F.col("prediction").alias("class"), F.lit(0).cast("bigint").alias("actual"), F.col("n").alias("predicted"),
-                 F.lit(0).cast("bigint").alias("hits")),
+        _side(F.col("label"), actual=n, predicted=none, hits=hits),
+        _side(F.col("prediction"), actual=none, predicted=n, hits=none),
     )
     classes = (
         cells.select(F.inline(sides))
         .groupBy("class")
         .agg(*[F.sum(c).alias(c) for c in ("actual", "predicted", "hits")])
-        .withColumn("precision", _ratio("hits", "predicted"))
-        .withColumn("recall", _ratio("hits", "actual"))
+        .withColumn("precision", _ratio(F.col("hits"), F.col("predicted")))
+        .withColumn("recall", _ratio(F.col("hits"), F.col("actual")))
         .withColumn(
             "f1",
-            F.coalesce(
-                F.try_divide(
-                    2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")
-                ),
-                F.lit(0.0),
+            _ratio(
+                2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")
             ),
         )
     )
-    scores = ("precision", "recall", "f1")
-    per_class = classes.select(
-        F.col("class").cast("string").alias("row"), *scores, F.col("actual").alias("support")
-    )
-    means = classes.agg(
-        F.sum("actual").alias("support"),
-        (F.sum("hits") / F.sum("actual")).alias("accuracy"),
-        *[F.avg(c).alias(f"macro_{c}") for c in scores],
-        *[(F.sum(F.col(c) * F.col("actual")) / F.sum("actual")).alias(f"weighted_{c}") for c in scores],
+    # Every line is a weighted mean over classes: of one class, of all alike, or of all
+    # by their size. Accuracy is the mean recall by size.
+    scores = [F.col(c) for c in ("precision", "recall", "f1")]
+    even, size = F.lit(1).cast("bigint"), F.col("actual")
+    lines = F.array(
+        _line(F.col("class").cast("string"), even, scores),
+        _line(F.lit("accuracy"), size, [F.col("recall")] * 3),
+        _line(F.lit("macro avg"), even, scores),
+        _line(F.lit("weighted avg"), size, scores),
     )
-    rows = [("accuracy", ["accuracy"] * 3)] + [
-        (f"{kind} avg", [f"{kind}_{c}" for c in scores]) for kind in ("macro", "weighted")
-    ]
-    averages = [
-        means.select(
-            F.lit(name).alias("row"), *[F.col(s).alias(c) for s, c in zip(sources, scores)], "support"
+    return (
+        classes.select(F.inline(lines))
+        .groupBy("row")
+        .agg(
+            *[
+                _ratio(F.sum(F.col(c) * F.col("weight")), F.sum("weight")).alias(c)
+                for c in ("precision", "recall", "f1")
+            ],
+            F.sum("support").alias("support"),
         )
-        for name, sources in rows
-    ]
-    return reduce(DataFrame.unionByName, averages, per_class)
+    )
+
+
+def _side(of: Column, **counts: Column) -> Column:
+    return F.struct(of.alias("class"), *[c.alias(name) for name, c in counts.items()])
+
+
+def _line(row: Column, weight: Column, scores: list[Column]) -> Column:
+    named = [c.alias(name) for c, name in zip(scores, ("precision", "recall", "f1"))]
+    return F.struct(row.alias("row"), weight.alias("weight"), *named, F.col("actual").alias("support"))
 
 
-def _ratio(part: str, whole: str):
-    return F.coalesce(F.try_divide(F.col(part), F.col(whole)), F.lit(0.0))
+def _ratio(part: Column, whole: Column) -> Column:
+    return F.coalesce(F.try_divide(part, whole), F.lit(0.0))

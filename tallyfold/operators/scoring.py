@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.functions.numbers import exact
+
 # A score above the first limit is Mid-Value, above the second High-Value;
 # and whether the most recent customers get the lowest recency label.
 PROFILES = {
@@ -64,13 +66,16 @@ def scatter(segments: DataFrame, x: str, y: str, country: str = "All") -> DataFr
 def score_profile(segments: DataFrame) -> DataFrame:
     """Mean recency, frequency and monetary value per overall score."""
     return segments.groupBy("overall_score").agg(
-        *[F.avg(c).alias(f"mean_{c}") for c in ("recency", "frequency", "monetary")]
+        F.avg("recency").alias("mean_recency"),
+        F.avg("frequency").alias("mean_frequency"),
+        F.avg(exact("monetary")).cast("double").alias("mean_monetary"),
     )
 
 
 def segment_value(segments: DataFrame) -> DataFrame:
     """Money per segment, for the segments that occur."""
-    return segments.groupBy("segment").agg(F.sum("monetary").alias("monetary"))
+    total = F.sum(exact("monetary")).cast("double")
+    return segments.groupBy("segment").agg(total.alias("monetary"))
 
 
 def segment_sizes(segments: DataFrame) -> DataFrame:

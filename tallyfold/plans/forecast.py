@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from math import inf, nextafter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.errors import InvalidDataset
+from tallyfold.functions.numbers import exact
 from tallyfold.operators.buckets import ValueBuckets, histogram
 from tallyfold.operators.clusters import MAX_STEPS, STARTS, assign, fit_lloyd
 from tallyfold.operators.quantiles import column_quantiles, trim_limit
 from tallyfold.operators.rfm import with_recency
-from tallyfold.operators.scoring import segment_sizes, segment_value
 from tallyfold.operators.windows import Windows, two_window_totals
 from tallyfold.plans.segments import CLUSTERS, METRICS, labelled, segment_columns
 
@@ -77,67 +76,103 @@ def ltv_counts(ltv: DataFrame) -> DataFrame:
 
 
 def ltv_revenue(ltv: DataFrame) -> DataFrame:
-    return ltv.groupBy("ltv_cluster").agg(F.sum(TARGET).alias(TARGET))
+    return ltv.groupBy("ltv_cluster").agg(F.sum(exact(TARGET)).cast("double").alias(TARGET))
 
 
-def ltv_describe(ltv: DataFrame, by: str = "ltv_cluster", value: str = TARGET) -> DataFrame:
-    """Count, mean, deviation, extremes and quartiles per cluster, as (cluster, stat, value).
-
-    The deviation of a single customer is 0. The quartiles are exact and come from
-    the value histogram; the rest is one aggregation.
-    """
-    stats = {
+def _statistics(value: str = TARGET) -> dict[str, Column]:
+    """Description of a cluster but for its quartiles; a single customer deviates by 0."""
+    return {
         "count": F.count(value).cast("double"),
-        "mean": F.avg(value),
+        "mean": F.avg(exact(value)).cast("double"),
         "std": F.coalesce(F.stddev_samp(value), F.lit(0.0)),
         "min": F.min(value).cast("double"),
         "max": F.max(value).cast("double"),
     }
-    wide = ltv.groupBy(by).agg(*[c.alias(n) for n, c in stats.items()])
-    plain = wide.select(
-        by, F.inline(F.array(*[F.struct(F.lit(n).alias("stat"), F.col(n).alias("value")) for n in stats]))
-    )
-    quartiles = column_quantiles(ltv, value, (0.25, 0.5, 0.75), by).select(
-        by,
-        F.concat(F.format_number(F.col("probability") * 100, 0), F.lit("%")).alias("stat"),
-        "value",
+
+
+def _quartiles(ltv: DataFrame, by: str = "ltv_cluster", value: str = TARGET) -> DataFrame:
+    """Exact quartiles per cluster, from the value histogram."""
+    found = column_quantiles(ltv, value, (0.25, 0.5, 0.75), by)
+    percent = F.format_number(F.col("probability") * 100, 0)
+    return found.select(by, F.concat(percent, F.lit("%")).alias("stat"), "value")
+
+
+def ltv_describe(ltv: DataFrame, by: str = "ltv_cluster", value: str = TARGET) -> DataFrame:
+    """Count, mean, deviation, extremes and quartiles per cluster, as (cluster, stat, value)."""
+    statistics = _statistics(value)
+    wide = ltv.groupBy(by).agg(*[c.alias(n) for n, c in statistics.items()])
+    cells = [F.struct(F.lit(n).alias("stat"), F.col(n).alias("value")) for n in statistics]
+    return wide.select(by, F.inline(F.array(*cells))).unionByName(_quartiles(ltv, by, value))
+
+
+def _cell(section: str, key: Column, stat: str, value: Column) -> Column:
+    return F.struct(
+        F.lit(section).alias("section"),
+        key.cast("string").alias("key"),
+        F.lit(stat).alias("stat"),
+        value.cast("double").alias("value"),
     )
-    return plain.unionByName(quartiles)
 
 
-def value_summaries(users: DataFrame) -> DataFrame:
-    """The six summaries of ``customer_value`` as rows (section, key, stat, value)."""
-    ltv = users.filter(F.col("ltv_cluster").isNotNull())
-    sections = [
-        _section("rfm_customer_count", users.agg(F.count("customerid").alias("n")), F.lit("customerid"), "n"),
-        _section("rfm_customer_segment_count", segment_sizes(users), "segment", "customers"),
-        _section("rfm_customer_segment_monetary_value", segment_value(users), "segment", "monetary"),
-        *ltv_sections(ltv),
-    ]
-    return reduce(DataFrame.unionByName, sections)
+def _cluster_cells() -> Column:
+    key = F.col("ltv_cluster")
+    return F.array(
+        _cell("prediction_customer_count", key, "", F.col("customers")),
+        _cell("prediction_ltv_revenue", key, "", F.col("revenue")),
+        *[_cell("prediction_ltv_description", key, n, F.col(n)) for n in _statistics()],
+    )
 
 
-def ltv_sections(ltv: DataFrame) -> list[DataFrame]:
+def _figures() -> list[Column]:
     return [
-        _section("prediction_customer_count", ltv_counts(ltv), "ltv_cluster", "customers"),
-        _section("prediction_ltv_revenue", ltv_revenue(ltv), "ltv_cluster", TARGET),
-        _section("prediction_ltv_description", ltv_describe(ltv), "ltv_cluster", "value", "stat"),
+        F.count("customerid").alias("customers"),
+        F.sum(exact("monetary")).alias("monetary"),
+        F.sum(exact(TARGET)).alias("revenue"),
+        *[c.alias(n) for n, c in _statistics().items()],
     ]
 
 
-def ltv_summaries(ltv: DataFrame) -> DataFrame:
-    """The three summaries of the value clusters as rows (section, key, stat, value)."""
-    return reduce(DataFrame.unionByName, ltv_sections(ltv))
+def _quartile_cells(ltv: DataFrame) -> DataFrame:
+    return _quartiles(ltv).select(
+        F.lit("prediction_ltv_description").alias("section"),
+        F.col("ltv_cluster").cast("string").alias("key"),
+        "stat",
+        "value",
+    )
 
 
-def _section(name: str, df: DataFrame, key: str | Column, value: str, stat: str | None = None) -> DataFrame:
-    key = F.col(key) if isinstance(key, str) else key
-    return df.select(
-        F.lit(name).alias("section"),
-        key.cast("string").alias("key"),
-        (F.col(stat) if stat else F.lit("")).alias("stat"),
-        F.col(value).cast("double").alias("value"),
+def value_summaries(users: DataFrame) -> DataFrame:
+    """The six summaries of ``customer_value`` as rows (section, key, stat, value).
+
+    One pass over the customers: in total, by segment and by value cluster are grouping
+    sets of the same aggregation.
+    """
+    grouped = users.groupingSets([[], ["segment"], ["ltv_cluster"]], "segment", "ltv_cluster")
+    figures = grouped.agg(F.grouping_id().alias("level"), *_figures())
+    segment, level = F.col("segment"), F.col("level")
+    # The grouping id has a bit per column that is summed over: 3 is the total.
+    cells = (
+        F.when(
+            level == 3,
+            F.array(_cell("rfm_customer_count", F.lit("customerid"), "", F.col("customers"))),
+        )
+        .when(
+            level == 1,
+            F.array(
+                _cell("rfm_customer_segment_count", segment, "", F.col("customers")),
+                _cell("rfm_customer_segment_monetary_value", segment, "", F.col("monetary")),
+            ),
+        )
+        .when(F.col("ltv_cluster").isNotNull(), _cluster_cells())
     )
+    ltv = users.filter(F.col("ltv_cluster").isNotNull())
+    return figures.select(F.inline(cells)).unionByName(_quartile_cells(ltv))
+
+
+def ltv_summaries(ltv: DataFrame) -> DataFrame:
+    """The three summaries of the value clusters as rows (section, key, stat, value)."""
+    figures = ltv.groupBy("ltv_cluster").agg(*_figures())
+    return figures.select(F.inline(_cluster_cells())).unionByName(_quartile_cells(ltv))
 
 
 def value_report(
