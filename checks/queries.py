@@ -354,7 +354,8 @@ def score_profile(spark, sf_dir):
 
 @query
 def future_revenue(spark, sf_dir):
-    return tf.future_revenue(retail(spark, sf_dir, *PREDICTED), WINDOWS.pred_start, WINDOWS.pred_end)
+    df = retail(spark, sf_dir, *PREDICTED)
+    return tf.future_revenue(df, WINDOWS.pred_start, WINDOWS.pred_end)
 
 
 @query
@@ -443,7 +444,8 @@ def ltv_features(spark, sf_dir):
 
 @query
 def train_test_split(spark, sf_dir):
-    return tf.split(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("customerid")))
+    customer = F.col("c_custkey").cast("string").alias("customerid")
+    return tf.split(table(spark, sf_dir, "customer").select(customer))
 
 
 @query
@@ -479,9 +481,10 @@ def classification_report(spark, sf_dir):
 def classification_report_lines(spark, sf_dir):
     """Every order line: return flag against a rule, one class of which never occurs."""
     flag = F.col("l_returnflag")
+    label = F.when(flag == "A", 0).when(flag == "N", 1).when(flag == "R", 2).otherwise(3)
+    guess = F.when(F.col("l_linestatus") == "F", 0).when(F.col("l_quantity") > 25, 1).otherwise(4)
     pairs = table(spark, sf_dir, "lineitem").select(
-        F.when(flag == "A", 0).when(flag == "N", 1).when(flag == "R", 2).otherwise(3).alias("label"),
-        F.when(F.col("l_linestatus") == "F", 0).when(F.col("l_quantity") > 25, 1).otherwise(4).alias("prediction"),
+        label.alias("label"), guess.alias("prediction")
     )
     return _rounded(tf.classification_report(pairs), "precision", "recall", "f1")
 

@@ -90,13 +90,15 @@ def dirty(spark: SparkSession, sf_dir: str, bad_dates: bool = False) -> DataFram
     if bad_dates:
         date = F.when(key % 101 == 0, "some day").otherwise(date)
     quantity = F.col("l_quantity").cast(AMOUNT).cast("string")
+    quantity = F.when(key % 97 == 0, "NA").when(key % 83 == 0, "abc").otherwise(quantity)
     country = F.col("n_name")
+    country = F.when(key % 89 == 0, "").when(key % 5 == 0, F.lower(country)).otherwise(country)
     return _lines(spark, sf_dir, *RETAIL).select(
         key.cast("string").alias("Invoice No"),
         F.col("l_partkey").cast("string").alias("Stock Code"),
-        F.when(key % 97 == 0, "NA").when(key % 83 == 0, "abc").otherwise(quantity).alias("Quantity"),
+        quantity.alias("Quantity"),
         date.alias("Invoice Date"),
         F.col("p_retailprice").cast(AMOUNT).cast("string").alias("Unit Price"),
         F.col("o_custkey").cast("string").alias("Customer ID"),
-        F.when(key % 89 == 0, "").when(key % 5 == 0, F.lower(country)).otherwise(country).alias("Country"),
+        country.alias("Country"),
     )

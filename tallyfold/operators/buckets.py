@@ -83,22 +83,27 @@ def _counted(pairs: DataFrame) -> DataFrame:
 
 
 class ValueBuckets:
-    """Range totals of a histogram, refined on demand. Use as a context manager."""
+    """Range totals of a histogram, refined on demand. Use as a context manager.
 
-    def __init__(self, hist: DataFrame):
+    ``grouped`` says that the histogram comes from ``histogram_by``: then there may be more
+    groups than the driver should hold totals of, and they are counted first.
+    """
+
+    def __init__(self, hist: DataFrame, grouped: bool = False):
         self._hist = hist
+        self._grouped = grouped
         self._buckets: dict[object, list[Bucket]] = {}
         self._rows: dict[object, list[int]] = {}
         self._totals: dict[object, list[int]] = {}
 
     def __enter__(self) -> ValueBuckets:
         self._hist = self._hist.persist(StorageLevel.MEMORY_AND_DISK)
-        groups = self._hist.select("series").distinct().limit(MAX_GROUPS + 1).collect()
-        if len(groups) > MAX_GROUPS:
+        if self._grouped and self._hist.select("series").distinct().count() > MAX_GROUPS:
+            self._hist.unpersist()
             raise InvalidDataset(f"more than {MAX_GROUPS} groups")
-        found: dict[object, list[Bucket]] = {g["series"]: [] for g in groups}
+        found: dict[object, list[Bucket]] = {}
         for row in self._hist.groupBy("series", "slot").agg(*_totals()).collect():
-            found[row["series"]].append(_bucket(row, row["slot"]))
+            found.setdefault(row["series"], []).append(_bucket(row, row["slot"]))
         for s, buckets in found.items():
             self._store(s, sorted(buckets, key=lambda b: b.low))
         return self

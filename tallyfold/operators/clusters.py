@@ -151,7 +151,9 @@ def _thresholds(runs: Mapping[Run, Sequence[float]]) -> dict[object, list[float]
     return points
 
 
-def _foreseen(buckets: ValueBuckets, runs: Mapping[Run, Sequence[float]], steps: int) -> dict[object, list[float]]:
+def _foreseen(
+    buckets: ValueBuckets, runs: Mapping[Run, Sequence[float]], steps: int
+) -> dict[object, list[float]]:
     """Where the midpoints will go, going by estimates: the coming steps, played through."""
     points: dict[object, list[float]] = {}
     for (s, _), centres in runs.items():
@@ -181,7 +183,9 @@ def fit_ml(hist: DataFrame, k: int, seeds: Sequence[int] = (0,)) -> Clusters:
     return Clusters(tuple(centres), (1,) * len(centres))
 
 
-def assign(df: DataFrame, column: str, out: str, clusters: Clusters, ascending: bool = True) -> DataFrame:
+def assign(
+    df: DataFrame, column: str, out: str, clusters: Clusters, ascending: bool = True
+) -> DataFrame:
     """Add the label of ``column``'s cluster, numbered by the order of the centres."""
     value = F.col(column).cast(VALUE).cast("double")
     *inner, last = clusters.ranks(ascending)

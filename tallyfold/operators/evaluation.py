@@ -88,7 +88,8 @@ def _side(of: Column, **counts: Column) -> Column:
 
 def _line(row: Column, weight: Column, scores: list[Column]) -> Column:
     named = [c.alias(name) for c, name in zip(scores, ("precision", "recall", "f1"))]
-    return F.struct(row.alias("row"), weight.alias("weight"), *named, F.col("actual").alias("support"))
+    support = F.col("actual").alias("support")
+    return F.struct(row.alias("row"), weight.alias("weight"), *named, support)
 
 
 def _ratio(part: Column, whole: Column) -> Column:

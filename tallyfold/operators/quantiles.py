@@ -46,12 +46,15 @@ def _interpolated(buckets: ValueBuckets, series: object, place: float) -> float:
 def column_quantiles(
     df: DataFrame, column: str, probabilities: Sequence[float], by: str | None = None
 ) -> DataFrame:
-    """Exact quantiles of ``column`` as rows ([by,] probability, value)."""
+    """Exact quantiles of ``column`` as rows ([by,] probability, value).
+
+    ``by`` is for a few groups, such as clusters: more than 64 are refused.
+    """
     if by is None:
-        hist = histogram(df, [column])
+        found_in = ValueBuckets(histogram(df, [column]))
     else:
-        hist = histogram_by(df, column, by)
-    with ValueBuckets(hist) as buckets:
+        found_in = ValueBuckets(histogram_by(df, column, by), grouped=True)
+    with found_in as buckets:
         found = quantiles_of_all(buckets, {s: probabilities for s in buckets.series})
     group = "series" if by is None else by
     kind = pa.int32() if by is None else to_arrow_type(df.schema[by].dataType)

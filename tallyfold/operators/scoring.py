@@ -48,8 +48,10 @@ def segment_counts(segments: DataFrame, country: str = "All") -> DataFrame:
     counted = of_country(segments, country).agg(
         *[F.count_if(F.col("segment") == s).alias(s) for s in SEGMENTS]
     )
-    rows = F.array(*[F.struct(F.lit(s).alias("segment"), F.col(f"`{s}`").alias("customers")) for s in SEGMENTS])
-    return counted.select(F.inline(rows))
+    rows = [
+        F.struct(F.lit(s).alias("segment"), F.col(f"`{s}`").alias("customers")) for s in SEGMENTS
+    ]
+    return counted.select(F.inline(F.array(*rows)))
 
 
 def scatter(segments: DataFrame, x: str, y: str, country: str = "All") -> DataFrame:

@@ -133,6 +133,12 @@ def test_quantiles_by_group(spark):
         assert found[g, 0.9] == pytest.approx(np.quantile(values, 0.9))
 
 
+def test_too_many_groups(spark):
+    df = spark.range(200).selectExpr("cast(id % 70 as int) as g", "cast(id as double) as value")
+    with pytest.raises(InvalidDataset, match="64 groups"):
+        column_quantiles(df, "value", (0.5,), "g")
+
+
 def test_trim_drops_the_largest(spark):
     kept = outlier_trim(column(spark, range(101)), "value")
     assert kept.agg(F.max("value"), F.count("*")).collect()[0][:] == (98.0, 99)
