@@ -22,24 +22,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str, *columns: str, by_supplier: bool = False) -> DataFrame:
-    df = table(spark, sf_dir, "lineitem").join(
-        table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
-    )
+    """Order lines with what the columns need.
+
+    What belongs to an order joins it before its lines do: there are fewer rows to move,
+    and a busy customer is a smaller lump.
+    """
+    orders = table(spark, sf_dir, "orders")
+    lines = table(spark, sf_dir, "lineitem")
     if "unitprice" in columns:
-        df = df.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        lines = lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     if "country" in columns:
         nation = table(spark, sf_dir, "nation")
         if by_supplier:
             seller = table(spark, sf_dir, "supplier").join(
                 nation, F.col("s_nationkey") == F.col("n_nationkey")
             )
-            df = df.join(seller, F.col("l_suppkey") == F.col("s_suppkey"))
+            lines = lines.join(seller, F.col("l_suppkey") == F.col("s_suppkey"))
         else:
             buyer = table(spark, sf_dir, "customer").join(
                 nation, F.col("c_nationkey") == F.col("n_nationkey")
             )
-            df = df.join(buyer, F.col("o_custkey") == F.col("c_custkey"))
-    return df
+            orders = orders.join(buyer, F.col("o_custkey") == F.col("c_custkey"))
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 def _retail_columns(columns: tuple[str, ...]) -> list[Column]:

@@ -230,8 +230,9 @@ def order_cluster(
 ) -> DataFrame:
     """Renumber labels by the mean of the target; the label column moves to the end.
 
-    The window ranks one row per label. Its join is left to Spark, which broadcasts
-    the ranks after it has seen how few they are.
+    The window ranks one row per label. The ranks are written to the shared folder, so
+    that Spark knows their size before it plans the join: few of them are broadcast and
+    the rows of ``df`` stay where they are, be one label as frequent as it may.
     """
     means = df.groupBy(cluster_column).agg(F.avg(target_column).alias("_mean"))
     order = F.col("_mean").asc() if ascending else F.col("_mean").desc()
@@ -240,7 +241,7 @@ def order_cluster(
         (F.row_number().over(Window.orderBy(order, cluster_column)) - 1).cast("int").alias("_rank"),
     )
     return (
-        df.join(ranks, cluster_column)
+        df.join(materialise(ranks), cluster_column)
         .drop(cluster_column)
         .withColumnRenamed("_rank", cluster_column)
     )

@@ -18,6 +18,8 @@ from tallyfold.operators.windows import Windows, two_window_totals
 from tallyfold.plans.segments import CLUSTERS, METRICS, labelled, segment_columns
 
 TARGET = "future_revenue"
+# Fixed value: what a report says when nothing went wrong.
+DONE = "Successfully predicted values"
 
 
 def customer_value(
@@ -206,6 +208,6 @@ def report_json(summaries: DataFrame) -> DataFrame:
         F.concat(
             F.lit('{"data":{'),
             body,
-            F.lit('},"error":false,"message":"Successfully predicted values"}'),
+            F.lit(f'}},"error":false,"message":"{DONE}"}}'),
         ).alias("report")
     )

@@ -77,6 +77,12 @@ def test_segments_do_not_go_back_to_the_transactions(flat):
     )
 
 
+def test_labels_are_renumbered_without_moving_rows(flat):
+    lines = flat.withColumn("label", (F.col("quantity") % 3).cast("int"))
+    shown = plan(tf.order_cluster(lines, "label", "unitprice"))
+    assert "BroadcastHashJoin" in shown and "hashpartitioning" not in shown
+
+
 def test_clean_is_one_narrow_stage(spark, tmp_path):
     path = tmp_path / "shop.csv"
     path.write_text("No,Quantity,Invoice Date,Unit Price,Customer ID\n1,2,2011-01-01,3,x\n")
