@@ -77,6 +77,16 @@ def test_unknown_metric(sales):
         describe(sales, "profit")
 
 
+def test_customers_from_a_sketch(spark):
+    df = spark.range(0, 60000).selectExpr(
+        "cast(id % 5000 as string) as customerid", "timestamp_ntz'2011-01-01' as invoicedate"
+    )
+    (row,) = describe(df, "customers", approximate=True).collect()
+    assert abs(row.customers - 5000) < 200
+    (row,) = describe(df, "customers").collect()
+    assert row.customers == 5000
+
+
 def test_one_scan_per_figure(spark, small):
     from checks.views import retail
 
