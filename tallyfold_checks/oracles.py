@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.views import WINDOWS
+from tallyfold_checks.views import WINDOWS
 
 STEPS = 60
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tallyfold as tf
-from checks.views import (
+from tallyfold_checks.views import (
     PREDICTED,
     WINDOWS,
     dirty,

@@ -159,7 +159,7 @@ def test_order_cluster(spark):
 
 def test_known_centres(spark):
     """Regression values over the whole history of the sf0.01 tables."""
-    from checks.views import PREDICTED, retail
+    from tallyfold_checks.views import PREDICTED, retail
     from tallyfold import rfm_metrics
 
     df = rfm_metrics(retail(spark, "/root/testdata/sf0.01", *PREDICTED))

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from checks.views import PREDICTED, WINDOWS, retail
+from tallyfold_checks.views import PREDICTED, WINDOWS, retail
 from tallyfold import (
     InvalidDataset,
     Windows,

@@ -88,7 +88,7 @@ def test_customers_from_a_sketch(spark):
 
 
 def test_one_scan_per_figure(spark, small):
-    from checks.views import retail
+    from tallyfold_checks.views import retail
 
     df = describe(retail(spark, small), "revenue", "nation_3")
     plan = df._jdf.queryExecution().optimizedPlan().toString()

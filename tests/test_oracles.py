@@ -3,7 +3,7 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
-from checks.compare import connect, difference
+from tallyfold_checks.compare import connect, difference
 
 
 @pytest.fixture(scope="module")

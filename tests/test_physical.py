@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tallyfold as tf
-from checks.views import WINDOWS, retail
+from tallyfold_checks.views import WINDOWS, retail
 from tallyfold.operators import rfm
 from tallyfold.operators.windows import two_window_totals
 from tallyfold.session import shared_folder

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import tallyfold as tf
-from checks.views import PREDICTED, retail
+from tallyfold_checks.views import PREDICTED, retail
 
 few = settings(
     max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]

@@ -29,14 +29,14 @@ def test_same_money_as_exact_decimals(transactions):
 
 
 def test_fact_table_is_scanned_once(spark, small):
-    from checks.views import retail
+    from tallyfold_checks.views import retail
 
     plan = customer_country_totals(retail(spark, small))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet [l_orderkey") == 1
 
 
 def test_layout_does_not_matter(spark, small):
-    from checks.views import retail
+    from tallyfold_checks.views import retail
 
     df = retail(spark, small)
     one = segment(df.repartition(1)).collect()
