@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, simhash
+from tallyfold.llm import bpe, simhash, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,3 +33,9 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.without_repeats(_documents(spark, sf_dir), length=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
