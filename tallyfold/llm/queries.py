@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, simhash, suffixes
+from tallyfold.llm import bpe, language, simhash, suffixes
+from tallyfold.llm.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,7 +22,7 @@ def query(f: Query) -> Query:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 @query
@@ -39,3 +40,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.without_repeats(_documents(spark, sf_dir), length=200)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_languages(_documents(spark, sf_dir))
