@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, decontaminate, language, simhash, suffixes
+from tallyfold.llm import bpe, decontaminate, language, licenses, quality, simhash, suffixes
 from tallyfold.llm.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,107 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN items USING (doc_id) LEFT JOIN covered USING (doc_id)
 """
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_documents(spark, sf_dir))
+
+
+ORACLES["op3_quality"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+grams AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS s, w FROM d WHERE len(w) > 2),
+texts AS (SELECT doc_id, s, w[s] || ' ' || w[s + 1] || ' ' || w[s + 2] AS t FROM grams),
+again AS (SELECT doc_id, s FROM texts QUALIFY count(*) OVER (PARTITION BY doc_id, t) > 1),
+repeated AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([s, s + 1, s + 2]) AS p FROM again) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, host, text, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n,
+    trim(regexp_replace(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g')) AS line
+  FROM (SELECT doc_id, host, text, unnest(l) AS x FROM d)),
+frequent AS (
+  SELECT host, line
+  FROM (SELECT host, line, count(DISTINCT text) AS texts FROM lines GROUP BY ALL)
+  JOIN (SELECT host, count(DISTINCT text) AS of_host FROM d GROUP BY ALL) USING (host)
+  WHERE texts > 5 AND texts > 0.05::DOUBLE * of_host),
+lost AS (SELECT doc_id, sum(n) AS n FROM lines JOIN frequent USING (host, line) GROUP BY doc_id),
+facts AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+    coalesce(repeated.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS n_lost_words
+  FROM d LEFT JOIN repeated USING (doc_id) LEFT JOIN lost USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_lost_words >= 0.5::DOUBLE * n_words AS kept
+FROM facts
+"""
+
+
+@query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_documents(spark, sf_dir))
+    own = F.transform("phrases", lambda p: p["label"])
+    other = F.transform(F.coalesce("spans", F.slice("spans", 1, 0)), lambda s: s["label"])
+    listed = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.aggregate("phrases", F.lit(0).cast("long"), lambda n, p: n + p["n"]).alias("n_base"),
+        F.array_min(F.transform("phrases", lambda p: p["first"])).cast("long").alias("first_word"),
+        F.array_max(F.transform("phrases", lambda p: p["last"])).cast("long").alias("last_word"),
+        listed(own).alias("base_labels"),
+        listed(F.concat(own, F.coalesce(other, F.array().cast("array<string>")))).alias("labels"),
+        "score",
+    )
+
+
+_TEMPLATE_ROWS = ", ".join(
+    f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(licenses.TEMPLATES)
+)
+_PHRASE_ROWS = ", ".join(f"('{phrase}', '{label}')" for phrase, label in licenses.PHRASES)
+
+ORACLES["op6_licenses"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+p AS (SELECT string_split(phrase, ' ') AS p, label FROM (VALUES {_PHRASE_ROWS}) AS t(phrase, label)),
+spots AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM d),
+base AS (
+  SELECT doc_id, count(*) AS n, min(s) - 1 AS first, max(s) - 1 AS last,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM spots JOIN p ON w[s] = p[1] AND w[s:s + len(p) - 1] = p GROUP BY doc_id),
+t AS (
+  SELECT template, label, {_WORDS.format("t.text")} AS w FROM (VALUES {_TEMPLATE_ROWS}) AS t(template, label, text)),
+grams AS (
+  SELECT template, label, w, len(w) AS size, unnest(range(0, len(w) - 2)) AS place,
+    unnest([array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)]) AS g FROM t),
+votes AS (
+  SELECT doc_id, template, label, size, place, s - 1 - place AS diagonal
+  FROM (SELECT doc_id, s, array_to_string(w[s:s + 2], ' ') AS g FROM spots WHERE s + 2 <= len(w)) JOIN grams USING (g)),
+starts AS (
+  SELECT *, coalesce((diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > 2)::INT, 1) AS new
+  FROM (SELECT DISTINCT doc_id, template, diagonal FROM votes)),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM starts),
+voted AS (
+  SELECT doc_id, template, label, size, run, greatest(min(diagonal), 0) AS a, max(diagonal) + size AS b
+  FROM votes JOIN runs USING (doc_id, template, diagonal)
+  GROUP BY ALL
+  HAVING len(list_distinct(flatten(list([place, place + 1, place + 2])))) >= 0.8::DOUBLE * size),
+spans AS (
+  SELECT doc_id, v.label, run, v.template, v.size, ' ' || array_to_string(w[a + 1:b], ' ') || ' ' AS own
+  FROM voted v JOIN d USING (doc_id)),
+verified AS (
+  SELECT doc_id, s.label, len(list_distinct(flatten(list([place, place + 1, place + 2])))) / s.size::DOUBLE AS score
+  FROM spans s JOIN grams g ON s.template = g.template AND contains(own, ' ' || g.g || ' ')
+  GROUP BY doc_id, s.label, s.template, run, s.size),
+best AS (SELECT doc_id, label, score FROM verified WHERE score >= 0.8::DOUBLE),
+labelled AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT doc_id, label FROM best UNION ALL SELECT doc_id, unnest(string_split(labels, ',')) FROM base) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, first::BIGINT AS first_word,
+  last::BIGINT AS last_word, coalesce(base.labels, '') AS base_labels, coalesce(labelled.labels, '') AS labels,
+  CASE WHEN base.n > 0 THEN 1 ELSE coalesce((SELECT max(score) FROM best WHERE best.doc_id = d.doc_id), 0) END::DOUBLE AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN labelled USING (doc_id)
+"""
