@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tallyfold.session import shared_folder
 
+#: Has Spark delete the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 class Scratch:
     """Written tables of one job. A lost executor costs a re-read of them.
@@ -22,7 +25,12 @@ class Scratch:
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{shared_folder(self.spark)}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         table = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(table)] = path
         return table
