@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, decontaminate, language, licenses, quality, simhash, suffixes
+from tallyfold.llm import bpe, decontaminate, language, licenses, quality, sharding, simhash, suffixes
 from tallyfold.llm.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,7 +173,7 @@ runs AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagona
 voted AS (
   SELECT doc_id, template, label, size, run, greatest(min(diagonal), 0) AS a, max(diagonal) + size AS b
   FROM votes JOIN runs USING (doc_id, template, diagonal)
-  GROUP BY ALL
+  GROUP BY doc_id, template, label, size, run
   HAVING len(list_distinct(flatten(list([place, place + 1, place + 2])))) >= 0.8::DOUBLE * size),
 spans AS (
   SELECT doc_id, v.label, run, v.template, v.size, ' ' || array_to_string(w[a + 1:b], ' ') || ' ' AS own
@@ -191,3 +191,42 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base,
   CASE WHEN base.n > 0 THEN 1 ELSE coalesce((SELECT max(score) FROM best WHERE best.doc_id = d.doc_id), 0) END::DOUBLE AS score
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN labelled USING (doc_id)
 """
+
+
+@query
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(_documents(spark, sf_dir), shards=40)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def _feistel_sql(x: str) -> str:
+    """One pass of the network over the column ``x``, its halves ``h`` bits wide, as nested SELECTs."""
+    source = f"SELECT *, {x} >> h AS a0, {x} & ((1::BIGINT << h) - 1) AS b0 FROM walk"
+    for i in range(sharding.ROUNDS):
+        once = f"((xor(b{i}, {sharding._round_key(sharding.KEY, i)}::BIGINT) & 2147483647)::HUGEINT * {sharding.FACTOR} % (1::HUGEINT << 62))::BIGINT"
+        twice = f"((({once} >> 15) & 2147483647)::HUGEINT * {sharding.FACTOR} % (1::HUGEINT << 62))::BIGINT"
+        source = f"SELECT *, b{i} AS a{i + 1}, xor(a{i}, ({twice} >> 13) & ((1::BIGINT << h) - 1)) AS b{i + 1} FROM ({source})"
+    return f"SELECT doc_id, n, h, (a{sharding.ROUNDS} << h) | b{sharding.ROUNDS} AS x FROM ({source})"
+
+
+ORACLES["op4_sharding"] = f"""
+WITH RECURSIVE numbers AS (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS x, count(*) OVER () AS n FROM documents),
+walk AS (
+  SELECT doc_id, n, greatest(1, (CASE WHEN n > 1 THEN length(bin(n - 1)) ELSE 0 END + 1) // 2)::INT AS h, x, false AS moved FROM numbers
+  UNION ALL
+  SELECT doc_id, n, h, x, true FROM ({_feistel_sql("x").replace("FROM walk)", "FROM walk WHERE NOT moved OR x >= n)")})),
+bits AS (
+  SELECT list(list_reduce([b] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)
+    ORDER BY b) AS t FROM range(256) AS r(b)),
+hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sums AS (
+  SELECT doc_id, length(h) // 2 + 16 AS size,
+    xor(list_reduce([4294967295::BIGINT] || list_transform(range(0, length(h), 2), lambda i: ('0x' || h[i + 1:i + 2])::BIGINT),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32
+  FROM hexed, bits)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (x % 40)::INT AS shard, x // 40 AS slot, NULL::INT AS grown_shard
+FROM walk JOIN sums USING (doc_id) WHERE moved AND x < n
+"""
