@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, decontaminate, language, licenses, quality, sharding, simhash, suffixes
+from tallyfold.llm import bpe, decontaminate, language, licenses, quality, sharding, simhash, suffixes, surrogates, urls
 from tallyfold.llm.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -230,3 +230,85 @@ sums AS (
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (x % 40)::INT AS shard, x // 40 AS slot, NULL::INT AS grown_shard
 FROM walk JOIN sums USING (doc_id) WHERE moved AND x < n
 """
+
+
+#: Verdict, host and path of each rule.
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+@query
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(ship(spark).read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
+@query
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = surrogates.replace_entities(_documents(spark, sf_dir).select("doc_id", "text"), key=SURROGATE_KEY)
+    return replaced.select("doc_id", "text", "n_entities")
+
+
+#: A test key; a real one comes from the caller and stays secret.
+SURROGATE_KEY = "test tables only"
+
+
+def _template_levels() -> str:
+    """The tree level by level: l0 has empty templates, each next one a segment more."""
+    out = []
+    for i in range(urls.LEVELS):
+        out.append(f"""
+k{i} AS (
+  SELECT host, template, segments[{i + 1}] AS segment, sum(blocked) AS b, sum(allowed) AS a
+  FROM l{i} WHERE len(segments) > {i} GROUP BY ALL),
+n{i} AS (
+  SELECT host, template, segment, CASE
+    WHEN count(*) OVER p = 1 THEN segment
+    WHEN a + b > 0 AND sum(a + b) OVER p - a - b > 0 AND
+      abs(b::DOUBLE / (a + b) - (sum(b) OVER p - b)::DOUBLE / (sum(a + b) OVER p - a - b)) > 1.96::DOUBLE * sqrt(
+        (sum(b) OVER p)::DOUBLE / (sum(a + b) OVER p) * (1 - (sum(b) OVER p)::DOUBLE / (sum(a + b) OVER p))
+        * (1::DOUBLE / (a + b) + 1::DOUBLE / (sum(a + b) OVER p - a - b)))
+    THEN segment ELSE '*' END AS named
+  FROM k{i} WINDOW p AS (PARTITION BY host, template)),
+l{i + 1} AS (
+  SELECT host, shape, segments, blocked, allowed, template || coalesce('/' || named, '') AS template
+  FROM (SELECT *, segments[{i + 1}] AS segment FROM l{i}) LEFT JOIN n{i} USING (host, template, segment)),""")
+    return "".join(out)
+
+
+def _rule_sql(column: int) -> str:
+    cases = " ".join(
+        f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{(h + p, v)[column]}'"
+        for v, h, p in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    )
+    return f"CASE {cases} END"
+
+
+ORACLES["op10_urls"] = f"""
+WITH u AS (
+  SELECT page_id, {_LOWERED.format("regexp_extract(url, '://([^/?#]*)', 1)")} AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+r AS (
+  SELECT *, {_rule_sql(0)} AS rule, {_rule_sql(1)} AS by_rule, regexp_replace(path, '[0-9]+', '*', 'g') AS shape FROM u),
+l0 AS (
+  SELECT host, shape, list_filter(string_split(shape, '/'), lambda x: x <> '') AS segments, '' AS template,
+    count(*) FILTER (by_rule = 'block') AS blocked, count(*) FILTER (by_rule = 'allow') AS allowed
+  FROM r GROUP BY ALL),{_template_levels()}
+tree AS (
+  SELECT host, shape, template || CASE WHEN len(segments) > {urls.LEVELS} THEN '/**' ELSE '' END AS template, blocked, allowed
+  FROM l{urls.LEVELS}),
+g AS (SELECT (sum(blocked) + 1)::DOUBLE / (sum(allowed) + sum(blocked) + 2) AS p FROM tree),
+h AS (SELECT host, (sum(blocked) + 10.0::DOUBLE * any_value(p)) / (sum(allowed) + sum(blocked) + 10.0::DOUBLE) AS p FROM tree, g GROUP BY host),
+t AS (
+  SELECT host, template, sum(allowed) + sum(blocked) > 0 AS labelled,
+    (sum(blocked) + 10.0::DOUBLE * any_value(p)) / (sum(allowed) + sum(blocked) + 10.0::DOUBLE) AS purity
+  FROM tree JOIN h USING (host) GROUP BY host, template)
+SELECT page_id, host, path, rule, template, purity,
+  coalesce(by_rule, CASE WHEN labelled AND purity >= 0.8::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
+FROM r JOIN tree USING (host, shape) JOIN t USING (host, template)
+"""
