@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose encoding a task remembers, and arcs that it keeps.
-WORDS_KEPT = 1 << 17
+WORDS_KEPT = 1 << 19
 ARCS_KEPT = 1 << 20
 #: Words encoded at a time, so that memory does not grow with a text's tokens.
 CHUNK = 1 << 16
@@ -59,7 +59,8 @@ class Automaton:
             pair, uv = (vocabulary[u], vocabulary[v]), vocabulary[u + v]
             self.rank.setdefault(pair, rank)
             self.made.setdefault(uv, (rank, *pair))
-        self.longest = max(len(t.removesuffix(suffix)) for t in vocabulary)
+        labels = {t.removesuffix(suffix) for t in vocabulary}
+        self.prefixes = {label[:n] for label in labels for n in range(1, len(label) + 1)}
         self.arcs: dict[tuple[int, int], bool] = {}
         self.dead: set[int] = set()  # tokens no arc leads to, as their halves never meet
         for uv, (rank, u, v) in self.made.items():
@@ -92,25 +93,26 @@ class Automaton:
     def path(self, symbols: str) -> list[int]:
         """Token ids of one word, given as byte symbols without the suffix."""
         n = len(symbols)
-        last: list[tuple[int, int] | None] = [(-1, 0)]  # for each prefix: its last token, and where that starts
-        for end in range(1, n + 1):
-            tail = self.suffix if end == n else ""
-            for start in range(max(0, end - self.longest), end):
-                token = self.ids.get(symbols[start:end] + tail)
-                if token is None or token in self.dead or last[start] is None:
-                    continue
-                if start == 0 or self.arc(last[start][0], token):
-                    last.append((token, start))
+        ids, prefixes, suffix, dead = self.ids, self.prefixes, self.suffix, self.dead
+        last: list[tuple[int, int] | None] = [(-1, 0)] + [None] * n  # for each prefix: its last token, and where that starts
+        for start in range(n):
+            if last[start] is None:
+                continue
+            before = last[start][0]
+            for end in range(start + 1, n + 1):
+                label = symbols[start:end]
+                if label not in prefixes:
                     break
-            else:
-                last.append(None)
-        ids, at = [], n
+                token = ids.get(label if end < n else label + suffix)
+                if token is not None and last[end] is None and token not in dead and (start == 0 or self.arc(before, token)):
+                    last[end] = (token, start)
+        path, at = [], n
         while at:
             if last[at] is None:
                 raise ValueError("a symbol is not in the vocabulary")
             token, at = last[at]
-            ids.append(token)
-        return ids[::-1]
+            path.append(token)
+        return path[::-1]
 
 
 class WordTokenizer:
