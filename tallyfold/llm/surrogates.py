@@ -116,25 +116,25 @@ def _hex_characters(value: Column, stream: Column) -> Column:
     return F.when(lower & fits, hexed).when(upper & fits, F.upper(hexed)).otherwise(_characters(value, stream))
 
 
-def _made_up(script: str, female: bool, stream: Column, surname: bool) -> Column:
+def _made_up(script: str, female: bool, stream: Column, surname: bool, attempt: Column) -> Column:
+    """Three syllables, one more for each further attempt, and the gender's ending."""
     syllables = F.array(*(F.lit(s) for s in _SYLLABLES[script]))
-    start = 40 if surname else 0
-    parts = [F.element_at(syllables, _number(stream, F.lit(start + i)) % len(_SYLLABLES[script]) + 1) for i in range(3)]
-    return F.concat(F.initcap(F.concat(*parts)), F.lit("" if surname and script == "latin" else _ENDINGS[script, female]))
+    parts = F.transform(F.sequence(F.lit(0), attempt + 2), lambda i: F.element_at(syllables, _number(stream, i) % len(_SYLLABLES[script]) + 1))
+    return F.concat(F.initcap(F.array_join(parts, "")), F.lit("" if surname and script == "latin" else _ENDINGS[script, female]))
 
 
 def _person(value: Column, key: str, attempt: Column) -> Column:
     """A name for ``f Given Surname`` or ``m Surname``; surnames are keyed alone, so they agree between forms."""
     names = F.split(F.substr(value, F.lit(3)), " ")
-    surname = _stream(key, F.lit("surname"), F.element_at(names, -1), attempt)
-    given = _stream(key, value, attempt)
+    surname = _stream(key, F.lit("surname"), F.element_at(names, -1), attempt.cast("string"))
+    given = _stream(key, value, attempt.cast("string"))
     out = F.lit(None).cast("string")
     for script, is_script in (("latin", F.lit(True)), ("cyrillic", value.rlike(r"\p{IsCyrillic}"))):
         for female in (True, False):
-            last = _made_up(script, female, surname, True)
-            whole = F.when(F.size(names) > 1, F.concat(_made_up(script, female, given, False), F.lit(" "), last)).otherwise(last)
+            last = _made_up(script, female, surname, True, attempt)
+            whole = F.when(F.size(names) > 1, F.concat(_made_up(script, female, given, False, attempt), F.lit(" "), last)).otherwise(last)
             out = F.when(is_script & (F.substr(value, F.lit(1), F.lit(1)) == ("f" if female else "m")), whole).otherwise(out)
-    return out
+    return F.concat(F.substr(value, F.lit(1), F.lit(2)), out)
 
 
 def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
@@ -143,13 +143,15 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
     stream = _stream(key, kind, value, tries)
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     host = F.regexp_replace(domain, r"\.[^.]+$", "")
-    email = F.concat(_characters(local, stream), F.lit("@"), _characters(host, _stream(key, F.lit("domain"), domain)), F.lit(".example"))
+    # a domain's addresses stay together, unless its short ones run out
+    of_domain = _stream(key, F.lit("domain"), domain, F.when(attempt > 3, tries).otherwise(F.lit("")))
+    email = F.concat(_characters(local, stream), F.lit("@"), _characters(host, of_domain), F.lit(".example"))
     octets = [(_number(stream, F.lit(i)) % (254 if i else 223) + 1).cast("string") for i in range(4)]
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", F.concat_ws(".", *octets))
         .when(kind == "secret", _hex_characters(value, stream))
-        .when(kind == "name", _person(value, key, tries))
+        .when(kind == "name", _person(value, key, attempt))
         .when(kind == "iban", F.concat(F.substr(value, F.lit(1), F.lit(2)), _characters(F.substr(value, F.lit(3)), stream)))
         .when(F.contains(value, F.lit(" ")), F.concat_ws(" ", F.substring_index(value, " ", 1), _characters(F.substring_index(value, " ", -1), stream)))
         .otherwise(_characters(value, stream))
@@ -170,7 +172,7 @@ def dressed(kind: Column, mention: Column, value: Column) -> Column:
     title = F.regexp_extract(mention, r"^(\S+ )", 1)
     return (
         F.when((kind == "email") & loud, F.upper(value))
-        .when(kind == "name", F.concat(title, value))
+        .when(kind == "name", F.concat(title, F.substr(value, F.lit(3))))
         .when(kind.isin("card", "phone", "ssn", "iban"), filled)
         .otherwise(value)
     )
