@@ -226,9 +226,10 @@ def token_digests(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str
     return plain.mapInArrow(digest, schema).withColumnRenamed("doc_id", doc_id)
 
 
-def encode(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids, n_tokens, decoded) for every row: ids as an array, decoded as the words they stand for."""
-    plain = _texts(docs, doc_id, text)
+def encode(docs: DataFrame, file: str, keep: tuple[str, ...] = (), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, *keep, ids, n_tokens, decoded) for every row: ids as an array, decoded as the words they stand for."""
+    own = (doc_id, *keep)
+    plain = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(own)), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(file)
@@ -237,18 +238,18 @@ def encode(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text
                 part = batch.slice(at, 256)
                 found = [
                     [int(i) for chunk in coder.chunks(t.as_py()) for _, numbers, _ in chunk for i in numbers.split()]
-                    for t in part.column(1)
+                    for t in part.column(len(own))
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0),
+                        *part.columns[:-1],
                         pa.array(found, pa.list_(pa.int32())),
                         pa.array([len(i) for i in found], pa.int64()),
                         pa.array([coder.text_of(i) for i in found], pa.string()),
                     ],
-                    names=["doc_id", "ids", "n_tokens", "decoded"],
+                    names=[*(f"c{i}" for i in range(len(own))), "ids", "n_tokens", "decoded"],
                 )
 
-    kind = plain.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, ids array<int>, n_tokens long, decoded string"
-    return plain.mapInArrow(ids, schema).withColumnRenamed("doc_id", doc_id)
+    kinds = (f"c{i} {plain.schema[i].dataType.simpleString()}" for i in range(len(own)))
+    found = plain.mapInArrow(ids, ", ".join([*kinds, "ids array<int>, n_tokens long, decoded string"]))
+    return found.toDF(*own, "ids", "n_tokens", "decoded")

@@ -48,13 +48,13 @@ def _tokens(windows: DataFrame, width: int) -> DataFrame:
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, width: int = SHINGLE, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """(doc_id, n_words, hits, n_hit, items) for every row of ``docs`` (doc_id, text).
+    """(doc_id, digest, n_words, hits, n_hit, items) for every row of ``docs`` (doc_id, text).
 
     ``benchmark`` has the columns item_id and text. ``hits`` lists the verified windows with
     the word they start at, ``n_hit`` counts the words inside any of them and ``items`` are
     the ids of their items, sorted as strings. A null text has no words; an item without
     words has no windows, one without an id is not listed. Rows are told apart by id and
-    text, so ids may be null or repeat. Other columns are not read.
+    text (``digest`` is its xxhash64), so ids may be null or repeat. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession)
     tokens = scratch.write(_tokens(_windows(benchmark, window), width))
@@ -88,9 +88,10 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     scratch.drop(matches)
 
     same = (keyed.doc.eqNullSafe(candidates.doc)) & (keyed.digest == candidates.digest)
-    joined = keyed.join(candidates, same, "left").select(keyed.doc, "text", "candidates").withColumn("words", words)
+    joined = keyed.join(candidates, same, "left").select(keyed.doc, keyed.digest, "text", "candidates").withColumn("words", words)
     verified = joined.select(
         "doc",
+        "digest",
         F.size("words").cast("long").alias("n_words"),
         F.coalesce(
             F.filter("candidates", lambda c: F.array_join(F.slice("words", c["start"] + 1, c["length"]), " ") == c["window"]),
@@ -100,7 +101,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     )
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1))))
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
-    return verified.select(F.col("doc").alias("doc_id"), "n_words", "hits", F.size(covered).cast("long").alias("n_hit"), items.alias("items"))
+    return verified.select(F.col("doc").alias("doc_id"), "digest", "n_words", "hits", F.size(covered).cast("long").alias("n_hit"), items.alias("items"))
 
 
 def is_contaminated(share: int = 20):
