@@ -265,15 +265,17 @@ def _template_levels() -> str:
 k{i} AS (
   SELECT host, template, segments[{i + 1}] AS segment, sum(blocked) AS b, sum(allowed) AS a
   FROM l{i} WHERE len(segments) > {i} GROUP BY ALL),
-n{i} AS (
-  SELECT host, template, segment, CASE
-    WHEN count(*) OVER p = 1 THEN segment
-    WHEN a + b > 0 AND sum(a + b) OVER p - a - b > 0 AND
-      abs(b::DOUBLE / (a + b) - (sum(b) OVER p - b)::DOUBLE / (sum(a + b) OVER p - a - b)) > 1.96::DOUBLE * sqrt(
-        (sum(b) OVER p)::DOUBLE / (sum(a + b) OVER p) * (1 - (sum(b) OVER p)::DOUBLE / (sum(a + b) OVER p))
-        * (1::DOUBLE / (a + b) + 1::DOUBLE / (sum(a + b) OVER p - a - b)))
-    THEN segment ELSE '*' END AS named
+f{i} AS (
+  SELECT host, template, segment, a + b AS n, sum(a + b) OVER p - a - b AS rest,
+    b::DOUBLE / nullif(a + b, 0) - (sum(b) OVER p - b)::DOUBLE / nullif(sum(a + b) OVER p - a - b, 0) AS apart,
+    (sum(b) OVER p)::DOUBLE / nullif(sum(a + b) OVER p, 0) AS share
   FROM k{i} WINDOW p AS (PARTITION BY host, template)),
+e{i} AS (SELECT *, 1.96::DOUBLE * sqrt(share * (1 - share) * (1::DOUBLE / nullif(n, 0) + 1::DOUBLE / nullif(rest, 0))) AS error FROM f{i}),
+s{i} AS (SELECT *, CASE WHEN apart > error THEN '*+' WHEN apart < -error THEN '*-' ELSE '*' END AS side FROM e{i}),
+n{i} AS (
+  SELECT host, template, segment,
+    CASE WHEN count(*) OVER (PARTITION BY host, template, side) = 1 THEN segment ELSE side END AS named
+  FROM s{i}),
 l{i + 1} AS (
   SELECT host, shape, segments, blocked, allowed, template || coalesce('/' || named, '') AS template
   FROM (SELECT *, segments[{i + 1}] AS segment FROM l{i}) LEFT JOIN n{i} USING (host, template, segment)),""")

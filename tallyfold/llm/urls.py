@@ -1,11 +1,12 @@
 """URL filters by rule, and by the purity of path templates where no rule fits.
 
 The paths of a host form a tree of segments. Digits in a segment are generalised at once.
-Then, from the root down, siblings whose labelled pages are blocked as often as those of
-their siblings together, as far as a test can tell, are merged into one wildcard; the others
-stay. A page's way through the tree is its template. Labels are the verdicts of the rules;
-a template's share of blocked pages, smoothed towards its host's and that towards all
-hosts', is its purity, and pure ones are rejected.
+Then, from the root down, the share of blocked pages among a branch's labelled ones is tested
+against that of its siblings together. Branches above, below and not apart from the others
+are merged into a wildcard each (``*+``, ``*-``, ``*``); one that is alone there stays. A
+page's way through the tree is its template. Labels are the verdicts of the rules; a
+template's share of blocked pages, smoothed towards its host's and that towards all hosts',
+is its purity, and pure ones are rejected.
 """
 
 from __future__ import annotations
@@ -45,21 +46,25 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 def templates(shapes: DataFrame, scratch: Scratch, levels: int = LEVELS, z: float = Z) -> DataFrame:
     """(host, shape, template, n, blocked, allowed) from counts by host and shape.
 
-    Level by level: the counts of a level's nodes come from one aggregation, their parents'
-    from a second one on top of it.
+    Level by level: the counts of a level's nodes come from one aggregation, those of their
+    parents and of the wildcards from one each on top of it.
     """
     state = scratch.write(shapes.withColumn("segments", F.array_remove(F.split("shape", "/"), "")).withColumn("template", F.lit("")))
     for level in range(levels):
         at = state.withColumn("segment", F.get("segments", F.lit(level)))
         kids = at.where("segment is not null").groupBy("host", "template", "segment").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
-        parents = kids.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("b").alias("pb"), F.sum("a").alias("pa"))
+        parents = kids.groupBy("host", "template").agg(F.sum("b").alias("pb"), F.sum("a").alias("pa"))
         both = kids.join(parents, ["host", "template"])
         n, rest = F.col("a") + F.col("b"), F.col("pa") + F.col("pb") - F.col("a") - F.col("b")
         share = (F.col("pb") / (F.col("pa") + F.col("pb"))).cast("double")
-        apart = F.abs(F.col("b") / n - (F.col("pb") - F.col("b")) / rest)
+        apart = F.col("b") / n - (F.col("pb") - F.col("b")) / rest
         error = F.sqrt(share * (1 - share) * (1 / n + 1 / rest))
-        differs = F.when((n > 0) & (rest > 0), apart > z * error).otherwise(F.lit(False))
-        named = both.select("host", "template", "segment", F.when(differs | (F.col("kids") == 1), F.col("segment")).otherwise(F.lit("*")).alias("named"))
+        side = F.when(apart > z * error, F.lit("*+")).when(apart < -z * error, F.lit("*-")).otherwise(F.lit("*"))
+        sided = both.select("host", "template", "segment", F.when((n > 0) & (rest > 0), side).otherwise(F.lit("*")).alias("side"))
+        sizes = sided.groupBy("host", "template", "side").agg(F.count("*").alias("alike"))
+        named = sided.join(sizes, ["host", "template", "side"]).select(
+            "host", "template", "segment", F.when(F.col("alike") == 1, F.col("segment")).otherwise(F.col("side")).alias("named")
+        )
         grown = at.join(named, ["host", "template", "segment"], "left")
         grown = grown.withColumn("template", F.concat("template", F.coalesce(F.concat(F.lit("/"), "named"), F.lit(""))))
         after = scratch.write(grown.select(*state.columns))
@@ -95,10 +100,10 @@ def judge(
         F.count_if(F.col("by_rule") == "allow").alias("allowed"),
     )
     tree = scratch.write(templates(counts, scratch, levels, z))
-    every = tree.agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
-    everywhere = every.select(((F.coalesce("b", F.lit(0)) + 1) / (F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0)) + 2)).alias("all_hosts"))
-    hosts = tree.groupBy("host").agg(F.sum("blocked").alias("hb"), F.sum("allowed").alias("ha")).crossJoin(F.broadcast(everywhere))  # one row
-    hosts = hosts.select("host", ((F.col("hb") + smoothing * F.col("all_hosts")) / (F.col("ha") + F.col("hb") + smoothing)).alias("of_host"))
+    every = tree.agg(F.coalesce(F.sum("blocked"), F.lit(0)).alias("b"), F.coalesce(F.sum("allowed"), F.lit(0)).alias("a")).first()
+    everywhere = (every.b + 1) / (every.a + every.b + 2)
+    hosts = tree.groupBy("host").agg(F.sum("blocked").alias("hb"), F.sum("allowed").alias("ha"))
+    hosts = hosts.select("host", ((F.col("hb") + F.lit(smoothing * everywhere)) / (F.col("ha") + F.col("hb") + smoothing)).alias("of_host"))
     nodes = tree.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a")).join(hosts, "host")
     purity = (F.col("b") + smoothing * F.col("of_host")) / (F.col("a") + F.col("b") + smoothing)
     nodes = nodes.select("host", "template", purity.alias("purity"), (F.col("a") + F.col("b") > 0).alias("labelled"))
