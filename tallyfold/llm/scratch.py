@@ -28,7 +28,7 @@ class Scratch:
         before = self.spark.conf.get(_CLEANUP)
         self.spark.conf.set(_CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
         finally:
             self.spark.conf.set(_CLEANUP, before)
         table = self.spark.read.schema(df.schema).parquet(path)

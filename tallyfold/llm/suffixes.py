@@ -9,7 +9,7 @@ Three steps make that fit many machines.
 
 *Anchors.* Of the q-grams in each window of ``length`` bytes the one with the least
 identifier is the window's anchor. Equal windows have equal anchors at equal offsets, so only
-anchors are shuffled, about one in 70 positions, each with the run of windows it stands for.
+anchors are shuffled, about one in 85 positions, each with the run of windows it stands for.
 
 *Classes.* The identifier of all bytes that an anchor's windows cover, made from those of its
 q-grams, names its class. A class with several members repeats as a whole: all its windows do.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tallyfold.llm.scratch import Scratch
 
 #: Bytes of a first bucket. A power of two, as identifiers double from one byte.
-Q = 64
+Q = 32
 #: Bytes of text worked on at a time; windows are carried over from one piece to the next.
 PIECE = 1 << 17
 #: Classes of one bucket that a task refines at once.
