@@ -52,7 +52,7 @@ def test_repeated_rows_and_null_ids_count_as_places(docs):
     assert sorted(r.n_removed for r in found) == [0, 400, 400, 400]
     assert suffixes.without_repeats(docs([])).count() == 0
     with pytest.raises(ValueError):
-        suffixes.without_repeats(docs([text]), 100)
+        suffixes.without_repeats(docs([text]), 2 * suffixes.Q - 1)
 
 
 def test_refinement_numbers_equal_strings_alike():
