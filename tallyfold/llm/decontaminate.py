@@ -10,16 +10,17 @@ text. What is left is compared word by word.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.scratch import Scratch, broadcast_if_small
+from tallyfold.llm.scratch import Scratch
 from tallyfold.llm.words import NOT_ALPHANUMERIC, lower_ascii, with_shingles, words_between
 
 WINDOW = 13
 SHINGLE = 5
-#: Shingles or windows of the benchmark that are sent to all executors, some 100 bytes each.
-MAX_BROADCAST = 100_000
+#: Shingles of the benchmark that are sent to all executors to pick out places in texts, eight
+#: bytes each. A benchmark with more is joined by shuffling all places.
+MAX_SENT = 50_000
 
 
 def _windows(benchmark: DataFrame, window: int) -> DataFrame:
@@ -47,61 +48,75 @@ def _tokens(windows: DataFrame, width: int) -> DataFrame:
     return out
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, width: int = SHINGLE, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def _places(shingles: str, size: int, known: list[int] | None) -> Column:
+    """Array of (at, size, shingle): the places of ``known`` shingles, or of all."""
+
+    def place(s: Column, i: Column) -> Column:
+        found = F.struct(i.alias("at"), F.lit(size).alias("size"), s.alias("shingle"))
+        return found if known is None else F.when(s.isin(known), found)
+
+    return F.filter(F.transform(shingles, place), lambda p: p.isNotNull())
+
+
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, width: int = SHINGLE, max_sent: int = MAX_SENT) -> DataFrame:
     """(doc_id, digest, n_words, hits, n_hit, items) for every row of ``docs`` (doc_id, text).
 
     ``benchmark`` has the columns item_id and text. ``hits`` lists the verified windows with
     the word they start at, ``n_hit`` counts the words inside any of them and ``items`` are
     the ids of their items, sorted as strings. A null text has no words; an item without
-    words has no windows, one without an id is not listed. Rows are told apart by id and
-    text (``digest`` is its xxhash64), so ids may be null or repeat. Other columns are not read.
+    words has no windows, one without an id is not listed. ``digest`` is the text's xxhash64.
+    Rows are told apart by their place, so ids may be null or repeat. Other columns are not
+    read. Only the words of texts that share a shingle with the benchmark are kept beyond the
+    first pass.
     """
     scratch = Scratch(docs.sparkSession)
     tokens = scratch.write(_tokens(_windows(benchmark, window), width))
-    sizes = sorted(r["size"] for r in tokens.select("size").distinct().collect())  # 1 to width
-    keyed = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("digest"), "text")
-    words = words_between(lower_ascii(F.col("text")), NOT_ALPHANUMERIC)
+    wanted = tokens.select("size", "shingle").distinct()
+    sent = wanted.limit(max_sent + 1).collect()
+    few = len(sent) <= max_sent
+    sizes = range(1, width + 1) if not few else sorted({r["size"] for r in sent})
 
-    hashed = keyed.where("text is not null").withColumn("words", words)
-    hashed = hashed.select("doc", "digest", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    wanted = broadcast_if_small(scratch.write(tokens.select("size", "shingle").distinct()), max_broadcast)
-    matches = None
+    words = words_between(lower_ascii(F.col("text")), NOT_ALPHANUMERIC)
+    marked = docs.select("doc_id", F.xxhash64("text").alias("digest"), words.alias("words"))
+    marked = marked.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    places = [F.array().cast("array<struct<at: int, size: int, shingle: bigint>>")]
     for size in sizes:
-        places = with_shingles(hashed, "hashes", size, "shingles").select("doc", "digest", "n", F.posexplode("shingles").alias("at", "shingle"))
-        found = places.join(wanted.where(F.col("size") == size), "shingle").select("doc", "digest", "n", "at", "size", "shingle")
-        matches = found if matches is None else matches.unionByName(found)
-    if matches is None:  # no benchmark
-        matches = hashed.where("false").select("doc", "digest", "n", F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("shingle"))
-    matches = scratch.write(matches)
+        marked = with_shingles(marked, "hashes", size, f"shingles{size}")
+        places.append(_places(f"shingles{size}", size, [r.shingle for r in sent if r["size"] == size] if few else None))
+    marked = marked.withColumn("places", F.concat(*places))
+    facts = scratch.write(
+        marked.select(
+            "doc_id",
+            "digest",
+            F.size("words").alias("n_words"),
+            "places",
+            F.when(F.size("places") > 0, F.col("words")).alias("words"),
+            F.monotonically_increasing_id().alias("row"),
+        )
+    )
+    matches = facts.select("row", "n_words", F.inline("places"))
+    if not few:
+        matches = scratch.write(matches.join(wanted, ["size", "shingle"]))
 
     counts = matches.groupBy("size", "shingle").agg(F.count("*").alias("n_corpus"))
     rarity = tokens.join(counts, ["size", "shingle"], "left")
     prefix = rarity.groupBy("window").agg(
         F.min(F.struct("n_corpus", "offset", "size", "shingle", "length", "items")).alias("p"), F.count("n_corpus").alias("seen"), F.count("*").alias("all")
     ).where("seen = all")
-    prefix = broadcast_if_small(scratch.write(prefix.select("window", "p.offset", "p.size", "p.shingle", "p.length", "p.items")), max_broadcast)
+    prefix = scratch.write(prefix.select("window", "p.offset", "p.size", "p.shingle", "p.length", "p.items"))
 
     start = F.col("at") - F.col("offset")
-    bounded = matches.join(prefix, ["size", "shingle"]).where((start >= 0) & (start + F.col("length") <= F.col("n")))
-    candidates = bounded.groupBy("doc", "digest").agg(F.collect_set(F.struct(start.alias("start"), "length", "window", "items")).alias("candidates"))
-    candidates = scratch.write(candidates)
-    scratch.drop(matches)
-
-    same = (keyed.doc.eqNullSafe(candidates.doc)) & (keyed.digest == candidates.digest)
-    joined = keyed.join(candidates, same, "left").select(keyed.doc, keyed.digest, "text", "candidates").withColumn("words", words)
-    verified = joined.select(
-        "doc",
-        "digest",
-        F.size("words").cast("long").alias("n_words"),
-        F.coalesce(
-            F.filter("candidates", lambda c: F.array_join(F.slice("words", c["start"] + 1, c["length"]), " ") == c["window"]),
-            F.filter("candidates", lambda c: F.lit(False)),
-            F.array().cast(candidates.schema["candidates"].dataType),
-        ).alias("hits"),
-    )
+    bounded = matches.join(prefix, ["size", "shingle"]).where((start >= 0) & (start + F.col("length") <= F.col("n_words")))
+    candidates = bounded.groupBy("row").agg(F.collect_set(F.struct(start.alias("start"), "length", "window", "items")).alias("candidates"))
+    compared = facts.where("words is not null").select("row", "words").join(candidates, "row")
+    same = F.filter("candidates", lambda c: F.array_join(F.slice("words", c["start"] + 1, c["length"]), " ") == c["window"])
+    verified = scratch.write(compared.select("row", same.alias("hits")))
+
+    none = F.array().cast(verified.schema["hits"].dataType)
+    found = facts.select("row", "doc_id", "digest", "n_words").join(verified, "row", "left").withColumn("hits", F.coalesce("hits", none))
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1))))
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
-    return verified.select(F.col("doc").alias("doc_id"), "digest", "n_words", "hits", F.size(covered).cast("long").alias("n_hit"), items.alias("items"))
+    return found.select("doc_id", "digest", F.col("n_words").cast("long").alias("n_words"), "hits", F.size(covered).cast("long").alias("n_hit"), items.alias("items"))
 
 
 def is_contaminated(share: int = 20):

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyfold.session import shared_folder
 
@@ -39,11 +38,3 @@ class Scratch:
         for table in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self._paths.pop(id(table)))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """A written table with a broadcast hint if it has ``max_rows`` rows at most, else as it is.
-
-    Without the hint Spark joins by shuffling, with the same result.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

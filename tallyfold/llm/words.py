@@ -37,9 +37,11 @@ def with_shingles(df: DataFrame, words: str, width: int, name: str) -> DataFrame
 
     ``words`` names an array column of the words' own hashes.
     """
-    df = df.withColumn(name, F.col(words))
-    for k in range(1, width):
-        df = df.withColumn("__next", from_the(words, k))
+    df, done = df.withColumn(name, F.col(words)), 1
+    while done < width:  # twice as many words, while they are as many as that, else one more
+        other, step = (name, done) if 2 * done <= width else (words, 1)
+        df = df.withColumn("__next", from_the(other, done))
         df = df.withColumn(name, F.zip_with(name, "__next", lambda a, b: F.xxhash64(a, b)))
+        done += step
     count = F.greatest(F.size(words) - (width - 1), F.lit(0))
     return df.withColumn(name, F.slice(name, 1, count)).drop("__next")

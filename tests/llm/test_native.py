@@ -47,8 +47,8 @@ def test_benchmark_hits(spark, docs):
     texts += [" ".join(words(50) + long[i : i + 20] + words(20)) for i in range(5)]
     texts += [" ".join(words(rng.randint(1, 60), "qr")) for _ in range(15)] + [" ".join(words(3000) + long)] + [texts[4]] * 3
     benchmark = spark.createDataFrame([(i, t, "doc") for i, t in items], "item_id long, text string, doc string")
-    for limit in (0, 1000):  # joins by shuffling, and by broadcast
-        found = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.benchmark_hits(docs(texts), benchmark, max_broadcast=limit).collect()}
+    for limit in (0, 1000):  # joined by shuffling, and picked out in place
+        found = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.benchmark_hits(docs(texts), benchmark, max_sent=limit).collect()}
         assert found == dict(enumerate(hits_of(texts, items)))
     assert decontaminate.benchmark_hits(docs(texts), benchmark.where("false")).agg({"n_hit": "sum"}).first()[0] == 0
     assert decontaminate.benchmark_hits(docs([]), benchmark).count() == 0
