@@ -1,17 +1,18 @@
-"""Reading transaction files: CSV, JSON, Excel and Parquet; files, folders or globs."""
+"""Reading transaction files: CSV, JSON and Parquet; files, folders or globs."""
 
 from __future__ import annotations
 
 import posixpath
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from tallyfold.sources.workbooks import read_workbooks
+from tallyfold.errors import InvalidDataset
 
-FORMATS = ("csv", "json", "jsonl", "parquet", "xlsx")
+FORMATS = ("csv", "json", "jsonl", "parquet")
 # Formats whose first column is a row index.
-INDEXED = ("csv", "xlsx")
+INDEXED = ("csv",)
 
 
 def extension(path: str) -> str:
@@ -35,25 +36,71 @@ def read_transactions(
 ) -> DataFrame:
     """A transaction file as text columns, untouched otherwise.
 
-    ``fmt`` is taken from the extension unless given. The first column of a CSV file or
-    a workbook is a row index and left out by default. ``json`` is an array of records,
-    which Spark can only read one file per task; ``jsonl`` has a record per line and can
-    be split. A CSV file can be split too, unless it has line breaks inside quotes and
-    needs ``multiline``. JSON takes a pass over the data to learn its columns unless a
-    ``schema`` is given.
+    ``fmt`` is taken from the extension unless given. The first column of a CSV file is a
+    row index and left out by default. CSV files are read by the names in their own
+    headers, whatever their order; a row with more or fewer fields than its header fails
+    the query. ``json`` is an array of records, which Spark can only read one file per task;
+    ``jsonl`` has a record per line and can be split. A CSV file can be split too, unless it
+    has line breaks inside quotes and needs ``multiline``. JSON takes a pass over the data to
+    learn its columns unless a ``schema`` is given.
     """
     fmt = (fmt or extension(path)).lower()
     if fmt not in FORMATS:
         raise ValueError(f"cannot read {path}: the format must be one of {', '.join(FORMATS)}")
+    if drop_first_column is None:
+        drop_first_column = fmt in INDEXED
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "csv":
-        df = reader.csv(path, header=True, inferSchema=False, escape='"', multiLine=multiline)
-    elif fmt == "parquet":
+        return _read_csv(spark, path, schema, multiline, drop_first_column)
+    if fmt == "parquet":
         df = reader.parquet(path)
-    elif fmt == "xlsx":
-        df = read_workbooks(spark, path)
     else:
         df = reader.json(path, multiLine=fmt == "json", primitivesAsString=True)
-    if drop_first_column is None:
-        drop_first_column = fmt in INDEXED
     return df.drop(df.columns[0]) if drop_first_column and df.columns else df
+
+
+def _read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: StructType | str | None,
+    multiline: bool,
+    drop_first_column: bool,
+) -> DataFrame:
+    """Files with the same header are one read; reads are put together by column name."""
+
+    def read(paths, kind) -> DataFrame:
+        reader = spark.read.schema(kind).option("enforceSchema", False).option("columnPruning", False)
+        df = reader.csv(paths, header=True, escape='"', multiLine=multiline, mode="FAILFAST")
+        return df.drop(df.columns[0]) if drop_first_column and df.columns else df
+
+    if schema is not None:
+        return read(path, schema)
+    first = spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=multiline)
+    files = first.inputFiles()
+    whole: DataFrame | None = None
+    for names, paths in _by_header(spark, files, first.columns).items():
+        kind = StructType([StructField(n, StringType()) for n in names])
+        part = read(paths, kind)
+        if whole is not None and set(part.columns) != set(whole.columns):
+            raise InvalidDataset(f"{paths[0]} has other columns than the files before it")
+        whole = part if whole is None else whole.unionByName(part)
+    return first if whole is None else whole
+
+
+def _by_header(
+    spark: SparkSession, files: list[str], names: list[str]
+) -> dict[tuple[str, ...], list[str]]:
+    """The files of each header, from their first lines: one job for all files."""
+    if len(files) < 2:
+        return {tuple(names): files} if files else {}
+    lines = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("file"), "_metadata.file_block_start")
+    started = lines.filter("file_block_start = 0").withColumn("place", F.monotonically_increasing_id())
+    heads = started.groupBy("file").agg(F.min_by("value", "place").alias("head"))
+    headers: dict[str, list[str]] = {}
+    for r in heads.orderBy("file").collect():  # a row per file, as Spark's own listing has
+        headers.setdefault(r["head"], []).append(r["file"])
+    found: dict[tuple[str, ...], list[str]] = {}
+    for paths in headers.values():
+        own = tuple(spark.read.csv(paths[0], header=True, inferSchema=False, escape='"').columns)
+        found.setdefault(own, []).extend(paths)
+    return found
