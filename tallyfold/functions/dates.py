@@ -10,18 +10,26 @@ from pyspark.sql import functions as F
 
 # Patterns tried after the ISO forms, month first. A day-first pattern only ever
 # sees text that the month-first one refused, such as 13/1/2010.
+_TIME = "[ H:mm[:ss[.SSSSSS]]]"
 DATE_FORMATS = (
-    "M/d/yyyy[ H:mm[:ss]]",
+    "M/d/yyyy" + _TIME,
     "M/d/yyyy h:mm[:ss] a",
-    "d/M/yyyy[ H:mm[:ss]]",
-    "M/d/yy[ H:mm[:ss]]",
-    "yyyy/M/d[ H:mm[:ss]]",
-    "M-d-yyyy[ H:mm[:ss]]",
-    "d-MMM-yyyy[ H:mm[:ss]]",
-    "d-MMM-yy[ H:mm[:ss]]",
-    "d MMM yyyy[ H:mm[:ss]]",
-    "MMM d, yyyy[ H:mm[:ss]]",
-    "MMMM d, yyyy[ H:mm[:ss]]",
+    "d/M/yyyy" + _TIME,
+    "d/M/yyyy h:mm[:ss] a",
+    "M/d/yy" + _TIME,
+    "M/d/yy h:mm[:ss] a",
+    "d/M/yy" + _TIME,
+    "d/M/yy h:mm[:ss] a",
+    "yyyy/M/d" + _TIME,
+    "M-d-yyyy" + _TIME,
+    "M.d.yyyy" + _TIME,
+    "d.M.yyyy" + _TIME,
+    "d-MMM-yyyy" + _TIME,
+    "d-MMM-yy" + _TIME,
+    "d MMM yyyy" + _TIME,
+    "d MMMM yyyy" + _TIME,
+    "MMM d[,] yyyy" + _TIME,
+    "MMMM d[,] yyyy" + _TIME,
     "yyyyMMdd",
 )
 
@@ -63,7 +71,6 @@ def whole_days(later: Column, earlier: Column) -> Column:
 
 
 def timestamp_text(moment: Column) -> Column:
-    """Date and time with a fraction only where there is one."""
-    whole = F.date_format(moment, "yyyy-MM-dd HH:mm:ss")
-    fraction = F.date_format(moment, "SSSSSS")
-    return F.when(fraction == "000000", whole).otherwise(F.concat_ws(".", whole, fraction))
+    """Date and time with a fraction, of six digits, only where there is one."""
+    text = moment.cast("timestamp_ntz").cast("string")
+    return F.when(F.contains(text, F.lit(".")), F.rpad(text, 26, "0")).otherwise(text)

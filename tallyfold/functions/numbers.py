@@ -1,4 +1,4 @@
-"""Numbers out of text: fixed point with four decimals, so that sums are exact."""
+"""Numbers out of text: fixed point, so that sums are exact."""
 
 from __future__ import annotations
 
@@ -6,36 +6,56 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# What figures are read as, and money is summed as.
+WIDE = "decimal(38,8)"
+# Two figures of this type have an exact product in ``WIDE``.
 AMOUNT = "decimal(18,4)"
 
 
+def _or_error(number: Column, source: Column, message: Column) -> Column:
+    """``number``; where it is null and its source is not, the query fails whatever the ANSI setting."""
+    return F.coalesce(number, F.when(source.isNotNull(), F.raise_error(message).cast(WIDE)))
+
+
 def strict_number(df: DataFrame, name: str) -> Column:
-    """``name`` as a number; text that is none fails the query, whatever the ANSI setting."""
+    """``name`` as a number of eight decimals; what is none, or too large, fails the query."""
     column = F.col(name)
-    if not isinstance(df.schema[name].dataType, StringType):
-        return column.cast(AMOUNT)
-    message = F.concat(F.lit(f"column {name} holds text that is no number: "), column)
-    return F.coalesce(
-        column.try_cast(AMOUNT),
-        F.when(column.isNotNull(), F.raise_error(message).cast(AMOUNT)),
+    message = F.concat(
+        F.lit(f"column {name} holds text that is no number: "), column.cast("string")
     )
+    return _or_error(column.try_cast(WIDE), column, message)
 
 
 def lenient_number(df: DataFrame, name: str) -> Column:
-    """``name`` as a number, 0 for anything that is none.
+    """``name`` as a number of eight decimals, 0 for anything that is none.
 
-    Cast to decimal, not double: a double would let "nan" and "infinity" through.
+    Text is cast to decimal, not double: a double would let "nan" and "infinity" through.
+    A number of more than 30 digits before the point fails the query.
     """
     column = F.col(name)
-    if not isinstance(df.schema[name].dataType, StringType):
-        return F.coalesce(column.try_cast(AMOUNT), F.lit(0).cast(AMOUNT))
-    return F.coalesce(F.trim(column).try_cast(AMOUNT), F.lit(0).cast(AMOUNT))
+    if isinstance(df.schema[name].dataType, StringType):
+        text = F.trim(column)
+        digits = text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
+        column = F.when(digits, text)
+    else:
+        column = F.when(~F.isnan(column.cast("double")), column)
+    message = F.concat(F.lit(f"column {name} holds too large a number: "), column.cast("string"))
+    return F.coalesce(_or_error(column.try_cast(WIDE), column, message), F.lit(0).cast(WIDE))
 
 
 def line_value(df: DataFrame, lenient: bool = False) -> Column:
-    """Unit price times quantity of one line."""
+    """Unit price times quantity of one line.
+
+    Exact where both have four decimals and fourteen digits before the point, as money and
+    counts do; else as a binary product, of eight decimals.
+    """
     number = lenient_number if lenient else strict_number
-    return number(df, "unitprice") * number(df, "quantity")
+    price, quantity = number(df, "unitprice"), number(df, "quantity")
+    p, q = price.try_cast(AMOUNT), quantity.try_cast(AMOUNT)
+    binary = (price.cast("double") * quantity.cast("double")).try_cast(WIDE)
+    message = F.lit("unit price times quantity is too large a number")
+    product = F.when((p == price) & (q == quantity), (p * q).cast(WIDE)).otherwise(binary)
+    return _or_error(product, price + quantity, message)
 
 
 def exact(name: str) -> Column:

@@ -98,7 +98,10 @@ def parse_dates(
     formats: Iterable[str] = DATE_FORMATS,
     strict: bool = True,
 ) -> DataFrame:
-    """``column`` as wall-clock time; a date column that is typed at rest is only cast."""
+    """``column`` as wall-clock time; a date column that is typed at rest is only cast.
+
+    A ``timestamp`` with a zone becomes the wall-clock time of the session's zone.
+    """
     if is_temporal(df, column):
         return df.withColumn(column, F.col(column).cast("timestamp_ntz"))
     text = F.col(column)
