@@ -13,16 +13,14 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
-from decimal import Context, Decimal
+from decimal import Decimal
 from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-
-from tallyfold.errors import InvalidDataset
+from pyspark.sql.types import DecimalType, IntegralType
 
 # The first ranges are steps of a logarithmic scale, this many per unit of ln(1 + |value|):
 # some 57,000 for amounts up to a million, 380,000 for the whole range of the type.
@@ -31,18 +29,16 @@ STEPS_PER_E = 4096
 FANOUT = 512
 # Ranges split by one job: bounds what is broadcast, and the rows that reach the driver.
 SPLITS_PER_JOB = 512
-# Groups of ``histogram_by``.
-MAX_GROUPS = 64
-VALUE = "decimal(24,4)"
-UNITS = 10**4
-_DIGITS = Context(prec=60)
+# Digits of the whole units that a value, and the sum of all values, is counted in.
+DIGITS = 31
+UNIT = "decimal(38,0)"
 
 Thresholds = Mapping[object, Iterable[float]]
 
 
 @dataclass(frozen=True)
 class Bucket:
-    """Totals of the values from ``low`` to ``high``, in units of 1/10000.
+    """Totals of the values from ``low`` to ``high``, in whole units of their series.
 
     ``slot`` is the step of the logarithmic scale that they lie in.
     """
@@ -54,53 +50,82 @@ class Bucket:
     total: int
 
 
-def histogram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+@dataclass(frozen=True)
+class Histogram:
+    """Rows per distinct value: (series, value, rows, slot).
+
+    A value is a whole number of units, ``10 ** -scales[series]`` each.
+    """
+
+    counted: DataFrame
+    scales: tuple[int, ...]
+
+
+def decimals(df: DataFrame, column: str) -> int:
+    """Decimals that hold every value of ``column``.
+
+    A decimal type says so itself. A binary number has the digits that tell it from its
+    neighbours; there is room for them unless the largest value is 10**14 times as large.
+    """
+    kind = df.schema[column].dataType
+    if isinstance(kind, DecimalType):
+        return kind.scale
+    if isinstance(kind, IntegralType):
+        return 0
+    number = F.nanvl(F.abs(F.col(column).cast("double")), F.lit(None).cast("double"))
+    found = df.agg(F.max(number).alias("largest"), F.count("*").alias("rows")).head()
+    if found.largest is None or found.largest == float("inf"):
+        return 0
+    return max(0, DIGITS - len(str(int(found.largest))) - len(str(found.rows)))
+
+
+def whole_units(df: DataFrame, column: str, scale: int) -> Column:
+    """``column`` in units of ``10 ** -scale``; null for null and NaN, an error for what has too many digits."""
+    value = F.col(column)
+    number = value.try_cast(f"decimal(38,{scale})")
+    units = (number * F.lit(Decimal(10**scale)).cast(f"decimal({scale + 1},0)")).cast(UNIT)
+    there = value.isNotNull() & ~F.isnan(value.cast("double"))
+    message = f"column {column} holds a number that does not fit 38 digits"
+    return F.when(there, F.coalesce(units, F.raise_error(F.lit(message)).cast(UNIT)))
+
+
+def histogram(df: DataFrame, columns: Sequence[str]) -> Histogram:
     """Rows per distinct value of each column, all columns in one shuffle."""
+    scales = tuple(decimals(df, c) for c in columns)
     pairs = F.array(
         *[
-            F.struct(F.lit(i).alias("series"), F.col(c).cast(VALUE).alias("value"))
-            for i, c in enumerate(columns)
+            F.struct(
+                F.lit(i).alias("series"),
+                whole_units(df, c, scale).alias("value"),
+                F.col(c).cast("double").alias("number"),
+            )
+            for i, (c, scale) in enumerate(zip(columns, scales))
         ]
     )
-    return _counted(df.select(F.inline(pairs)))
-
-
-def histogram_by(df: DataFrame, column: str, group: str) -> DataFrame:
-    """Rows per distinct value of one column within each of a few groups."""
-    pairs = df.select(F.col(group).alias("series"), F.col(column).cast(VALUE).alias("value"))
-    return _counted(pairs.filter(F.col("series").isNotNull()))
-
-
-def _counted(pairs: DataFrame) -> DataFrame:
-    number = F.col("value").cast("double")
-    scale = F.signum(number) * F.log1p(F.abs(number))
-    return (
-        pairs.filter(F.col("value").isNotNull())
+    scale = F.signum("number") * F.log1p(F.abs("number"))
+    counted = (
+        df.select(F.inline(pairs))
+        .filter(F.col("value").isNotNull())
         .groupBy("series", "value")
-        .agg(F.count("*").alias("rows"))
+        .agg(F.count("*").alias("rows"), F.min("number").alias("number"))
         .withColumn("slot", F.floor(scale * STEPS_PER_E).cast("int"))
+        .drop("number")
     )
+    return Histogram(counted, scales)
 
 
 class ValueBuckets:
-    """Range totals of a histogram, refined on demand. Use as a context manager.
+    """Range totals of a histogram, refined on demand. Use as a context manager."""
 
-    ``grouped`` says that the histogram comes from ``histogram_by``: then there may be more
-    groups than the driver should hold totals of, and they are counted first.
-    """
-
-    def __init__(self, hist: DataFrame, grouped: bool = False):
-        self._hist = hist
-        self._grouped = grouped
+    def __init__(self, hist: Histogram):
+        self._hist = hist.counted
+        self._units = {s: 10**scale for s, scale in enumerate(hist.scales)}
         self._buckets: dict[object, list[Bucket]] = {}
         self._rows: dict[object, list[int]] = {}
         self._totals: dict[object, list[int]] = {}
 
     def __enter__(self) -> ValueBuckets:
         self._hist = self._hist.persist(StorageLevel.MEMORY_AND_DISK)
-        if self._grouped and self._hist.select("series").distinct().count() > MAX_GROUPS:
-            self._hist.unpersist()
-            raise InvalidDataset(f"more than {MAX_GROUPS} groups")
         found: dict[object, list[Bucket]] = {}
         for row in self._hist.groupBy("series", "slot").agg(*_totals()).collect():
             found.setdefault(row["series"], []).append(_bucket(row, row["slot"]))
@@ -115,14 +140,18 @@ class ValueBuckets:
     def series(self) -> list:
         return sorted(self._buckets)
 
+    def units(self, series: object) -> int:
+        """How many units make one."""
+        return self._units[series]
+
     def rows(self, series: object) -> int:
         return self._rows[series][-1] if self._rows.get(series) else 0
 
     def low(self, series: object) -> float:
-        return self._buckets[series][0].low / UNITS
+        return self._buckets[series][0].low / self._units[series]
 
     def high(self, series: object) -> float:
-        return self._buckets[series][-1].high / UNITS
+        return self._buckets[series][-1].high / self._units[series]
 
     def total(self, series: object) -> int:
         return self._totals[series][-1]
@@ -154,9 +183,9 @@ class ValueBuckets:
         i = self._straddling(series, threshold)
         if i is None:
             return rows, total
-        b = self._buckets[series][i]
-        share = (threshold * UNITS - b.low) / (b.high - b.low)
-        return rows + b.rows * share, total + b.rows * share * (b.low + threshold * UNITS) / 2
+        b, units = self._buckets[series][i], self._units[series]
+        share = (threshold * units - b.low) / (b.high - b.low)
+        return rows + b.rows * share, total + b.rows * share * (b.low + threshold * units) / 2
 
     def below(self, series: object, threshold: float) -> tuple[int, int]:
         """Rows and sum (in units) of the values up to a settled threshold."""
@@ -165,14 +194,14 @@ class ValueBuckets:
 
     def at_rank(self, series: object, rank: int) -> float:
         bucket, place = self._locate(series, rank)
-        return (bucket.low if place == 0 else bucket.high) / UNITS
+        return (bucket.low if place == 0 else bucket.high) / self._units[series]
 
     def around(self, series: object, threshold: float) -> tuple[float | None, float | None]:
         """The values next to a settled threshold, from below (or on it) and from above."""
         count = self._up_to(series, threshold)
-        buckets = self._buckets[series]
-        under = buckets[count - 1].high / UNITS if count else None
-        over = buckets[count].low / UNITS if count < len(buckets) else None
+        buckets, units = self._buckets[series], self._units[series]
+        under = buckets[count - 1].high / units if count else None
+        over = buckets[count].low / units if count < len(buckets) else None
         return under, over
 
     def cut(self, series: object, threshold: float) -> None:
@@ -185,12 +214,13 @@ class ValueBuckets:
         self._totals[series] = list(accumulate(b.total for b in buckets))
 
     def _up_to(self, series: object, threshold: float) -> int:
-        return bisect_right(self._buckets[series], threshold, key=lambda b: b.high / UNITS)
+        units = self._units[series]
+        return bisect_right(self._buckets[series], threshold, key=lambda b: b.high / units)
 
     def _straddling(self, series: object, threshold: float) -> int | None:
         place = self._up_to(series, threshold)
-        buckets = self._buckets[series]
-        return place if place < len(buckets) and buckets[place].low / UNITS <= threshold else None
+        buckets, units = self._buckets[series], self._units[series]
+        return place if place < len(buckets) and buckets[place].low / units <= threshold else None
 
     def _locate(self, series: object, rank: int) -> tuple[Bucket, int]:
         i = bisect_right(self._rows[series], rank)
@@ -217,17 +247,16 @@ class ValueBuckets:
         """
         targets = targets[:SPLITS_PER_JOB]
         chosen = [(s, self._buckets[s][i]) for s, i in targets]
-        kind = to_arrow_type(self._hist.schema["series"].dataType)
-        number = pa.decimal128(24, 4)
+        number = pa.decimal128(38, 0)
         ranges = self._hist.sparkSession.createDataFrame(
             pa.table(
                 {
                     "target": pa.array(range(len(chosen)), pa.int32()),
-                    "series": pa.array([s for s, _ in chosen], kind),
+                    "series": pa.array([s for s, _ in chosen], pa.int32()),
                     "slot": pa.array([b.slot for _, b in chosen], pa.int32()),
-                    "start": pa.array([_decimal(b.low) for _, b in chosen], number),
-                    "end": pa.array([_decimal(b.high) for _, b in chosen], number),
-                    "factor": [FANOUT * UNITS / (b.high - b.low) for _, b in chosen],
+                    "start": pa.array([Decimal(b.low) for _, b in chosen], number),
+                    "end": pa.array([Decimal(b.high) for _, b in chosen], number),
+                    "factor": [FANOUT / (b.high - b.low) for _, b in chosen],
                 }
             )
         )
@@ -259,17 +288,7 @@ def _totals() -> list[Column]:
 
 
 def _bucket(row, slot: int) -> Bucket:
-    return Bucket(
-        slot, _units(row["low"]), _units(row["high"]), row["rows"], _units(row["total"])
-    )
-
-
-def _units(value: Decimal) -> int:
-    return int(value.scaleb(4, _DIGITS))
-
-
-def _decimal(units: int) -> Decimal:
-    return Decimal(units).scaleb(-4, _DIGITS)
+    return Bucket(slot, int(row["low"]), int(row["high"]), row["rows"], int(row["total"]))
 
 
 def _step(start: Column, factor: Column, fanout: int) -> Column:

@@ -17,12 +17,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.errors import InvalidDataset
-from tallyfold.operators.buckets import UNITS, VALUE, ValueBuckets, histogram
+from tallyfold.operators.buckets import Histogram, ValueBuckets, histogram
 from tallyfold.operators.quantiles import quantiles_of_all
-from tallyfold.session import materialise
+from tallyfold.session import materialise, settled
 
 STARTS = ("quantile", "range", "farthest")
-MAX_STEPS = 60
+# Steps played through to foresee which ranges to split; the iteration itself has no limit.
+FORESIGHT = 60
+# Seeds and steps of Spark ML's k-means.
+SEEDS = (0, 1, 2)
+ML_STEPS = 300
+# Labels that ``order_cluster`` ranks: one row each, in one task.
+MAX_LABELS = 100_000
 
 # A series and the start it is clustered from.
 Run = tuple[object, str]
@@ -62,9 +68,9 @@ def _shares(below, buckets: ValueBuckets, series: object, centres: Sequence[floa
     return [(n - m, t - s) for (m, s), (n, t) in zip(edges, edges[1:])]
 
 
-def _moved(centres: Sequence[float], shares: Sequence[tuple]) -> tuple[float, ...]:
+def _moved(centres: Sequence[float], shares: Sequence[tuple], units: int) -> tuple[float, ...]:
     """Means of the clusters; an empty one stays where it is."""
-    return tuple(t / UNITS / n if n > 0 else c for c, (n, t) in zip(centres, shares))
+    return tuple(t / units / n if n > 0 else c for c, (n, t) in zip(centres, shares))
 
 
 def _range_start(buckets: ValueBuckets, series: object, k: int) -> tuple[float, ...]:
@@ -74,7 +80,7 @@ def _range_start(buckets: ValueBuckets, series: object, k: int) -> tuple[float,
 
 def _farthest_start(buckets: ValueBuckets, series: object, k: int) -> tuple[float, ...]:
     """The mean, then k-1 times the value farthest from all centres so far."""
-    centres = [buckets.total(series) / UNITS / buckets.rows(series)]
+    centres = [buckets.total(series) / buckets.units(series) / buckets.rows(series)]
     while len(centres) < k:
         gaps = _midpoints(centres)
         buckets.settle({series: gaps})
@@ -111,27 +117,28 @@ def fit_lloyd(
     buckets: ValueBuckets,
     ks: dict[object, int],
     starts: Sequence[str] = STARTS,
-    max_steps: int = MAX_STEPS,
 ) -> dict[object, Clusters]:
     """Cluster several series at once: a step of all of them shares its Spark jobs.
 
-    Of several starts the tightest result wins, the earlier one on a tie.
+    Each run goes on until no centre moves, or, should rounding make it go round in
+    circles, until it comes back to centres it has had. Of several starts the tightest
+    result wins, the earlier one on a tie.
     """
     for s, k in ks.items():
         if buckets.rows(s) < k:
             raise InvalidDataset(f"{buckets.rows(s)} rows are too few for {k} clusters")
     centres = _start_centres(buckets, ks, starts)
     moving = set(centres)
-    for step in range(max_steps):
-        if not moving:
-            break
+    had = {run: {start} for run, start in centres.items()}
+    while moving:
         runs = {run: centres[run] for run in moving}
-        buckets.settle(_thresholds(runs), lambda: _foreseen(buckets, runs, max_steps - step))
+        buckets.settle(_thresholds(runs), lambda: _foreseen(buckets, runs))
         for run in sorted(moving):
-            moved = _moved(centres[run], _shares(buckets.below, buckets, run[0], centres[run]))
-            if moved == centres[run]:
+            shares = _shares(buckets.below, buckets, run[0], centres[run])
+            centres[run] = _moved(centres[run], shares, buckets.units(run[0]))
+            if centres[run] in had[run]:
                 moving.discard(run)
-            centres[run] = moved
+            had[run].add(centres[run])
     buckets.settle(_thresholds(centres))
     best: dict[object, tuple[Fraction, Clusters]] = {}
     for (s, _), found in centres.items():
@@ -152,30 +159,31 @@ def _thresholds(runs: Mapping[Run, Sequence[float]]) -> dict[object, list[float]
 
 
 def _foreseen(
-    buckets: ValueBuckets, runs: Mapping[Run, Sequence[float]], steps: int
+    buckets: ValueBuckets, runs: Mapping[Run, Sequence[float]]
 ) -> dict[object, list[float]]:
     """Where the midpoints will go, going by estimates: the coming steps, played through."""
     points: dict[object, list[float]] = {}
     for (s, _), centres in runs.items():
-        for _ in range(steps):
+        for _ in range(FORESIGHT):
             points.setdefault(s, []).extend(_midpoints(centres))
-            moved = _moved(centres, _shares(buckets.estimate, buckets, s, centres))
+            moved = _moved(centres, _shares(buckets.estimate, buckets, s, centres), buckets.units(s))
             if moved == centres:
                 break
             centres = moved
     return points
 
 
-def fit_ml(hist: DataFrame, k: int, seeds: Sequence[int] = (0,)) -> Clusters:
+def fit_ml(hist: Histogram, k: int, seeds: Sequence[int] = SEEDS) -> Clusters:
     """Centres from Spark ML's k-means on the weighted histogram, best of the seeds."""
+    number = F.col("value").cast("double") / F.lit(float(10 ** hist.scales[0]))
     points = VectorAssembler(inputCols=["x"], outputCol="features").transform(
-        hist.select(F.col("value").cast("double").alias("x"), F.col("rows").cast("double"))
+        hist.counted.select(number.alias("x"), F.col("rows").cast("double"))
     ).persist()
     try:
         count = points.agg(F.sum("rows")).head()[0] or 0
         if count < k:
             raise InvalidDataset(f"{int(count)} rows are too few for {k} clusters")
-        models = [KMeans(k=k, seed=s, weightCol="rows").fit(points) for s in seeds]
+        models = [KMeans(k=k, seed=s, weightCol="rows", maxIter=ML_STEPS).fit(points) for s in seeds]
     finally:
         points.unpersist()
     model = min(models, key=lambda m: m.summary.trainingCost)
@@ -187,12 +195,12 @@ def assign(
     df: DataFrame, column: str, out: str, clusters: Clusters, ascending: bool = True
 ) -> DataFrame:
     """Add the label of ``column``'s cluster, numbered by the order of the centres."""
-    value = F.col(column).cast(VALUE).cast("double")
+    value = F.col(column).cast("double")
     *inner, last = clusters.ranks(ascending)
     label = F.lit(last)
     for rank, midpoint in reversed(list(zip(inner, clusters.midpoints))):
         label = F.when(value <= midpoint, rank).otherwise(label)
-    return df.withColumn(out, F.when(value.isNotNull(), label).cast("int"))
+    return df.withColumn(out, F.when(value.isNotNull() & ~F.isnan(value), label).cast("int"))
 
 
 def cluster_1d(
@@ -202,18 +210,17 @@ def cluster_1d(
     out: str,
     ascending: bool = True,
     method: str = "lloyd",
-    max_steps: int = MAX_STEPS,
     starts: Sequence[str] = STARTS,
-    seeds: Sequence[int] = (0,),
+    seeds: Sequence[int] = SEEDS,
 ) -> DataFrame:
     """Add cluster labels of one column.
 
     The table is read twice, once for the centres and once for the labels, so it is
-    written to the shared folder first.
+    written to the shared folder first unless it is a stored table as it stands.
     """
     if method not in ("lloyd", "ml"):
         raise ValueError("method must be lloyd or ml")
-    base = materialise(df)
+    base = settled(df)
     hist = histogram(base, [column])
     if method == "ml":
         found = fit_ml(hist, k, seeds)
@@ -221,7 +228,7 @@ def cluster_1d(
         with ValueBuckets(hist) as buckets:
             if not buckets.series:
                 raise InvalidDataset(f"0 rows are too few for {k} clusters")
-            found = fit_lloyd(buckets, {0: k}, starts, max_steps)[0]
+            found = fit_lloyd(buckets, {0: k}, starts)[0]
     return assign(base, column, out, found, ascending)
 
 
@@ -230,11 +237,14 @@ def order_cluster(
 ) -> DataFrame:
     """Renumber labels by the mean of the target; the label column moves to the end.
 
-    The window ranks one row per label. The ranks are written to the shared folder, so
-    that Spark knows their size before it plans the join: few of them are broadcast and
-    the rows of ``df`` stay where they are, be one label as frequent as it may.
+    The window ranks one row per label, in one task: more than ``MAX_LABELS`` are refused.
+    The ranks are written to the shared folder, so that Spark knows their size before it
+    plans the join: few of them are broadcast and the rows of ``df`` stay where they are,
+    be one label as frequent as it may.
     """
-    means = df.groupBy(cluster_column).agg(F.avg(target_column).alias("_mean"))
+    means = materialise(df.groupBy(cluster_column).agg(F.avg(target_column).alias("_mean")))
+    if means.limit(MAX_LABELS + 1).count() > MAX_LABELS:
+        raise InvalidDataset(f"more than {MAX_LABELS} labels in {cluster_column}")
     order = F.col("_mean").asc() if ascending else F.col("_mean").desc()
     ranks = means.select(
         cluster_column,

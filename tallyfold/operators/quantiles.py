@@ -5,14 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyfold.errors import InvalidDataset
-from tallyfold.operators.buckets import ValueBuckets, histogram, histogram_by
-from tallyfold.session import materialise
+from tallyfold.operators.buckets import ValueBuckets, histogram
+from tallyfold.session import materialise, settled
 
 
 def quantiles(buckets: ValueBuckets, series: object, probabilities: Sequence[float]) -> list[float]:
@@ -48,35 +46,66 @@ def column_quantiles(
 ) -> DataFrame:
     """Exact quantiles of ``column`` as rows ([by,] probability, value).
 
-    ``by`` is for a few groups, such as clusters: more than 64 are refused.
+    ``by`` may have any number of groups; rows whose group is null are left out.
     """
-    if by is None:
-        found_in = ValueBuckets(histogram(df, [column]))
-    else:
-        found_in = ValueBuckets(histogram_by(df, column, by), grouped=True)
-    with found_in as buckets:
+    if by is not None:
+        return _quantiles_by(df, column, probabilities, by)
+    with ValueBuckets(histogram(df, [column])) as buckets:
         found = quantiles_of_all(buckets, {s: probabilities for s in buckets.series})
-    group = "series" if by is None else by
-    kind = pa.int32() if by is None else to_arrow_type(df.schema[by].dataType)
-    rows = [(s, float(p), v) for s, values in found.items() for p, v in zip(probabilities, values)]
-    result = df.sparkSession.createDataFrame(
-        pa.table(
-            {
-                group: pa.array([r[0] for r in rows], kind),
-                "probability": pa.array([r[1] for r in rows], pa.float64()),
-                "value": pa.array([r[2] for r in rows], pa.float64()),
-            }
-        )
+    rows = [(float(p), v) for values in found.values() for p, v in zip(probabilities, values)]
+    return df.sparkSession.createDataFrame(rows, "probability double, value double")
+
+
+def _quantiles_by(df: DataFrame, column: str, probabilities: Sequence[float], by: str) -> DataFrame:
+    """Quantiles within each group, from running counts over the distinct values.
+
+    Distinct values are sorted by group and value into ranges, so a large group spans
+    several tasks. A range adds up its own rows; what lies before it comes from the totals
+    of the ranges, one number each.
+    """
+    value = F.col(column).cast("double")
+    there = df.filter(F.col(by).isNotNull() & value.isNotNull() & ~F.isnan(value))
+    counted = there.groupBy(F.col(by).alias("g"), value.alias("v")).agg(F.count("*").alias("n"))
+    ranged = counted.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id())
+    inside = Window.partitionBy("part").orderBy("g", "v")
+    ranged = materialise(ranged.withColumn("upto", F.sum("n").over(inside)))
+    totals = ranged.groupBy("part").agg(F.sum("n").alias("rows")).orderBy("part").collect()
+    before, starts = 0, []
+    for r in totals:
+        starts.append((r["part"], before))
+        before += r["rows"]
+    offsets = df.sparkSession.createDataFrame(starts or [(0, 0)], "part int, before long")
+    placed = ranged.join(F.broadcast(offsets), "part").withColumn("upto", F.col("upto") + F.col("before"))
+    groups = placed.groupBy("g").agg(
+        F.min(F.col("upto") - F.col("n")).alias("start"), F.sum("n").alias("rows")
+    )
+    wanted = F.array(*(F.lit(float(p)) for p in probabilities))
+    asked = groups.select("g", "start", F.explode(wanted).alias("probability"), "rows").select(
+        "g", "start", "probability", (F.col("probability") * (F.col("rows") - 1)).alias("place")
+    )
+    asked = asked.groupBy("g", "start").agg(F.collect_list(F.struct("probability", "place")).alias("asked"))
+    high = F.col("upto") - F.col("start") - 1
+    low = high - F.col("n") + 1
+    hit = placed.join(asked, "g").select("g", "v", low.alias("low"), high.alias("high"), F.inline("asked"))
+    is_low, is_high = (F.col("low") <= F.floor("place")) & (F.floor("place") <= F.col("high")), (
+        F.col("low") <= F.ceil("place")
+    ) & (F.ceil("place") <= F.col("high"))
+    ends = hit.filter(is_low | is_high).groupBy("g", "probability", "place").agg(
+        F.max(F.when(is_low, F.col("v"))).alias("a"), F.max(F.when(is_high, F.col("v"))).alias("b")
+    )
+    between = F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - F.floor("place"))
+    return ends.select(
+        F.col("g").alias(by), "probability", F.least(between, F.col("b")).alias("value")
     )
-    return result.drop("series") if by is None else result
 
 
 def outlier_trim(df: DataFrame, column: str, share: float = 0.99) -> DataFrame:
     """The rows strictly below the quantile; the largest value is always dropped.
 
-    Read twice, for the limit and for the rows, so written to the shared folder first.
+    Read twice, for the limit and for the rows, so written to the shared folder first
+    unless it is a stored table as it stands.
     """
-    base = materialise(df)
+    base = settled(df)
     with ValueBuckets(histogram(base, [column])) as buckets:
         if not buckets.series:
             raise InvalidDataset(f"there are no rows to trim by {column}")

@@ -50,7 +50,7 @@ def train_predict(
     if algo == "boosted":
         learner = OneVsRest(
             classifier=GBTClassifier(maxIter=rounds, stepSize=STEP, maxDepth=DEPTH, seed=seed),
-            parallelism=len(SEGMENTS),
+            parallelism=features.select(LABEL).distinct().count(),
         )
     elif algo == "forest":
         learner = RandomForestClassifier(numTrees=rounds, maxDepth=DEPTH, seed=seed)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyfold.errors import InvalidDataset
 from tallyfold.functions.numbers import exact
 from tallyfold.operators.buckets import ValueBuckets, histogram
-from tallyfold.operators.clusters import MAX_STEPS, STARTS, assign, fit_lloyd
+from tallyfold.operators.clusters import STARTS, assign, fit_lloyd
 from tallyfold.operators.quantiles import column_quantiles, trim_limit
 from tallyfold.operators.rfm import with_recency
 from tallyfold.operators.windows import Windows, two_window_totals
@@ -28,7 +28,6 @@ def customer_value(
     trim: float = 0.99,
     k: int = 3,
     starts: Sequence[str] = STARTS,
-    max_steps: int = MAX_STEPS,
 ) -> DataFrame:
     """All customers of the first window with segment, future revenue and value cluster.
 
@@ -41,12 +40,12 @@ def customer_value(
     with ValueBuckets(histogram(base, [*METRICS, TARGET])) as buckets:
         if not buckets.series:
             raise InvalidDataset("there are no customers in the first window")
-        scored = fit_lloyd(buckets, {i: CLUSTERS for i in range(revenue)}, starts, max_steps)
+        scored = fit_lloyd(buckets, {i: CLUSTERS for i in range(revenue)}, starts)
         limit = trim_limit(buckets, revenue, trim, TARGET)
         highest = nextafter(limit, -inf)
         buckets.settle({revenue: [highest]})
         buckets.cut(revenue, highest)
-        valued = fit_lloyd(buckets, {revenue: k}, starts, max_steps)[revenue]
+        valued = fit_lloyd(buckets, {revenue: k}, starts)[revenue]
     users = labelled(base, scored, "window")
     users = assign(users, TARGET, "ltv_cluster", valued)
     kept = F.col(TARGET).cast("double") < limit

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.errors import InvalidDataset
 from tallyfold.operators.buckets import ValueBuckets, histogram
-from tallyfold.operators.clusters import MAX_STEPS, STARTS, Clusters, assign, fit_lloyd
+from tallyfold.operators.clusters import STARTS, Clusters, assign, fit_lloyd
 from tallyfold.operators.rfm import customer_country_totals, customer_totals, with_recency
 from tallyfold.operators.scoring import PROFILES, score
 
@@ -21,7 +21,6 @@ def segment(
     df: DataFrame,
     profile: str = "all_data",
     starts: Sequence[str] = STARTS,
-    max_steps: int = MAX_STEPS,
 ) -> DataFrame:
     """R, F and M with their clusters, the overall score and the segment.
 
@@ -39,7 +38,7 @@ def segment(
     with ValueBuckets(histogram(base, METRICS)) as buckets:
         if not buckets.series:
             raise InvalidDataset("there are no customers to segment")
-        found = fit_lloyd(buckets, {i: CLUSTERS for i in range(len(METRICS))}, starts, max_steps)
+        found = fit_lloyd(buckets, {i: CLUSTERS for i in range(len(METRICS))}, starts)
     return labelled(base, found, profile).select(*keys, *segment_columns())
 
 
