@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_FOLDERS: dict[str, str] = {}
+_UNNAMED: set[str] = set()
 
 
 def build_session(master: str, partitions: int = 8, **settings: str) -> SparkSession:
@@ -24,21 +25,30 @@ def build_session(master: str, partitions: int = 8, **settings: str) -> SparkSes
     return builder.getOrCreate()
 
 
+def _scheme(spark: SparkSession, folder: str) -> str:
+    if ":" in folder.split("/", 1)[0]:
+        return folder.split(":", 1)[0]
+    system = spark._jvm.org.apache.hadoop.fs.FileSystem
+    return system.getDefaultUri(spark._jsc.hadoopConfiguration()).getScheme()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``.
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else the warehouse.
 
-    Only a local session may go without that setting; it gets a fresh folder of
-    its own, because all of its tasks run on this machine.
+    On a cluster a ``file:`` folder is refused, as each machine would see its own. What a
+    local session writes to the warehouse goes when Python ends.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        if context.applicationId not in _LOCAL_FOLDERS:
-            _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="tallyfold-")
-        folder = _LOCAL_FOLDERS[context.applicationId]
-    return f"{folder.rstrip('/')}/tallyfold-{context.applicationId}"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    folder = named or spark.conf.get("spark.sql.warehouse.dir", None) or "file:"
+    own_disk = _scheme(spark, folder) == "file"
+    if own_disk and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{folder.rstrip('/')}/tallyfold-{context.applicationId}"
+    if not named and own_disk and path not in _UNNAMED:
+        _UNNAMED.add(path)
+        atexit.register(shutil.rmtree, path.removeprefix("file:"), ignore_errors=True)
+    return path
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -54,6 +64,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` itself if it is a stored table as it stands, else written and read back."""
+    plan = df._jdf.queryExecution().analyzed()
+    stored = plan.getClass().getSimpleName() in ("LogicalRelation", "DataSourceV2Relation")
+    return df if stored else materialise(df)
+
+
 def release(spark: SparkSession) -> None:
     """Delete this application's scratch tables; frames built on them are dead after."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))

@@ -94,9 +94,10 @@ def test_no_python_in_the_plans(flat):
         assert "Python" not in plan(df) and "Pandas" not in plan(df)
 
 
-def test_cluster_session_needs_a_shared_folder():
+@pytest.mark.parametrize("settings", [{}, {"spark.checkpoint.dir": "file:/tmp/x"}, {"spark.sql.warehouse.dir": "file:/tmp/x"}])
+def test_cluster_session_needs_a_shared_folder(settings):
     bare = SimpleNamespace(
-        conf=SimpleNamespace(get=lambda name, default: default),
+        conf=SimpleNamespace(get=lambda name, default: settings.get(name, default)),
         sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="app"),
     )
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
