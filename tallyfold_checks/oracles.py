@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from tallyfold_checks.views import WINDOWS
 
-STEPS = 60
+# What values are counted in for exact sums, and their numbers.
+EXACT, COUNTS = "decimal(24,8)", "decimal(12,0)"
 
 VIEWS = {
     "retail": """
@@ -51,8 +52,11 @@ def statement(ctes: dict[str, str], select: str, *views: str) -> str:
     for view in views:
         for name in (*NEEDS.get(view, ()), view):
             wanted[name] = VIEWS[name]
-    body = ",\n".join(f"{name} as materialized ({sql})" for name, sql in {**wanted, **ctes}.items())
-    return f"with {body}\n{select}" if body else select
+    every = {**wanted, **ctes}
+    # one that reads itself cannot be materialised
+    kinds = {name: "" if f"from {name} " in sql else "materialized " for name, sql in every.items()}
+    body = ",\n".join(f"{name} as {kinds[name]}({sql})" for name, sql in every.items())
+    return f"with recursive {body}\n{select}" if body else select
 
 
 def on(view: str, select: str) -> str:
@@ -72,12 +76,21 @@ def quantile(source: str, value: str, share: str) -> str:
                        {share} * (count(*) over () - 1) as p from {source})))"""
 
 
-def clusters(name: str, source: str, value: str, k: int, ascending: bool = True) -> dict[str, str]:
-    """Lloyd's iteration, one table per step; ``{name}`` maps each value to its label."""
-    cast = f"cast({value} as decimal(24,4))"
+def clusters(
+    name: str,
+    source: str,
+    value: str,
+    k: int,
+    ascending: bool = True,
+    exact: str = EXACT,
+    counts: str = COUNTS,
+) -> dict[str, str]:
+    """Lloyd's iteration until no centre moves; ``{name}`` maps each value to its label."""
+    cast = f"cast({value} as {exact})"
+    centres = ", ".join(f"c{i}" for i in range(k))
     ctes = {
         f"{name}_hist": f"""
-            select {cast} as v, cast({cast} as double) as d, cast(count(*) as decimal(12,0)) as w
+            select {cast} as v, cast({cast} as double) as d, cast(count(*) as {counts}) as w
             from {source} group by all""",
         f"{name}_all": f"select {cast} as v from {source}",
     }
@@ -85,7 +98,6 @@ def clusters(name: str, source: str, value: str, k: int, ascending: bool = True)
         quantile(f"{name}_all", "v", f"(cast({2 * i + 1} as double) / cast({2 * k} as double))") + f" as c{i}"
         for i in range(k)
     ]
-    ctes[f"{name}_0"] = "select " + ", ".join(starts)
 
     def bounds(step: str) -> str:
         middles = ", ".join(f"(c{i} + c{i + 1}) / 2 as m{i}" for i in range(k - 1))
@@ -95,21 +107,25 @@ def clusters(name: str, source: str, value: str, k: int, ascending: bool = True)
         arms = " ".join(f"when d <= m{i} then {i}" for i in range(k - 1))
         return f"case {arms} else {k - 1} end"
 
-    for step in range(1, STEPS + 1):
-        moved = ", ".join(
-            f"coalesce(cast(sum(case when l = {i} then v * w end) as double) / "
-            f"cast(sum(case when l = {i} then w end) as double), any_value(c{i})) as c{i}"
-            for i in range(k)
-        )
-        ctes[f"{name}_{step}"] = (
-            f"select {moved} from (select v, w, {label()} as l, "
-            + ", ".join(f"c{i}" for i in range(k))
-            + f" from {name}_hist, {bounds(f'{name}_{step - 1}')})"
-        )
+    means = ", ".join(
+        f"coalesce(cast(sum(case when l = {i} then v * w end) as double) / "
+        f"cast(sum(case when l = {i} then w end) as double), any_value(c{i})) as n{i}, any_value(c{i}) as c{i}"
+        for i in range(k)
+    )
+    moved = " or ".join(f"n{i} <> c{i}" for i in range(k))
+    ctes[f"{name}_steps"] = f"""
+        select 0 as step, true as moves, {", ".join(starts)}
+        union all
+        select step + 1, {moved}, {", ".join(f"n{i}" for i in range(k))} from (
+            select any_value(step) as step, {means} from (
+                select v, w, {label()} as l, step, {centres}
+                from {name}_hist, {bounds(f"(select * from {name}_steps where moves)")}))
+        where step is not null"""
     order = "l" if ascending else "l desc"
+    last = f"(select * from {name}_steps where not moves)"
     ctes[name] = (
         f"select v, cast(dense_rank() over (order by {order}) - 1 as integer) as label "
-        f"from (select v, {label()} as l from {name}_hist, {bounds(f'{name}_{STEPS}')})"
+        f"from (select v, {label()} as l from {name}_hist, {bounds(last)})"
     )
     return ctes
 
@@ -149,9 +165,9 @@ def segments(source: str, profile: str) -> dict[str, str]:
                     else 'Low-Value' end as segment
         from (select *, recency_cluster + frequency_cluster + monetary_cluster as overall_score from (
             select users.*, rc.label as recency_cluster, fc.label as frequency_cluster, mc.label as monetary_cluster
-            from users join rc on rc.v = cast(recency as decimal(24,4))
-            join fc on fc.v = cast(frequency as decimal(24,4))
-            join mc on mc.v = cast(monetary as decimal(24,4))))"""
+            from users join rc on rc.v = cast(recency as {EXACT})
+            join fc on fc.v = cast(frequency as {EXACT})
+            join mc on mc.v = cast(monetary as {EXACT})))"""
     return ctes
 
 
@@ -181,8 +197,8 @@ VALUES = {
         from segments left join revenue using (customerid)""",
     "kept": "select * from joined where future_revenue < " + quantile("joined", "future_revenue", "cast(0.99 as double)"),
     **clusters("vc", "kept", "future_revenue", 3),
-    "ltv": """
-        select kept.*, vc.label as ltv_cluster from kept join vc on vc.v = cast(future_revenue as decimal(24,4))""",
+    "ltv": f"""
+        select kept.*, vc.label as ltv_cluster from kept join vc on vc.v = cast(future_revenue as {EXACT})""",
 }
 DESCRIBE = " union all ".join(
     f"select ltv_cluster, '{stat}' as stat, round({expression}, 6) as value from ltv group by ltv_cluster"
@@ -258,7 +274,7 @@ def metric_clusters(metric: str) -> str:
     ctes = {**metrics("customers", "retail"), **clusters("found", "customers", metric, 4)}
     return statement(ctes, f"""
         select customerid, {metric}, label as {metric}_cluster
-        from customers join found on v = cast({metric} as decimal(24,4))""", "retail")
+        from customers join found on v = cast({metric} as {EXACT})""", "retail")
 
 
 def points(x: str, y: str, where: str = "true") -> str:
@@ -300,6 +316,8 @@ _CLEAN_AMOUNT = "coalesce(try_cast(quantity as decimal(18,4)), 0) * coalesce(try
 ORACLES: dict[str, str] = {
     "scan_csv": on("dirty", 'select * exclude ("Invoice No") replace (nullif("Country", \'\') as "Country") from dirty'),
     "scan_json": on("dirty", "select * from dirty"),
+    "scan_json_array": on("dirty", "select * from dirty"),
+    "scan_csv_folder": on("dirty", 'select * exclude ("Invoice No") replace (nullif("Country", \'\') as "Country") from dirty'),
     "scan_dispatch": on("dirty", "select * from dirty"),
     "records_json": on("retail", """
         select '{"customerid":"' || customerid || '","invoicedate":"' || strftime(invoicedate, '%Y-%m-%d %H:%M:%S')
@@ -396,3 +414,26 @@ ORACLES: dict[str, str] = {
         select case l_returnflag when 'A' then 0 when 'N' then 1 when 'R' then 2 else 3 end as label,
                case when l_linestatus = 'F' then 0 when l_quantity > 25 then 1 else 4 end as prediction from lineitem"""), EVALUATED),
 }
+
+
+# Columns that need many steps, many decimals, many digits or many groups
+
+_FINE = "select event_id, event_type, value / 1000000 as x from events"
+_INVERSE = """
+    select l_orderkey, l_linenumber, 1000000000000 // (1 + (l_orderkey * 8 + l_linenumber) * 2654435761 % 1000003) as x
+    from lineitem"""
+ORACLES |= {
+    "skewed_clusters": statement({"inverse": _INVERSE, **clusters("found", "inverse", "x", 12)}, f"""
+        select l_orderkey, l_linenumber, label from inverse join found on v = cast(x as {EXACT})"""),
+    "fine_clusters": statement({"fine": _FINE, **clusters("found", "fine", "x", 4, exact="decimal(24,18)")}, """
+        select event_id, label from fine join found on v = cast(x as decimal(24,18))"""),
+    "fine_quantiles": statement({"fine": _FINE}, " union all ".join(
+        f"select cast({p} as double) as probability, round(quantile_cont(x, {p}), 12) as value from fine" for p in (0.25, 0.5, 0.99))),
+    "fine_trim": statement({"fine": _FINE}, "select event_id from fine where x < (select quantile_cont(x, 0.99) from fine)"),
+    "quantiles_by_customer": "select user_id, 0.5::double as probability, quantile_cont(value, 0.5) as value from events where user_id is not null group by user_id",
+    "lenient_extremes": """
+        select l_orderkey, l_linenumber,
+               case when l_orderkey % 3 = 0 then 1e15::double when l_orderkey % 3 = 1 then 0 else l_quantity::double end as quantity,
+               case when l_linenumber % 2 = 0 then 0.00004::double else 2.5 end as unitprice
+        from lineitem""",
+}

@@ -48,10 +48,25 @@ def _scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}/{name}"
 
 
+#: Copies of the tables as files, written once in an application.
+_COPIES: dict[tuple[str, str, str], str] = {}
+
+
+def _copy(spark: SparkSession, sf_dir: str, name: str, write: Callable[[DataFrame, str], None]) -> str:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _COPIES:
+        path = _scratch_path(spark, name)
+        write(dirty(spark, sf_dir), path)
+        _COPIES[key] = path
+    return _COPIES[key]
+
+
+def _write_csv(df: DataFrame, path: str) -> None:
+    df.write.csv(path, header=True, escape='"', emptyValue="", mode="append")
+
+
 def _csv_copy(spark: SparkSession, sf_dir: str) -> str:
-    path = _scratch_path(spark, "invoices.csv")
-    dirty(spark, sf_dir).write.csv(path, header=True, escape='"', emptyValue="")
-    return path
+    return _copy(spark, sf_dir, "invoices.csv", _write_csv)
 
 
 @query
@@ -59,18 +74,40 @@ def scan_csv(spark, sf_dir):
     return tf.read_transactions(spark, _csv_copy(spark, sf_dir))
 
 
+@query
+def scan_csv_folder(spark, sf_dir):
+    """Two kinds of files in one folder, their columns in different orders."""
+
+    def write(df: DataFrame, path: str) -> None:
+        first, *rest = df.columns
+        odd = F.col(first).cast("long") % 2 == 1
+        _write_csv(df.filter(odd), path)
+        _write_csv(df.filter(~odd).select(first, *reversed(rest)), path)
+
+    return tf.read_transactions(spark, _copy(spark, sf_dir, "folder.csv", write))
+
+
 @query
 def scan_json(spark, sf_dir):
-    path = _scratch_path(spark, "invoices.jsonl")
-    dirty(spark, sf_dir).write.json(path)
-    return tf.read_transactions(spark, path)
+    return tf.read_transactions(spark, _copy(spark, sf_dir, "invoices.jsonl", lambda df, path: df.write.json(path)))
+
+
+@query
+def scan_json_array(spark, sf_dir):
+    """Files that hold one array of records each; nothing but a test needs to write them."""
+
+    def write(df: DataFrame, path: str) -> None:
+        record = F.to_json(F.struct("*"))
+        dealt = df.select((F.col(df.columns[0]).cast("long") % 64).alias("part"), record.alias("record"))
+        arrays = dealt.groupBy("part").agg(F.collect_list("record").alias("records"))
+        arrays.select(F.concat(F.lit("["), F.array_join("records", ","), F.lit("]"))).repartition(64).write.text(path)
+
+    return tf.read_transactions(spark, _copy(spark, sf_dir, "invoices.json", write))
 
 
 @query
 def scan_dispatch(spark, sf_dir):
-    path = _scratch_path(spark, "invoices.PARQUET")
-    dirty(spark, sf_dir).write.parquet(path)
-    return tf.read_transactions(spark, path)
+    return tf.read_transactions(spark, _copy(spark, sf_dir, "invoices.PARQUET", lambda df, path: df.write.parquet(path)))
 
 
 @query
@@ -494,3 +531,55 @@ def classifier_report(spark, sf_dir):
     """The report of a trained forest on the customers it has not seen."""
     predictions = tf.train_predict(_ltv(spark, sf_dir), algo="forest")
     return tf.classification_report(predictions.filter("is_test"))
+
+
+# Columns that need many steps, many decimals, many digits or many groups
+
+
+def _fine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", (F.col("value") / 1_000_000).alias("x"))
+
+
+@query
+def skewed_clusters(spark, sf_dir):
+    """An inverse of a digest: far more steps than a well-behaved column takes."""
+    digest = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * F.lit(2654435761) % 1000003
+    df = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.floor(F.lit(10**12) / (1 + digest)).cast("long").alias("x")
+    )
+    return tf.cluster_1d(df, "x", 12, "label", starts=START).drop("x")
+
+
+@query
+def fine_clusters(spark, sf_dir):
+    return tf.cluster_1d(_fine(spark, sf_dir), "x", 4, "label", starts=START).drop("x")
+
+
+@query
+def fine_quantiles(spark, sf_dir):
+    found = tf.column_quantiles(_fine(spark, sf_dir), "x", (0.25, 0.5, 0.99))
+    return found.withColumn("value", F.round("value", 12))
+
+
+@query
+def fine_trim(spark, sf_dir):
+    return tf.outlier_trim(_fine(spark, sf_dir), "x").select("event_id")
+
+
+@query
+def quantiles_by_customer(spark, sf_dir):
+    return tf.column_quantiles(table(spark, sf_dir, "events"), "value", (0.5,), by="user_id")
+
+
+@query
+def lenient_extremes(spark, sf_dir):
+    """Text with more digits or decimals than money has; only what is no number becomes 0."""
+    third, odd = F.col("l_orderkey") % 3, F.col("l_linenumber") % 2
+    quantity = F.when(third == 0, "1e15").when(third == 1, "none").otherwise(F.col("l_quantity").cast("string"))
+    df = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        quantity.alias("quantity"),
+        F.when(odd == 0, "0.00004").otherwise("2.5").alias("unitprice"),
+    )
+    return df.withColumns({c: numbers.lenient_number(df, c).cast("double") for c in ("quantity", "unitprice")})
