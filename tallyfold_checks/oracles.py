@@ -437,3 +437,22 @@ ORACLES |= {
                case when l_linenumber % 2 = 0 then 0.00004::double else 2.5 end as unitprice
         from lineitem""",
 }
+
+# What is certain about trained models
+
+ORACLES |= {
+    "ltv_predictions_known": on_values(f"""
+        select customerid, {in_test('customerid')} as is_test, ltv_cluster as label, true as known from ltv"""),
+    "ltv_predictions_fit": on_values(f"""
+        select cast(sum(n) as bigint) as train_rows, max(n) as largest_class, true as fits
+        from (select count(*) as n from ltv where not ({in_test('customerid')}) group by ltv_cluster)"""),
+    "cluster_spread_ml": statement(
+        {**metrics("customers", "retail"), **clusters("found", "customers", "monetary", 4)},
+        f"""
+        select round(sum(part) / any_value(whole), 6) as left_within, true as ml_close from (
+            select var_pop(monetary) * count(*) as part,
+                   (select var_pop(monetary) * count(*) from customers) as whole
+            from customers join found on v = cast(monetary as {EXACT}) group by label)""",
+        "retail",
+    ),
+}

@@ -583,3 +583,52 @@ def lenient_extremes(spark, sf_dir):
         F.when(odd == 0, "0.00004").otherwise("2.5").alias("unitprice"),
     )
     return df.withColumns({c: numbers.lenient_number(df, c).cast("double") for c in ("quantity", "unitprice")})
+
+
+# What is certain about trained models
+
+
+@query
+def ltv_predictions_known(spark, sf_dir):
+    """Split and labels of the forest's rows, and whether each prediction is one of the labels."""
+    found = tf.train_predict(_ltv(spark, sf_dir), algo="forest")
+    return found.withColumn("known", F.col("prediction").between(0, 2)).drop("prediction")
+
+
+@query
+def ltv_predictions_fit(spark, sf_dir):
+    """Whether the forest fits its training rows at least as well as always naming the largest class."""
+    train = tf.train_predict(_ltv(spark, sf_dir), algo="forest").filter(~F.col("is_test"))
+    sizes = train.groupBy("label").agg(
+        F.count("*").alias("rows"), F.count_if(F.col("label") == F.col("prediction")).alias("hits")
+    )
+    return sizes.agg(
+        F.sum("rows").alias("train_rows"),
+        F.max("rows").alias("largest_class"),
+        (F.sum("hits") >= F.max("rows")).alias("fits"),
+    )
+
+
+@query
+def model_accuracy(spark, sf_dir):
+    """Accuracy of the forest on its training and its held-out rows."""
+    found = tf.train_predict(_ltv(spark, sf_dir), algo="forest")
+    hit = (F.col("label") == F.col("prediction")).cast("double")
+    return found.groupBy("is_test").agg(F.count("*").alias("rows"), F.avg(hit).alias("accuracy"))
+
+
+def _spread(df: DataFrame, value: str, label: str):
+    """Share of the squared deviation of ``value`` that is left within clusters."""
+    deviation = (F.var_pop(value) * F.count(value)).alias("deviation")
+    whole = df.agg(deviation).head()[0]
+    return df.groupBy(label).agg(deviation).agg((F.sum("deviation") / whole).alias("left_within"))
+
+
+@query
+def cluster_spread_ml(spark, sf_dir):
+    """How tight the exact clusters of the money are, and that Spark ML's come within a tenth of that."""
+    df = tf.rfm_metrics(retail(spark, sf_dir, *PREDICTED)).select("customerid", "monetary")
+    exact = _spread(tf.cluster_1d(df, "monetary", 4, "label", starts=START), "monetary", "label")
+    other = _spread(tf.cluster_1d(df, "monetary", 4, "label", method="ml"), "monetary", "label")
+    close = F.lit(other.head()[0]) <= 1.1 * F.col("left_within")
+    return exact.select(F.round("left_within", 6).alias("left_within"), close.alias("ml_close"))
