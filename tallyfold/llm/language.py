@@ -152,7 +152,7 @@ def fit(labelled: DataFrame, max_trained: int = MAX_TRAINED, bits: int = BITS) -
 
     Document frequencies are counted over all rows. The weights are trained in one task on
     ``max_trained`` rows at most, the same number of each language as far as it has them, chosen
-    by a digest of the id.
+    by a digest of the text.
     """
     rows = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null")
     frequency, n = document_frequencies(rows, bits)
@@ -163,7 +163,7 @@ def fit(labelled: DataFrame, max_trained: int = MAX_TRAINED, bits: int = BITS) -
     of = {name: i for i, name in enumerate(languages)}
     share = max(1, max_trained // len(languages))
     # the least digests of each language, found without gathering a language in one task
-    digest = F.xxhash64(F.col("doc_id").cast("string"), F.lit("train"))
+    digest = F.xxhash64("text", F.lit("train"))
     keyed = rows.select("lang", digest.alias("digest"))
     sizes = {r.lang: r["count"] for r in keyed.groupBy("lang").count().collect()}
     bound = F.lit(None).cast("long")
@@ -173,10 +173,17 @@ def fit(labelled: DataFrame, max_trained: int = MAX_TRAINED, bits: int = BITS) -
         bound = F.when(F.col("lang") == name, F.lit(upto)).otherwise(bound)
     sample = rows.withColumn("digest", digest).where(F.col("digest") <= bound).dropDuplicates(["lang", "digest"])
 
-    def learn(key, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["digest", "text"]).groupby("lang").head(share).sort_values(["digest", "lang", "text"])
-        part = part[part.text.map(lambda t: bool(_LETTER.search(t)))]
-        seen = [(*features(t, idf), of[lang]) for t, lang in zip(part.text, part.lang, strict=True)]
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(d, lang, *features(t, idf)) for d, lang, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if _LETTER.search(t)]
+            columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+            kinds = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.float64()))
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["digest", "lang", "bins", "weights"])
+
+    def learn(key: tuple[int], part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["digest", "lang"]).groupby("lang").head(share)
+        seen = [(t, x, of[lang]) for t, x, lang in zip(part.bins, part.weights, part.lang, strict=True)]
         kept = [r for i, r in enumerate(seen) if i % CALIBRATED]
         back = [r for i, r in enumerate(seen) if not i % CALIBRATED]
         w = train(kept, len(languages), 1 << bits)
@@ -185,7 +192,9 @@ def fit(labelled: DataFrame, max_trained: int = MAX_TRAINED, bits: int = BITS) -
         c, b = np.nonzero(w)
         return pd.DataFrame({"language": np.r_[-1, c], "bin": np.r_[-1, b], "weight": np.r_[scale, w[c, b]]})
 
-    one = sample.withColumn("one", F.lit(1)).groupBy("one")
+    # texts become features where they are: what meets in one task is bounded by documents and bins
+    sparse = sample.select("digest", "lang", "text").mapInArrow(featured, "digest long, lang string, bins array<long>, weights array<double>")
+    one = sparse.withColumn("one", F.lit(1)).groupBy("one")
     learnt = one.applyInPandas(learn, "language long, bin long, weight double").toPandas()
     w, rest = np.zeros((len(languages), 1 << bits)), learnt[learnt.language >= 0]
     w[rest.language, rest.bin] = rest.weight
