@@ -119,6 +119,16 @@ def test_surrogates_keep_format_identity_and_everything_else(docs):
     assert surrogates.replace_entities(docs([]), "k").count() == 0
 
 
+def test_every_kind_has_a_hint(spark):
+    """What has no hint is not looked at: texts of every kind, some without a digit."""
+    mentions = ["a@b.cc", "abcdef" * 6, "ABCDEF" * 6, "AKIA" + "B" * 16, "ghp_" + "b" * 36, "sk-" + "c" * 20, "DE89 3704 0044 0532 0130 00",
+                "4465 7583 8288 9437", "+1 (310) 555-4510", "078-05-1120", "2.195.74.112", "Mr. Meyer", "Ms Meyer", "Mrs Ab Cd", "Herr Müller",
+                "Frau Weiß", "Monsieur Petit", "Madame Petit", "Señor Gil", "Señora Gil", "Г-н Петров", "Г-жа Петрова"]
+    given = spark.createDataFrame([(i, f"x {m}, y") for i, m in enumerate(mentions)], "doc_id long, text string")
+    found = {r.doc_id: (r.text, r.n_entities) for r in surrogates.replace_entities(given, "k").collect()}
+    assert [m for i, m in enumerate(mentions) if found[i][1] != 1 or m in found[i][0]] == []
+
+
 def test_colliding_surrogates_are_made_again(spark):
     """More short addresses at one domain than letters: distinct all the same."""
     from tallyfold.llm.scratch import Scratch
