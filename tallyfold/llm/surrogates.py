@@ -125,11 +125,9 @@ def _made_up(script: str, female: bool, stream: Column, surname: bool, attempt:
     return F.concat(F.initcap(F.array_join(parts, "")), F.lit("" if surname and script == "latin" else _ENDINGS[script, female]))
 
 
-def _person(value: Column, key: str, attempt: Column) -> Column:
+def _person(value: Column, given: Column, surname: Column, attempt: Column) -> Column:
     """A name for ``f Given Surname`` or ``m Surname``; surnames are keyed alone, so they agree between forms."""
     names = F.split(F.substr(value, F.lit(3)), " ")
-    surname = _stream(key, F.lit("surname"), F.element_at(names, -1), attempt.cast("string"))
-    given = _stream(key, value, attempt.cast("string"))
     out = F.lit(None).cast("string")
     for script, is_script in (("latin", F.lit(True)), ("cyrillic", value.rlike(r"\p{IsCyrillic}"))):
         for female in (True, False):
@@ -139,25 +137,32 @@ def _person(value: Column, key: str, attempt: Column) -> Column:
     return F.concat(F.substr(value, F.lit(1), F.lit(2)), out)
 
 
-def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
-    """The surrogate, in canonical form, of a canonical value. Countries of phone and account numbers stay."""
+def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """``entities`` (kind, value, attempt) with ``surrogate``, in canonical form. Countries of phone and account numbers stay.
+
+    The digests become columns first: inside the lambdas they would be made again for each character.
+    """
+    kind, value, attempt = F.col("kind"), F.col("value"), F.col("attempt")
     tries = attempt.cast("string")
-    stream = _stream(key, kind, value, tries)
-    local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    host = F.regexp_replace(domain, r"\.[^.]+$", "")
-    # a domain's addresses stay together, unless its short ones run out
-    of_domain = _stream(key, F.lit("domain"), domain, F.when(attempt > 3, tries).otherwise(F.lit("")))
-    email = F.concat(_characters(local, stream), F.lit("@"), _characters(host, of_domain), F.lit(".example"))
+    domain = F.substring_index(value, "@", -1)
+    # a domain's addresses stay together, unless its short ones run out; so do the forms of a surname
+    group = F.when(kind == "email", domain).otherwise(F.substring_index(value, " ", -1))
+    again = F.when((kind != "email") | (attempt > 3), tries).otherwise(F.lit(""))
+    streams = entities.withColumns({"__own": _stream(key, kind, value, tries), "__group": _stream(key, F.lit("group"), kind, group, again)})
+    stream, of_group = F.col("__own"), F.col("__group")
+    local, host = F.substring_index(value, "@", 1), F.regexp_replace(domain, r"\.[^.]+$", "")
+    email = F.concat(_characters(local, stream), F.lit("@"), _characters(host, of_group), F.lit(".example"))
     octets = [(_number(stream, F.lit(i)) % (254 if i else 223) + 1).cast("string") for i in range(4)]
-    return (
+    surrogate = (
         F.when(kind == "email", email)
         .when(kind == "ip", F.concat_ws(".", *octets))
         .when(kind == "secret", _hex_characters(value, stream))
-        .when(kind == "name", _person(value, key, attempt))
+        .when(kind == "name", _person(value, stream, of_group, attempt))
         .when(kind == "iban", F.concat(F.substr(value, F.lit(1), F.lit(2)), _characters(F.substr(value, F.lit(3)), stream)))
         .when(F.contains(value, F.lit(" ")), F.concat_ws(" ", F.substring_index(value, " ", 1), _characters(F.substring_index(value, " ", -1), stream)))
         .otherwise(_characters(value, stream))
     )
+    return streams.withColumn("surrogate", surrogate).drop("__own", "__group")
 
 
 def dressed(kind: Column, mention: Column, value: Column) -> Column:
@@ -186,7 +191,7 @@ def entity_map(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     Also no surrogate is a value of its kind. Who came by a surrogate with fewer attempts, then
     the smaller value, keeps it; the others try again, few of them more than once.
     """
-    state = scratch.write(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), key, F.lit(0))))
+    state = scratch.write(with_surrogates(entities.withColumn("attempt", F.lit(0)), key))
     known = entities.select("kind", F.col("value").alias("surrogate"))
     while True:
         holders = state.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "value")).alias("holder"))
@@ -194,8 +199,7 @@ def entity_map(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
         again = scratch.write(state.join(holders, ["kind", "value"], "left_anti").select("kind", "value", (F.col("attempt") + 1).alias("attempt")))
         if again.isEmpty():
             return state
-        remade = again.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), key, F.col("attempt")))
-        settled = state.join(again.select("kind", "value"), ["kind", "value"], "left_anti").unionByName(remade)
+        settled = state.join(again.select("kind", "value"), ["kind", "value"], "left_anti").unionByName(with_surrogates(again, key))
         after = scratch.write(settled)
         scratch.drop(state)
         state = after
