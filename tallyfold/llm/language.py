@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.llm.scratch import Scratch
+
 N = 3
 BITS = 14
 #: Labelled documents trained on at most, and the share of them held back for the temperature.
@@ -151,26 +153,42 @@ def fit(labelled: DataFrame, max_trained: int = MAX_TRAINED, bits: int = BITS) -
     """A model from rows (doc_id, text, lang); rows with a null text or language, or without letters, teach nothing.
 
     Document frequencies are counted over all rows. The weights are trained in one task on
-    ``max_trained`` rows at most, the same number of each language as far as it has them, chosen
-    by a digest of the text.
+    ``max_trained`` distinct texts at most, the same number of each language as far as it has them,
+    chosen by a digest of the text.
     """
     rows = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null")
     frequency, n = document_frequencies(rows, bits)
     idf = np.log((1 + n) / (1 + frequency)) + 1
-    languages = tuple(sorted(r.lang for r in rows.select("lang").distinct().collect()))
+    scratch = Scratch(labelled.sparkSession)
+    digest = F.xxhash64("text", F.lit("train"))
+
+    def lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([bool(_LETTER.search(t.as_py())) for t in batch.column(2)], pa.bool_())).select([0, 1])
+
+    # what a language can teach: its distinct texts, however many copies there are of one
+    distinct = rows.select("lang", digest.alias("digest"), "text").mapInArrow(lettered, "lang string, digest long").distinct()
+    keyed = scratch.write(distinct)
+    sizes = {r.lang: r["count"] for r in keyed.groupBy("lang").count().collect()}
+    languages = tuple(sorted(sizes))
     if not languages:
+        scratch.drop(keyed)
         return LanguageModel((), idf, np.zeros((0, 1 << bits)), 1.0)
     of = {name: i for i, name in enumerate(languages)}
     share = max(1, max_trained // len(languages))
     # the least digests of each language, found without gathering a language in one task
-    digest = F.xxhash64("text", F.lit("train"))
-    keyed = rows.select("lang", digest.alias("digest"))
-    sizes = {r.lang: r["count"] for r in keyed.groupBy("lang").count().collect()}
-    bound = F.lit(None).cast("long")
-    for name in languages:
-        part = min(1.0, 1.2 * share / sizes[name])
-        upto = min(int(part * (1 << 64)) - (1 << 63), (1 << 63) - 1)
-        bound = F.when(F.col("lang") == name, F.lit(upto)).otherwise(bound)
+    parts = {name: min(1.0, 1.2 * share / sizes[name]) for name in languages}
+    while True:
+        bound = F.lit(None).cast("long")
+        for name in languages:
+            upto = min(int(parts[name] * (1 << 64)) - (1 << 63), (1 << 63) - 1)
+            bound = F.when(F.col("lang") == name, F.lit(upto)).otherwise(bound)
+        got = {r.lang: r["count"] for r in keyed.where(F.col("digest") <= bound).groupBy("lang").count().collect()}
+        short = [name for name in languages if got.get(name, 0) < min(share, sizes[name])]
+        if not short:
+            break
+        parts |= {name: min(1.0, 2 * parts[name]) for name in short}
+    scratch.drop(keyed)
     sample = rows.withColumn("digest", digest).where(F.col("digest") <= bound).dropDuplicates(["lang", "digest"])
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

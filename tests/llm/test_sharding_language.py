@@ -86,3 +86,21 @@ def test_temperature_and_sparsity():
     rows = [(np.array([y, 3]), np.array([0.9, 0.1]), int(y)) for y in rng.integers(0, 2, 200)]
     w = language.train(rows, 2, 8)
     assert (w[:, 4:] == 0).all() and w[0, 0] > 0 > w[0, 1]
+
+
+def test_copies_take_no_places_of_the_sample(spark, monkeypatch, tmp_path):
+    """Every language trains on as many distinct texts as it has, up to its share, whatever copies there are."""
+    rng = random.Random(4)
+    rows = [(speak(rng, letters, 6), lang) for letters, lang in (("abcde", "aa"), ("vwxyz", "bb")) for _ in range(40)]
+    rows += [("same same", "aa")] * 20_000 + [("12", "bb")] * 5000 + [("3 4", "cc")] * 10
+    given = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    plain = language.train
+
+    def counted(seen, classes, size):
+        (tmp_path / f"{classes}-{sum(y == 0 for *_, y in seen)}-{sum(y == 1 for *_, y in seen)}").touch()
+        return plain(seen, classes, size)
+
+    monkeypatch.setattr(language, "train", counted)
+    assert language.fit(given, max_trained=60, bits=8).languages == ("aa", "bb")
+    classes, first, second = map(int, next(tmp_path.iterdir()).name.split("-"))
+    assert classes == 2 and first + second == 60 - 12 and min(first, second) >= 30 - 12
