@@ -3,9 +3,9 @@
 Entities are found by pattern. An entity's canonical form (case, separators and title apart)
 names it: all its mentions get the same surrogate, in the format of each mention. Surrogates
 are made from a keyed digest character by character: digits become digits, letters become
-letters of the same script and case; names keep their gender's ending. A surrogate that
+letters of the same script and case, or Latin ones; names keep their gender's ending. A surrogate that
 another entity has too, or that is itself an entity of the corpus, is made again with the
-next attempt until all are distinct.
+next attempt until all are distinct, and grows when its shape may have no value left.
 
 Everything is column expressions; a lambda reads other columns only where these are short.
 """
@@ -39,13 +39,17 @@ _SYLLABLES = {
 _ENDINGS = {("latin", True): "lia", ("latin", False): "ric", ("cyrillic", True): "рина", ("cyrillic", False): "рин"}
 
 #: First and last letter of alphabets that a letter stays in.
-_ALPHABETS = (("a", "z"), ("A", "Z"), ("α", "ω"), ("Α", "Ρ"), ("а", "я"), ("А", "Я"), ("א", "ת"), ("ぁ", "ん"), ("ァ", "ン"), ("一", "龥"), ("가", "힣"))
+_ALPHABETS = (("a", "z"), ("A", "Z"), ("α", "ω"), ("Α", "Ρ"), ("а", "я"), ("А", "Я"), ("א", "ת"), ("ぁ", "ん"), ("ァ", "ン"), ("一", "龥"), ("가", "힣"),
+              ("ا", "غ"), ("अ", "ह"), ("ก", "ฮ"), ("ա", "ֆ"), ("Ա", "Ֆ"), ("ა", "ჰ"))
 
 MENTION = "|".join(pattern for _, pattern in PATTERNS)
 #: What every mention has one of: a digit, an at sign, the start of a secret, or a title. Cheap to look for first.
 HINT = r"[0-9@]|[a-f]{32}|[A-F]{32}|AKIA|sk-|gh[pousr]_|[MHFSГ](?:rs?|s|err|rau|onsieur|adame|eñora?|-н|-жа)\.? "
 #: Digests chained for one surrogate: hex digits that a value's characters draw from.
 _BLOCKS = 4
+#: Attempts after which a surrogate gets a character more for each further one, as its shape may have no free value:
+#: an address has few values at a short domain, numbers have many.
+_GROWN_EMAIL, _GROWN_NUMBER = 3, 8
 
 
 def kind_of(mention: Column) -> Column:
@@ -86,10 +90,9 @@ def _number(stream: Column, i: Column, digits: int = 4) -> Column:
 
 
 def _letter(c: Column, n: Column) -> Column:
-    """A letter of the alphabet of ``c``; other letters of Latin script as plain ones, others as they are."""
-    accented = F.when(c == F.lower(c), F.char(F.lit(97) + n % 26)).otherwise(F.char(F.lit(65) + n % 26))
-    out = F.when(c.rlike(r"\p{IsLatin}"), accented).otherwise(c)
-    for first, last in _ALPHABETS:
+    """A letter of the alphabet of ``c``, a plain Latin one if it is in none of them."""
+    out = F.when(c == F.lower(c), F.char(F.lit(97) + n % 26)).otherwise(F.char(F.lit(65) + n % 26))
+    for first, last in reversed(_ALPHABETS):
         size, start = ord(last) - ord(first) + 1, ord(first)
         # a character from its number, beyond ASCII too
         point = F.decode(F.unhex(F.lpad(F.hex((F.lit(start) + n % size).cast("long")), 8, "0")), "UTF-32")
@@ -98,11 +101,11 @@ def _letter(c: Column, n: Column) -> Column:
 
 
 def _characters(value: Column, stream: Column) -> Column:
-    """``value`` with each digit and letter replaced by one of its kind."""
+    """``value`` with each letter replaced by one of its kind, and each digit of any script by a plain one."""
     return F.array_join(
         F.transform(
             F.split(value, ""),
-            lambda c, i: F.when(c.rlike("[0-9]"), (_number(stream, i) % 10).cast("string"))
+            lambda c, i: F.when(c.rlike(r"\p{N}"), (_number(stream, i) % 10).cast("string"))
             .when(c.rlike(r"\p{L}"), _letter(c, _number(stream, i)))
             .otherwise(c),
         ),
@@ -149,24 +152,28 @@ def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
     group = F.when(kind == "email", domain).otherwise(F.substring_index(value, " ", -1))
     again = F.when((kind != "email") | (attempt > 3), tries).otherwise(F.lit(""))
     streams = entities.withColumns({"__own": _stream(key, kind, value, tries), "__group": _stream(key, F.lit("group"), kind, group, again)})
-    stream, of_group = F.col("__own"), F.col("__group")
+    # what it has grown by: hex digits as letters for addresses, as digits for numbers
+    grown = F.substr("__own", F.lit(129), F.greatest(attempt - F.when(kind == "email", _GROWN_EMAIL).otherwise(_GROWN_NUMBER), F.lit(0)))
+    letters, numbers = F.translate(grown, "0123456789", "ghijklmnop"), F.translate(grown, "abcdef", "012345")
+    streams = streams.withColumn("__more", F.when(kind == "email", letters).otherwise(numbers))
+    stream, of_group, more = F.col("__own"), F.col("__group"), F.col("__more")
     local, host = F.substring_index(value, "@", 1), F.regexp_replace(domain, r"\.[^.]+$", "")
-    email = F.concat(_characters(local, stream), F.lit("@"), _characters(host, of_group), F.lit(".example"))
+    email = F.concat(_characters(local, stream), more, F.lit("@"), _characters(host, of_group), F.lit(".example"))
     octets = [(_number(stream, F.lit(i)) % (254 if i else 223) + 1).cast("string") for i in range(4)]
     surrogate = (
         F.when(kind == "email", email)
         .when(kind == "ip", F.concat_ws(".", *octets))
         .when(kind == "secret", _hex_characters(value, stream))
         .when(kind == "name", _person(value, stream, of_group, attempt))
-        .when(kind == "iban", F.concat(F.substr(value, F.lit(1), F.lit(2)), _characters(F.substr(value, F.lit(3)), stream)))
-        .when(F.contains(value, F.lit(" ")), F.concat_ws(" ", F.substring_index(value, " ", 1), _characters(F.substring_index(value, " ", -1), stream)))
-        .otherwise(_characters(value, stream))
+        .when(kind == "iban", F.concat(F.substr(value, F.lit(1), F.lit(2)), _characters(F.substr(value, F.lit(3)), stream), more))
+        .when(F.contains(value, F.lit(" ")), F.concat(F.substring_index(value, " ", 1), F.lit(" "), _characters(F.substring_index(value, " ", -1), stream), more))
+        .otherwise(F.concat(_characters(value, stream), more))
     )
-    return streams.withColumn("surrogate", surrogate).drop("__own", "__group")
+    return streams.withColumn("surrogate", surrogate).drop("__own", "__group", "__more")
 
 
 def dressed(kind: Column, mention: Column, value: Column) -> Column:
-    """A canonical surrogate ``value`` in the format of ``mention``: its separators, title and case."""
+    """A canonical surrogate ``value`` in the format of ``mention``: its separators, title and case. What it has grown by comes last."""
     mark = F.when(kind == "iban", F.lit("[0-9A-Z]")).otherwise(F.lit("[0-9]"))
     other = F.when(kind == "iban", F.lit("[^0-9A-Z]")).otherwise(F.lit("[^0-9]"))
     marks = F.regexp_replace(value, other, F.lit(""))
@@ -175,6 +182,7 @@ def dressed(kind: Column, mention: Column, value: Column) -> Column:
     filled = F.array_join(
         F.transform(F.split(mention, ""), lambda c, i: F.when(F.regexp_like(c, mark), F.substr(marks, upto(i), F.lit(1))).otherwise(c)), ""
     )
+    filled = F.concat(filled, F.substr(marks, F.char_length(F.regexp_replace(mention, other, F.lit(""))) + 1))
     loud = (mention == F.upper(mention)) & (mention != F.lower(mention))
     title = F.regexp_extract(mention, r"^(\S+ )", 1)
     return (

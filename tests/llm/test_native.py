@@ -139,6 +139,30 @@ def test_colliding_surrogates_are_made_again(spark):
     assert not {r.surrogate for r in known} & {v for _, v in values}
 
 
+def test_addresses_of_any_script_are_replaced_and_shapes_do_not_run_out(spark):
+    """Letters and digits of other scripts go too; more entities than a shape has values still end distinct."""
+    from pyspark.sql import functions as F
+
+    from tallyfold.llm.scratch import Scratch
+
+    scripts = ["محمد@بريد.شبكة", "अमर@घर.भारत", "สมชาย@บาน.ไทย", "անի@տուն.հայ", "ნინო@სახლი.გე", "ꦲꦤ@ꦱꦭ.ꦲꦤ", "ёж@ёж.ру", "٣٤٥@٦٧.example", "Ⅷ½@²².cc"]
+    rows = spark.createDataFrame([("email", v) for v in scripts], "kind string, value string")
+    made = {r.value: r.surrogate for r in surrogates.with_surrogates(rows.withColumn("attempt", F.lit(0)), "k").collect()}
+    parts = lambda v: (v.split("@")[0], v.split("@")[1].rsplit(".", 1)[0])
+    assert [v for v in scripts if any(a == b for a, b in zip(parts(v), parts(made[v]), strict=True))] == []
+    assert all(len(a) == len(b) for v in scripts for a, b in zip(parts(v), parts(made[v]), strict=True))
+    digits = [f"{a}@{b}.{top}" for a in range(10) for b in range(10) for top in ("cc", "dd")]
+    values = [("email", v) for v in [*scripts, *digits, "محمد@بريد.دار", "محمد@بريد.example", "+@-.cc", "+@-.dd", "+@-.example"]]
+    values += [("ssn", v) for v in ("078051120", "078051121")]
+    known = surrogates.entity_map(spark.createDataFrame(values, "kind string, value string"), "k", Scratch(spark)).collect()
+    assert len(known) == len({r.surrogate for r in known}) == len(values)
+    assert not {r.surrogate for r in known} & {v for _, v in values}
+    # a number that has grown keeps the digits that its mention's format has no place for
+    late = spark.createDataFrame([("ssn", "078051120", 10, "078-05-1120"), ("phone", "+1 3105554510", 9, "+1 (310) 555-4510")], "kind string, value string, attempt int, mention string")
+    worn = {r.kind: r.worn for r in surrogates.with_surrogates(late, "k").select("kind", surrogates.dressed(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("worn")).collect()}
+    assert re.fullmatch(r"\d{3}-\d\d-\d{6}", worn["ssn"]) and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{5}", worn["phone"])
+
+
 RULES = queries.URL_RULES
 
 
