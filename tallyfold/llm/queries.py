@@ -8,8 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, decontaminate, language, licenses, quality, sharding, simhash, suffixes, surrogates, urls
+from tallyfold.llm import (
+    bpe,
+    decontaminate,
+    exact,
+    language,
+    licenses,
+    merkle,
+    quality,
+    sharding,
+    simhash,
+    suffixes,
+    surrogates,
+    urls,
+    whitening,
+)
 from tallyfold.llm.shipping import ship
+from tallyfold.llm.words import lower_ascii
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -314,3 +329,86 @@ SELECT page_id, host, path, rule, template, purity,
   coalesce(by_rule, CASE WHEN labelled AND purity >= 0.8::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
 FROM r JOIN tree USING (host, shape) JOIN t USING (host, template)
 """
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(_documents(spark, sf_dir))
+
+
+ORACLES["op12_exact_dedup"] = r"""
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id) = 1 AS kept, text_sha256
+FROM d WINDOW same AS (PARTITION BY text_sha256)
+"""
+
+
+@query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+
+    def leaf(text):
+        return merkle.digest(*[merkle.field(F.col(c)) for c in ("doc_id", "source", "lang", "n_chars")], merkle.field(text))
+
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    changed = F.when(tampered, leaf(lower_ascii(F.col("text"))))
+    found = merkle.versions(docs, "doc_id", "lang", leaf(F.col("text")), changed)
+    verified = (F.col("folded_root") == F.col("root")).alias("verified")
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", verified)
+
+
+#: Levels of a tree in the SQL: 262,144 leaves.
+_TREE_LEVELS = 6
+
+
+def _forest_sql(name: str, group: str) -> str:
+    """From {name}0 (group, i, d, n) and f_{name}0 (row, group, i, cur, proof): the levels above, and the way up through them."""
+    out = []
+    for k in range(_TREE_LEVELS):
+        out.append(f"""
+{name}{k + 1} AS (
+  SELECT {group}, i // 8 AS i, (any_value(n) + 7) // 8 AS n,
+    CASE WHEN any_value(n) > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE any_value(d) END AS d
+  FROM {name}{k} GROUP BY {group}, i // 8),
+f_{name}{k + 1} AS (
+  SELECT f.row, f.{group}, f.i // 8 AS i, f.proof || coalesce(string_agg(l.d, '' ORDER BY l.i) FILTER (l.i <> f.i), '') AS proof,
+    CASE WHEN any_value(l.n) > 1 THEN sha256(string_agg(CASE WHEN l.i = f.i THEN f.cur ELSE l.d END, '' ORDER BY l.i)) ELSE f.cur END AS cur
+  FROM f_{name}{k} f JOIN {name}{k} l ON f.{group} = l.{group} AND f.i // 8 = l.i // 8 GROUP BY f.row, f.{group}, f.i, f.proof, f.cur),""")
+    return "".join(out)
+
+
+def _leaf_sql(text: str) -> str:
+    fields = [f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(fields)})"
+
+
+ORACLES["op11_merkle"] = f"""
+WITH bits AS (
+  SELECT list(list_reduce([b] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)
+    ORDER BY b) AS t FROM range(256) AS r(b)),
+sums AS (
+  SELECT *, hex(encode(doc_id::VARCHAR)) AS h,
+    xor(list_reduce([4294967295::BIGINT] || list_transform(range(0, length(h), 2), lambda i: ('0x' || h[i + 1:i + 2])::BIGINT),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS crc
+  FROM documents, bits),
+given AS (
+  SELECT doc_id, lang, {_leaf_sql("text")} AS leaf,
+    CASE WHEN crc % 3 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE leaf END AS cur
+  FROM sums),
+own AS (
+  SELECT *, row_number() OVER () AS row, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM given),
+l0 AS (SELECT tree, i, count(*) OVER (PARTITION BY tree) AS n, leaf AS d FROM own),
+f_l0 AS (SELECT row, tree, i, cur, '' AS proof FROM own),{_forest_sql("l", "tree")}
+s0 AS (SELECT 0 AS whole, tree AS i, count(*) OVER () AS n, d FROM l{_TREE_LEVELS}),
+f_s0 AS (SELECT row, 0 AS whole, tree AS i, cur, proof FROM f_l{_TREE_LEVELS}),{_forest_sql("s", "whole")}
+roots AS (SELECT d AS root FROM s{_TREE_LEVELS})
+SELECT doc_id, leaf, l.d AS subroot, root, sha256(f.proof) AS proof_sha256, f.cur AS folded_root, f.cur = root AS verified
+FROM own o JOIN f_s{_TREE_LEVELS} f USING (row) JOIN l{_TREE_LEVELS} l ON l.tree = o.tree, roots
+"""
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet"), key="vec_id", vector="embedding", components=4)
