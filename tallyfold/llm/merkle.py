@@ -163,7 +163,8 @@ def versions(
     repeated are leaves of their own. Other columns are not read; an empty table gives no rows.
     """
     scratch = Scratch(rows.sparkSession)
-    own = rows.select(F.col(key).alias("key"), F.col(group).alias("name"), F.unhex(leaf).alias("digest"), F.unhex(changed).alias("changed"))
+    digests = F.unhex(leaf).alias("digest"), F.unhex(changed).alias("changed")
+    own = scratch.write(rows.select(F.col(key).alias("key"), F.col(group).alias("name"), *digests))  # rows are hashed once
     order = [F.col("name"), F.col("key"), F.col("digest"), F.col("changed")]
     placed, total = numbered(own, order, scratch)
     # A key for each group that is never null, as a string sorts before all that it begins.
@@ -211,8 +212,8 @@ def versions(
             out["proof"] = [[p[i : i + 32].hex() for i in range(0, len(p), 32)] for p in proof]
         return pd.DataFrame(out)
 
-    digests = "leaf string, changed string, subroot string, root string, proof_sha256 string, copied array<string>, folded_root string"
-    schema = f"key string, {digests}" + ", proof array<string>" * with_proof
+    hexes = "leaf string, changed string, subroot string, root string, proof_sha256 string, copied array<string>, folded_root string"
+    schema = f"key string, {hexes}" + ", proof array<string>" * with_proof
     cells = leaves.groupBy("tree", _block(levels)).cogroup(blocks.groupBy("tree", F.col("pos").alias("block")))
     found = cells.applyInPandas(proofs, schema)
     return found.select(F.col("key").cast(own.schema["key"].dataType).alias(key), *found.columns[1:])
