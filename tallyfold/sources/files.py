@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import posixpath
+from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tallyfold.errors import InvalidDataset
+from tallyfold.sources import pieces
 
+_JSON = {"mode": "FAILFAST", "primitivesAsString": True}
+_CSV = {"mode": "FAILFAST", "escape": '"'}
 FORMATS = ("csv", "json", "jsonl", "parquet")
 # Formats whose first column is a row index.
 INDEXED = ("csv",)
@@ -39,10 +45,11 @@ def read_transactions(
     ``fmt`` is taken from the extension unless given. The first column of a CSV file is a
     row index and left out by default. CSV files are read by the names in their own
     headers, whatever their order; a row with more or fewer fields than its header fails
-    the query. ``json`` is an array of records, which Spark can only read one file per task;
-    ``jsonl`` has a record per line and can be split. A CSV file can be split too, unless it
-    has line breaks inside quotes and needs ``multiline``. JSON takes a pass over the data to
-    learn its columns unless a ``schema`` is given.
+    the query. Line breaks inside quotes need ``multiline``. ``json`` is one array of records a
+    file, ``jsonl`` has a record per line. Many tasks read one file of any format; arrays and
+    ``multiline`` take a pass over the data first. JSON takes another one to learn its columns
+    unless a ``schema`` is given. What is cut off, malformed, or follows the array fails, with
+    the file and the byte for arrays.
     """
     fmt = (fmt or extension(path)).lower()
     if fmt not in FORMATS:
@@ -50,41 +57,111 @@ def read_transactions(
     if drop_first_column is None:
         drop_first_column = fmt in INDEXED
     reader = spark.read if schema is None else spark.read.schema(schema)
+    if fmt == "csv" and multiline:
+        return _read_quoted_csv(spark, path, schema, drop_first_column)
     if fmt == "csv":
-        return _read_csv(spark, path, schema, multiline, drop_first_column)
+        return _read_csv(spark, path, schema, drop_first_column)
     if fmt == "parquet":
         df = reader.parquet(path)
+    elif fmt == "jsonl":
+        df = reader.json(path, **_JSON)
     else:
-        df = reader.json(path, multiLine=fmt == "json", primitivesAsString=True)
+        df = _read_json_arrays(spark, path, schema)
     return df.drop(df.columns[0]) if drop_first_column and df.columns else df
 
 
+def _strings(df: DataFrame):
+    """A frame of one text column as a dataset of strings, which Spark's own readers take."""
+    return getattr(df._jdf, "as")(df.sparkSession._jvm.org.apache.spark.sql.Encoders.STRING())
+
+
+def _read_json_arrays(spark: SparkSession, path: str, schema: StructType | str | None) -> DataFrame:
+    records = pieces.scan(spark, path, pieces.JSON).records()
+    if schema is None:
+        learned = spark.read.options(**_JSON)._jreader.json(_strings(records.select("text")))
+        schema = StructType.fromJson(json.loads(learned.schema().json()))
+    elif isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    row = F.from_json("text", schema, {k: str(v).lower() for k, v in _JSON.items()}).alias("row")
+    further = [F.col(f"`{c}`") for c in records.columns[1:]]
+    if not schema.fields:
+        return records.select(*further)
+    return records.select(row, *further).select("row.*", *further)
+
+
+def _read_quoted_csv(
+    spark: SparkSession, path: str, schema: StructType | str | None, drop_first_column: bool
+) -> DataFrame:
+    """CSV with line breaks inside quotes: records are found first, then read like lines."""
+    found = pieces.scan(spark, path, pieces.CSV)
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    ranges = Counter(start.path for start in found.starts.values())
+    named: dict[str, tuple[str, ...]] = {}
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file in found.paths.values():
+        head = found.heads.get(file)
+        if head is None and ranges[file] > 1:
+            raise InvalidDataset(f"{file} has no header in its first range of bytes")
+        if head is None:
+            continue  # an empty file
+        if head not in named:
+            line = spark.createDataFrame([(head,)], "text string")
+            named[head] = tuple(spark.read.options(header=True, **_CSV)._jreader.csv(_strings(line)).columns())
+            if schema is not None and list(named[head]) != schema.names:
+                raise InvalidDataset(f"{file} has the columns {', '.join(named[head])}")
+        groups.setdefault(named[head], []).append(file)
+
+    def read(names: tuple[str, ...], paths: list[str]) -> DataFrame:
+        kind = schema or _texts(names)
+        columns = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kind)
+        records = found.records(paths)
+        further = [F.col(f"`{c}`") for c in records.columns[1:]]
+        row = F.from_csv("text", columns, _CSV | {"multiLine": "true"}).alias("row")
+        df = records.select(row, *further).select("row.*", *further)
+        return df.drop(df.columns[0]) if drop_first_column else df
+
+    if not groups:
+        raise InvalidDataset(f"{path} holds no header")
+    return _by_name(groups, read)
+
+
 def _read_csv(
     spark: SparkSession,
     path: str,
     schema: StructType | str | None,
-    multiline: bool,
     drop_first_column: bool,
 ) -> DataFrame:
     """Files with the same header are one read; reads are put together by column name."""
 
     def read(paths, kind) -> DataFrame:
         reader = spark.read.schema(kind).option("enforceSchema", False).option("columnPruning", False)
-        df = reader.csv(paths, header=True, escape='"', multiLine=multiline, mode="FAILFAST")
+        df = reader.csv(paths, header=True, **_CSV)
         return df.drop(df.columns[0]) if drop_first_column and df.columns else df
 
     if schema is not None:
         return read(path, schema)
-    first = spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=multiline)
+    first = spark.read.csv(path, header=True, inferSchema=False, escape='"')
     files = first.inputFiles()
+    groups = _by_header(spark, files, first.columns)
+    return _by_name(groups, lambda names, paths: read(paths, _texts(names))) if groups else first
+
+
+def _texts(names: tuple[str, ...]) -> StructType:
+    return StructType([StructField(n, StringType()) for n in names])
+
+
+def _by_name(
+    groups: dict[tuple[str, ...], list[str]], read: Callable[[tuple[str, ...], list[str]], DataFrame]
+) -> DataFrame:
+    """The files of each header, put together by column name."""
     whole: DataFrame | None = None
-    for names, paths in _by_header(spark, files, first.columns).items():
-        kind = StructType([StructField(n, StringType()) for n in names])
-        part = read(paths, kind)
+    for names, paths in groups.items():
+        part = read(names, paths)
         if whole is not None and set(part.columns) != set(whole.columns):
             raise InvalidDataset(f"{paths[0]} has other columns than the files before it")
         whole = part if whole is None else whole.unionByName(part)
-    return first if whole is None else whole
+    return whole
 
 
 def _by_header(

@@ -318,6 +318,14 @@ ORACLES: dict[str, str] = {
     "scan_json": on("dirty", "select * from dirty"),
     "scan_json_array": on("dirty", "select * from dirty"),
     "scan_csv_folder": on("dirty", 'select * exclude ("Invoice No") replace (nullif("Country", \'\') as "Country") from dirty'),
+    "scan_csv_quoted": on(
+        "dirty",
+        """select * exclude ("Invoice No") replace (nullif("Country", '') as "Country"),
+          case "Invoice No"::bigint % 3
+            when 0 then 'to "' || "Country" || '",' || chr(10) || "Invoice No" || chr(10) || chr(10) || ',x'
+            when 1 then 'plain ' || "Invoice No" end as "Note"
+        from dirty""",
+    ),
     "scan_dispatch": on("dirty", "select * from dirty"),
     "records_json": on("retail", """
         select '{"customerid":"' || customerid || '","invoicedate":"' || strftime(invoicedate, '%Y-%m-%d %H:%M:%S')

@@ -92,19 +92,37 @@ def scan_json(spark, sf_dir):
     return tf.read_transactions(spark, _copy(spark, sf_dir, "invoices.jsonl", lambda df, path: df.write.json(path)))
 
 
+#: Order keys of one array.
+ARRAY_KEYS = 1 << 15
+
+
 @query
 def scan_json_array(spark, sf_dir):
     """Files that hold one array of records each; nothing but a test needs to write them."""
 
     def write(df: DataFrame, path: str) -> None:
         record = F.to_json(F.struct("*"))
-        dealt = df.select((F.col(df.columns[0]).cast("long") % 64).alias("part"), record.alias("record"))
+        dealt = df.select(F.expr(f"bigint(`{df.columns[0]}`) div {ARRAY_KEYS}").alias("part"), record.alias("record"))
         arrays = dealt.groupBy("part").agg(F.collect_list("record").alias("records"))
-        arrays.select(F.concat(F.lit("["), F.array_join("records", ","), F.lit("]"))).repartition(64).write.text(path)
+        text = arrays.select(F.concat(F.lit("["), F.array_join("records", ",\n"), F.lit("]")))
+        text.write.option("maxRecordsPerFile", 1).text(path)
 
     return tf.read_transactions(spark, _copy(spark, sf_dir, "invoices.json", write))
 
 
+@query
+def scan_csv_quoted(spark, sf_dir):
+    """Files with a note in each row: line breaks, quotes and separators inside quotes."""
+
+    def write(df: DataFrame, path: str) -> None:
+        first, key = df.columns[0], F.col(df.columns[0]).cast("long")
+        note = F.concat(F.lit('to "'), F.col("Country"), F.lit('",\n'), F.col(first), F.lit("\n\n,x"))
+        noted = F.when(key % 3 == 0, note).when(key % 3 == 1, F.concat(F.lit("plain "), F.col(first)))
+        _write_csv(df.withColumn("Note", noted), path)
+
+    return tf.read_transactions(spark, _copy(spark, sf_dir, "quoted.csv", write), multiline=True)
+
+
 @query
 def scan_dispatch(spark, sf_dir):
     return tf.read_transactions(spark, _copy(spark, sf_dir, "invoices.PARQUET", lambda df, path: df.write.parquet(path)))
