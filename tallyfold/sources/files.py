@@ -9,12 +9,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tallyfold.errors import InvalidDataset
 from tallyfold.sources import pieces
 
 _JSON = {"mode": "FAILFAST", "primitivesAsString": True}
+_OPTIONS = {"mode": "FAILFAST", "primitivesAsString": "true"}
 _CSV = {"mode": "FAILFAST", "escape": '"'}
 FORMATS = ("csv", "json", "jsonl", "parquet")
 # Formats whose first column is a row index.
@@ -64,7 +65,7 @@ def read_transactions(
     if fmt == "parquet":
         df = reader.parquet(path)
     elif fmt == "jsonl":
-        df = reader.json(path, **_JSON)
+        df = _read_json_lines(spark, path, schema)
     else:
         df = _read_json_arrays(spark, path, schema)
     return df.drop(df.columns[0]) if drop_first_column and df.columns else df
@@ -75,18 +76,42 @@ def _strings(df: DataFrame):
     return getattr(df._jdf, "as")(df.sparkSession._jvm.org.apache.spark.sql.Encoders.STRING())
 
 
+def _json_schema(texts: DataFrame, schema: StructType | str | None) -> StructType:
+    """``schema``, or what Spark learns from a pass over JSON texts."""
+    if isinstance(schema, str):
+        return StructType.fromDDL(schema)
+    if schema is not None:
+        return schema
+    learned = texts.sparkSession.read.options(**_JSON)._jreader.json(_strings(texts))
+    return StructType.fromJson(json.loads(learned.schema().json()))
+
+
+def _read_json_lines(spark: SparkSession, path: str, schema: StructType | str | None) -> DataFrame:
+    """Lines of one record. Spark's own reader stops after the first value of a line and says nothing of others.
+
+    Here a line is read as what stands between the brackets of an array, so all of it counts:
+    records with commas between them are all read, anything else fails.
+    """
+    lines = spark.read.text(path)
+    lines = lines.where(F.trim(F.col("value"), F.lit(" \t\r\n")) != "")
+    array = F.concat(F.lit("["), "value", F.lit("]"))
+    kind = _json_schema(lines.select(array), schema)
+    further = [F.col(f"`{c}`") for c in lines.columns[1:]]
+    if not kind.fields:
+        return lines.select(*further)
+    parsed = F.from_json(array, ArrayType(kind), _OPTIONS).alias("value")
+    missing = F.raise_error(F.lit("malformed: a line holds null in place of a record")).cast(ArrayType(kind))
+    rows = F.when(F.forall("value", lambda r: r.isNotNull()), F.col("value")).otherwise(missing)
+    return lines.select(parsed, *further).select(F.inline(rows), *further)
+
+
 def _read_json_arrays(spark: SparkSession, path: str, schema: StructType | str | None) -> DataFrame:
     records = pieces.scan(spark, path, pieces.JSON).records()
-    if schema is None:
-        learned = spark.read.options(**_JSON)._jreader.json(_strings(records.select("text")))
-        schema = StructType.fromJson(json.loads(learned.schema().json()))
-    elif isinstance(schema, str):
-        schema = StructType.fromDDL(schema)
-    row = F.from_json("text", schema, {k: str(v).lower() for k, v in _JSON.items()}).alias("row")
+    kind = _json_schema(records.select("text"), schema)
     further = [F.col(f"`{c}`") for c in records.columns[1:]]
-    if not schema.fields:
+    if not kind.fields:
         return records.select(*further)
-    return records.select(row, *further).select("row.*", *further)
+    return records.select(F.from_json("text", kind, _OPTIONS).alias("row"), *further).select("row.*", *further)
 
 
 def _read_quoted_csv(

@@ -89,14 +89,22 @@ def test_malformed_records_fail(spark, tmp_path, record):
         read_transactions(spark, str(tmp_path / "a.json")).collect()
 
 
-@pytest.mark.parametrize("line", ['{"a":', "x", '{"a":1'])
+@pytest.mark.parametrize("line", ['{"a":', "x", '{"a":1', '{"a":1}{"a":2}', '{"a":1} x', '{"a":1},', "null", "3", "[]"])
 def test_malformed_lines_fail(spark, tmp_path, line):
     (tmp_path / "a.jsonl").write_text(f'{{"a":1}}\n{line}\n')
     for schema in (None, "a string"):
-        with pytest.raises(Exception, match="(?i)malformed"):
+        with pytest.raises(Exception, match="(?i)malformed|INVALID_JSON_RECORD|cannot be cast|FAILFAST"):
             read_transactions(spark, str(tmp_path / "a.jsonl"), schema=schema).collect()
 
 
+def test_lines_are_read_whole(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('\n{"a":1}\n \t\n{"a":"}{"},{"a":3,"b":null}\r\n')
+    for schema in (None, "a string, b string"):
+        read = read_transactions(spark, str(tmp_path / "a.jsonl"), schema=schema)
+        assert read.columns == ["a", "b"]
+        assert sorted(r.a for r in read.collect()) == ["1", "3", "}{"]
+
+
 def test_a_schema_is_kept_and_folders_name_columns(spark, tmp_path):
     for day in ("1", "2"):
         (tmp_path / f"day={day}").mkdir()
