@@ -34,6 +34,10 @@ DATE_FORMATS = (
 )
 
 
+#: Column of a stored table with the first day of each row's month, which its folders are named after.
+SALE_MONTH = "sale_month"
+
+
 def parse_date(text: Column, formats: Iterable[str] = DATE_FORMATS) -> Column:
     """Text to ``timestamp_ntz``, null where no pattern fits.
 

@@ -46,6 +46,30 @@ def has_missing(df: DataFrame, subset: Iterable[str] | None = None) -> Column:
     return reduce(or_, tests, F.lit(False))
 
 
+def missing_reasons(
+    df: DataFrame, tokens: Iterable[str] = MISSING_TOKENS, subset: Iterable[str] | None = None
+) -> dict[str, Column]:
+    """For each column (of ``subset``, by default of all) why a row lacks it: null if it does not.
+
+    "null"; "blank" and "token" for text that is a spelling of "missing"; "nan".
+    """
+    spelled = {"blank": [t for t in tokens if not t.strip()], "token": [t for t in tokens if t.strip()]}
+    wanted = set(df.columns if subset is None else subset)
+    out = {}
+    for f in df.schema:
+        if f.name not in wanted:
+            continue
+        column = _quoted(f.name)
+        why = F.when(column.isNull(), "null")
+        if isinstance(f.dataType, StringType):
+            for reason, texts in spelled.items():
+                why = why.when(column.isin(*texts), reason) if texts else why
+        if f.dataType.typeName() in ("double", "float"):
+            why = why.when(F.isnan(column), "nan")
+        out[f.name] = why
+    return out
+
+
 def drop_incomplete(df: DataFrame, subset: Iterable[str] | None = None) -> DataFrame:
     """Keep the rows that have every value (of ``subset``, by default of all columns)."""
     return df.filter(~has_missing(df, subset))

@@ -1,8 +1,10 @@
 """Monthly figures, the list of months and the list of countries.
 
-Every figure is one aggregation by month over the whole table. A chosen country is
-a condition inside the aggregates rather than a filter before them: so months in
-which it sold nothing stay in the result without a second scan or a join.
+Every figure is one aggregation by month. Months in which a chosen country sold nothing
+stay in the result. Of a table at rest the months come from a scan of its dates alone, and the
+country is a filter that the other scan takes with it, down to the table's folders. Where the
+table is itself worked out, which would happen twice, the country is a condition inside the
+aggregates of one pass.
 """
 
 from __future__ import annotations
@@ -11,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.errors import InvalidDataset
-from tallyfold.functions.dates import month_label, month_of
+from tallyfold.functions.dates import SALE_MONTH, month_label, month_of
 from tallyfold.functions.numbers import lenient_number, line_value
 from tallyfold.functions.text import capitalise
+from tallyfold.session import is_stored
 
 ALL_COUNTRIES = "All"
 
@@ -70,6 +73,8 @@ def monthly(
     if country != ALL_COUNTRIES and "country" not in df.columns:
         raise InvalidDataset("the dataset has no column country")
 
+    if country != ALL_COUNTRIES and not empty_means_all and is_stored(df):
+        return _shown(_on_spine(df, metric, country, approximate), metric)
     everything = F.lit(True)
     chosen = everything if country == ALL_COUNTRIES else F.col("country") == country
     figures = [_figure(metric, df, chosen, approximate).alias("value")]
@@ -85,6 +90,24 @@ def monthly(
         # One row per month by now, so the single window partition is small.
         found = F.sum("matches").over(Window.partitionBy()) > 0
         value = F.when(found, value).otherwise(F.col("value_of_all"))
+    return _shown(months.withColumn("value", value), metric)
+
+
+def _on_spine(df: DataFrame, metric: str, country: str, approximate: bool) -> DataFrame:
+    """(month_start, value) of one country, with the months of all."""
+    own = df.filter(F.col("country") == country)
+    value = _figure(metric, df, F.lit(True), approximate).alias("value")
+    figures = own.groupBy(month_of(F.col("invoicedate")).alias("own_month")).agg(value)
+    # A table stored by month names its months: no row of it is read for them.
+    month = F.col(SALE_MONTH) if SALE_MONTH in df.columns else month_of(F.col("invoicedate"))
+    spine = df.select(month.alias("month_start")).distinct()
+    joined = spine.join(figures, F.col("month_start").eqNullSafe(F.col("own_month")), "left").drop("own_month")
+    counted = metric in ("customers", "transactions")
+    return joined.withColumn("value", F.coalesce("value", F.lit(0).cast("long"))) if counted else joined
+
+
+def _shown(months: DataFrame, metric: str) -> DataFrame:
+    value = F.col("value")
     if metric in ("revenue", "quantity"):
         value = F.nullif(F.coalesce(value, F.lit(0)), F.lit(0)).cast("double")
     return months.select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.errors import InvalidDataset
 from tallyfold.operators.buckets import ValueBuckets, histogram
+from tallyfold.operators.sketches import asked, quantile_of, quantile_sketch, quantile_sketches
 from tallyfold.session import materialise, settled
 
 
@@ -42,12 +43,22 @@ def _interpolated(buckets: ValueBuckets, series: object, place: float) -> float:
 
 
 def column_quantiles(
-    df: DataFrame, column: str, probabilities: Sequence[float], by: str | None = None
+    df: DataFrame,
+    column: str,
+    probabilities: Sequence[float],
+    by: str | None = None,
+    rank_error: float | None = None,
 ) -> DataFrame:
-    """Exact quantiles of ``column`` as rows ([by,] probability, value).
+    """Quantiles of ``column`` as rows ([by,] probability, value), exact unless a ``rank_error`` is allowed.
 
-    ``by`` may have any number of groups; rows whose group is null are left out.
+    ``by`` may have any number of groups; rows whose group is null are left out. With
+    ``rank_error`` they come from sketches in one pass: each is a value of the column, whose
+    rank is off by that share of the rows at most, 99 times in 100.
     """
+    if rank_error is not None:
+        keys = [] if by is None else [by]
+        there = df if by is None else df.filter(F.col(by).isNotNull())
+        return asked(quantile_sketches(there, column, keys, rank_error), "sketch", probabilities, keys).filter("value IS NOT NULL")
     if by is not None:
         return _quantiles_by(df, column, probabilities, by)
     with ValueBuckets(histogram(df, [column])) as buckets:
@@ -99,13 +110,20 @@ def _quantiles_by(df: DataFrame, column: str, probabilities: Sequence[float], by
     )
 
 
-def outlier_trim(df: DataFrame, column: str, share: float = 0.99) -> DataFrame:
-    """The rows strictly below the quantile; the largest value is always dropped.
+def outlier_trim(
+    df: DataFrame, column: str, share: float = 0.99, rank_error: float | None = None
+) -> DataFrame:
+    """The rows strictly below the quantile, exact unless a ``rank_error`` is allowed; the largest value is always dropped.
 
     Read twice, for the limit and for the rows, so written to the shared folder first
     unless it is a stored table as it stands.
     """
     base = settled(df)
+    if rank_error is not None:
+        lowest, sketch = base.agg(F.min(F.col(column).cast("double")), quantile_of(quantile_sketch(column, rank_error), share)).first()
+        if sketch is None:
+            raise InvalidDataset(f"there are no rows to trim by {column}")
+        return base.filter(F.col(column).cast("double") < _something_below(sketch, lowest, share, column))
     with ValueBuckets(histogram(base, [column])) as buckets:
         if not buckets.series:
             raise InvalidDataset(f"there are no rows to trim by {column}")
@@ -114,8 +132,11 @@ def outlier_trim(df: DataFrame, column: str, share: float = 0.99) -> DataFrame:
 
 
 def trim_limit(buckets: ValueBuckets, series: object, share: float, column: str) -> float:
-    limit = quantiles(buckets, series, [share])[0]
-    if buckets.low(series) >= limit:
+    return _something_below(quantiles(buckets, series, [share])[0], buckets.low(series), share, column)
+
+
+def _something_below(limit: float, lowest: float, share: float, column: str) -> float:
+    if lowest >= limit:
         raise InvalidDataset(
             f"no row has a {column} below its {share:.0%} quantile of {limit}: nothing is left"
         )

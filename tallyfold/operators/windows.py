@@ -7,8 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
-from tallyfold.functions.dates import wall_clock
+from tallyfold.functions.dates import SALE_MONTH, wall_clock
 from tallyfold.functions.numbers import line_value
 
 
@@ -50,8 +51,17 @@ def in_window(start: str, end: str) -> Column:
     return (moment >= wall_clock(start)) & (moment < wall_clock(end))
 
 
+def in_months(df: DataFrame, start: str, end: str) -> Column:
+    """True for the months that a window touches, where ``df`` has a folder for each month; else always."""
+    if SALE_MONTH not in df.columns or not isinstance(df.schema[SALE_MONTH].dataType, DateType):
+        return F.lit(True)
+    first, last = (F.lit(datetime.date.fromisoformat(day)) for day in (start, end))
+    return (F.col(SALE_MONTH) >= F.trunc(first, "month")) & (F.col(SALE_MONTH) < last)
+
+
 def window_slice(df: DataFrame, start: str, end: str) -> DataFrame:
-    return df.filter(in_window(start, end))
+    """The rows of a window; of a table stored by month only the folders that it touches are read."""
+    return df.filter(in_months(df, start, end) & in_window(start, end))
 
 
 def future_revenue(df: DataFrame, start: str, end: str) -> DataFrame:
@@ -76,8 +86,10 @@ def two_window_totals(df: DataFrame, windows: Windows) -> DataFrame:
     """
     value = line_value(df)
     scored, valued = windows.scored, windows.valued
+    months = in_months(df, windows.rfm_start, windows.rfm_end) | in_months(df, windows.pred_start, windows.pred_end)
     return (
-        df.filter(scored | valued)
+        df.filter(months)
+        .filter(scored | valued)
         .groupBy("customerid")
         .agg(
             F.max(F.when(scored, F.col("invoicedate"))).alias("last_purchase"),

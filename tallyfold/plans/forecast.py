@@ -14,10 +14,12 @@ from tallyfold.operators.buckets import ValueBuckets, histogram
 from tallyfold.operators.clusters import STARTS, assign, fit_lloyd
 from tallyfold.operators.quantiles import column_quantiles, trim_limit
 from tallyfold.operators.rfm import with_recency
+from tallyfold.operators.sketches import quantile_of, quantile_sketch
 from tallyfold.operators.windows import Windows, two_window_totals
 from tallyfold.plans.segments import CLUSTERS, METRICS, labelled, segment_columns
 
 TARGET = "future_revenue"
+QUARTILES = (0.25, 0.5, 0.75)
 # Fixed value: what a report says when nothing went wrong.
 DONE = "Successfully predicted values"
 
@@ -93,14 +95,25 @@ def _statistics(value: str = TARGET) -> dict[str, Column]:
 
 def _quartiles(ltv: DataFrame, by: str = "ltv_cluster", value: str = TARGET) -> DataFrame:
     """Exact quartiles per cluster, from the value histogram."""
-    found = column_quantiles(ltv, value, (0.25, 0.5, 0.75), by)
+    found = column_quantiles(ltv, value, QUARTILES, by)
     percent = F.format_number(F.col("probability") * 100, 0)
     return found.select(by, F.concat(percent, F.lit("%")).alias("stat"), "value")
 
 
-def ltv_describe(ltv: DataFrame, by: str = "ltv_cluster", value: str = TARGET) -> DataFrame:
-    """Count, mean, deviation, extremes and quartiles per cluster, as (cluster, stat, value)."""
+def ltv_describe(
+    ltv: DataFrame, by: str = "ltv_cluster", value: str = TARGET, rank_error: float | None = None
+) -> DataFrame:
+    """Count, mean, deviation, extremes and quartiles per cluster, as (cluster, stat, value).
+
+    Quartiles are exact, which takes passes of their own; with ``rank_error`` they come from
+    sketches, in the pass of the other figures.
+    """
     statistics = _statistics(value)
+    if rank_error is not None:
+        wide = ltv.groupBy(by).agg(*[c.alias(n) for n, c in statistics.items()], quantile_sketch(value, rank_error).alias("sketch"))
+        quartiles = {f"{100 * p:.0f}%": quantile_of(F.col("sketch"), p) for p in QUARTILES}
+        every = {n: F.col(n) for n in statistics} | quartiles
+        return wide.select(by, F.inline(F.array(*[F.struct(F.lit(n).alias("stat"), c.alias("value")) for n, c in every.items()])))
     wide = ltv.groupBy(by).agg(*[c.alias(n) for n, c in statistics.items()])
     cells = [F.struct(F.lit(n).alias("stat"), F.col(n).alias("value")) for n in statistics]
     return wide.select(by, F.inline(F.array(*cells))).unionByName(_quartiles(ltv, by, value))

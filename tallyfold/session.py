@@ -71,6 +71,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df if stored else materialise(df)
 
 
+def is_stored(df: DataFrame) -> bool:
+    """Whether ``df`` is columns or rows of one table at rest, so that its parts can be read on their own."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    return plan.getClass().getSimpleName() in ("LogicalRelation", "DataSourceV2Relation")
+
+
 def release(spark: SparkSession) -> None:
     """Delete this application's scratch tables; frames built on them are dead after."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))

@@ -365,6 +365,25 @@ ORACLES: dict[str, str] = {
     "monthly_revenue_country": by_month(revenue("country = 'nation_3'")),
     "monthly_customers_country": by_month("count(distinct case when country = 'nation_3' then customerid end) as customers"),
     "monthly_revenue_fallback": by_month(revenue()),
+    "stored_transactions": on("retail", """
+        select * replace (cast(quantity as double) as quantity, cast(unitprice as double) as unitprice),
+               cast(date_trunc('month', invoicedate) as date) as sale_month from retail"""),
+    "monthly_revenue_stored": by_month(revenue("country = 'nation_3'")),
+    "monthly_customers_stored": by_month("count(distinct case when country = 'nation_3' then customerid end) as customers"),
+    "window_slice_stored": on("retail", f"""
+        select * replace (cast(quantity as double) as quantity, cast(unitprice as double) as unitprice) from retail where {SCORED}"""),
+    "customers_by_quarter": on("retail", """
+        select cast(date_trunc('quarter', invoicedate) as date) as quarter, count(distinct customerid) as customers, true as near
+        from retail group by 1"""),
+    "clean_counts": on("dirty", """
+        select name, lines::bigint as lines from (
+            select count(*) as "rows", count(*) filter ("Quantity" = 'NA' or "Country" = '') as dropped,
+                   count(*) filter ("Quantity" = 'NA') as "token:quantity", count(*) filter ("Country" = '') as "blank:country" from dirty)
+        unpivot (lines for name in ("rows", dropped, "token:quantity", "blank:country")) where lines > 0"""),
+    "clean_rejected": on("dirty", """
+        select "Invoice No" as invoiceno, "Stock Code" as stockcode, "Quantity" as quantity, "Country" as country,
+               concat_ws(',', case when "Quantity" = 'NA' then 'token:quantity' end, case when "Country" = '' then 'blank:country' end) as missing
+        from dirty"""),
     "last_purchase": on("retail", "select customerid, max(invoicedate) as last_purchase from retail group by 1"),
     "recency": statement(metrics("customers", "retail"), "select customerid, recency from customers", "retail"),
     "recency_purchases": statement(metrics("customers", "purchases"), "select customerid, recency from customers", "purchases"),
@@ -439,6 +458,16 @@ ORACLES |= {
         f"select cast({p} as double) as probability, round(quantile_cont(x, {p}), 12) as value from fine" for p in (0.25, 0.5, 0.99))),
     "fine_trim": statement({"fine": _FINE}, "select event_id from fine where x < (select quantile_cont(x, 0.99) from fine)"),
     "quantiles_by_customer": "select user_id, 0.5::double as probability, quantile_cont(value, 0.5) as value from events where user_id is not null group by user_id",
+    "approximate_quantiles": """
+        select event_type, probability, true as near
+        from (select distinct event_type from events where event_type is not null and value is not null),
+             (select unnest([0.1, 0.5, 0.99])::double as probability)""",
+    "merged_quantiles": """
+        select l_returnflag, probability, true as near
+        from (select distinct l_returnflag from lineitem), (select unnest([0.25, 0.5, 0.75, 0.99])::double as probability)""",
+    "approximate_describe": on_values(f"""
+        select ltv_cluster, stat, case when not ends_with(stat, '%') then value end as value,
+               case when ends_with(stat, '%') then true end as inside from ({DESCRIBE})"""),
     "lenient_extremes": """
         select l_orderkey, l_linenumber,
                case when l_orderkey % 3 = 0 then 1e15::double when l_orderkey % 3 = 1 then 0 else l_quantity::double end as quantity,

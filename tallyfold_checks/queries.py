@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 import tallyfold as tf
 from tallyfold_checks.views import (
     PREDICTED,
+    RETAIL,
     WINDOWS,
     dirty,
     purchases,
@@ -22,7 +23,7 @@ from tallyfold.functions import numbers
 from tallyfold.operators import cleaning, rfm
 from tallyfold.operators.scoring import segment_sizes, segment_value
 from tallyfold.plans import forecast
-from tallyfold.session import shared_folder
+from tallyfold.session import materialise, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -191,6 +192,24 @@ def clean_transactions(spark, sf_dir):
     return tf.clean(tf.read_transactions(spark, _csv_copy(spark, sf_dir)))
 
 
+@query
+def clean_counts(spark, sf_dir):
+    """How many rows the cleaner dropped, for which columns and why: noted while the clean rows were written."""
+    counts = Observation()
+    materialise(tf.clean(dirty(spark, sf_dir), counts=counts))
+    noted = [(name, value) for name, value in counts.get.items() if value]
+    return spark.createDataFrame(noted, "name string, lines long")
+
+
+@query
+def clean_rejected(spark, sf_dir):
+    """The rows that the cleaner drops, and for which columns, written beside those it keeps in one pass."""
+    kept, rejected = tf.clean_and_rejected(dirty(spark, sf_dir), _scratch_path(spark, "sides"))
+    sides = [kept.withColumn("missing", F.lit("")), rejected.withColumn("missing", F.array_join("missing_values", ","))]
+    shown = ("invoiceno", "stockcode", "quantity", "country", "missing")
+    return sides[0].select(*shown).unionByName(sides[1].select(*shown))
+
+
 # Monthly description
 
 
@@ -254,6 +273,52 @@ def monthly_revenue_fallback(spark, sf_dir):
     return _describe(retail(spark, sf_dir), "revenue", country="atlantis", empty_means_all=True)
 
 
+def _stored(spark, sf_dir, folder: str = "sale_month") -> DataFrame:
+    """The transactions at rest, in folders by month or country."""
+    key = (spark.sparkContext.applicationId, sf_dir, folder)
+    if key not in _COPIES:
+        path = _scratch_path(spark, "stored")
+        tf.write_cleaned(retail(spark, sf_dir), path, folders=(folder,))
+        _COPIES[key] = path
+    return tf.read_cleaned(spark, _COPIES[key])
+
+
+@query
+def stored_transactions(spark, sf_dir):
+    amounts = ("quantity", "unitprice")
+    return _stored(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in amounts})
+
+
+@query
+def monthly_revenue_stored(spark, sf_dir):
+    return _describe(_stored(spark, sf_dir, "country"), "revenue", country="nation_3")
+
+
+@query
+def monthly_customers_stored(spark, sf_dir):
+    return _describe(_stored(spark, sf_dir, "country"), "customers", country="nation_3")
+
+
+@query
+def window_slice_stored(spark, sf_dir):
+    sliced = tf.window_slice(_stored(spark, sf_dir), WINDOWS.rfm_start, WINDOWS.rfm_end)
+    return sliced.select(*RETAIL).withColumns({c: F.col(c).cast("double") for c in ("quantity", "unitprice")})
+
+
+@query
+def customers_by_quarter(spark, sf_dir):
+    """Distinct customers from sketches of months and countries: how many exactly, and whether the sketches come within 3 %."""
+    df = retail(spark, sf_dir, "customerid", "invoicedate", "country")
+    sketches = tf.customer_sketches(df)
+    quarter = F.trunc("month_start", "quarter").alias("quarter")
+    found = tf.distinct_customers_of(sketches, [quarter]).withColumnRenamed("customers", "estimate")
+    exact = df.groupBy(F.trunc(F.col("invoicedate").cast("date"), "quarter").alias("quarter")).agg(
+        F.count_distinct("customerid").alias("customers")
+    )
+    near = F.abs(F.col("estimate") - F.col("customers")) <= 0.03 * F.col("customers")
+    return exact.join(found, "quarter").select("quarter", "customers", near.alias("near"))
+
+
 # Recency, frequency, monetary value
 
 
@@ -603,6 +668,44 @@ def lenient_extremes(spark, sf_dir):
     return df.withColumns({c: numbers.lenient_number(df, c).cast("double") for c in ("quantity", "unitprice")})
 
 
+def _ranked(df: DataFrame, found: DataFrame, by: str, value: str, error: float) -> DataFrame:
+    """(by, probability, near): whether the share of rows up to each value found is as near as ``error`` to the probability."""
+    rows = df.filter(F.col(value).isNotNull()).select(by, F.col(value).alias("own"))
+    below, upto = F.count_if(F.col("own") < F.col("value")) / F.count("*"), F.count_if(F.col("own") <= F.col("value")) / F.count("*")
+    near = (below <= F.col("probability") + error) & (upto >= F.col("probability") - error)
+    return rows.join(found, by).groupBy(by, "probability").agg(near.alias("near"))
+
+
+@query
+def approximate_quantiles(spark, sf_dir):
+    """Quantiles of each kind of event from sketches in one pass, and whether they are within 3 % of their ranks."""
+    events = table(spark, sf_dir, "events")
+    found = tf.column_quantiles(events, "value", (0.1, 0.5, 0.99), by="event_type", rank_error=0.01)
+    return _ranked(events, found, "event_type", "value", 0.03)
+
+
+@query
+def merged_quantiles(spark, sf_dir):
+    """The same by flag, from sketches of days and flags that are merged."""
+    lines = table(spark, sf_dir, "lineitem")
+    sketches = materialise(tf.quantile_sketches(lines, "l_extendedprice", ["l_shipdate", "l_returnflag"]))
+    found = tf.quantiles_of_sketches(sketches, (0.25, 0.5, 0.75, 0.99), ["l_returnflag"])
+    return _ranked(lines, found, "l_returnflag", "l_extendedprice", 0.03)
+
+
+@query
+def approximate_describe(spark, sf_dir):
+    """The description of value clusters in one pass: figures as ever, quartiles between the clusters' ends."""
+    ltv = _ltv(spark, sf_dir)
+    found = _rounded(tf.ltv_describe(ltv, rank_error=0.01), "value")
+    quartile = F.col("stat").endswith("%")
+    ends = ltv.groupBy("ltv_cluster").agg(F.min("future_revenue").alias("low"), F.max("future_revenue").alias("high"))
+    inside = F.col("value").between(F.col("low") - 1e-6, F.col("high") + 1e-6)
+    return found.join(ends, "ltv_cluster").select(
+        "ltv_cluster", "stat", F.when(~quartile, F.col("value")).alias("value"), F.when(quartile, inside).alias("inside")
+    )
+
+
 # What is certain about trained models
 
 

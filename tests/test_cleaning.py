@@ -160,3 +160,48 @@ def test_strict_numbers_fail(spark, text, ansi):
 def test_capitalise_first_letter_only(spark):
     df = spark.createDataFrame([("united kingdom",), ("x",), ("",)], "s string")
     assert [r[0] for r in df.select(capitalise(df.s)).collect()] == ["United kingdom", "X", ""]
+
+
+ROWS = [("1", "2", "2011-01-01", "x"), (None, "NA", "2011-01-01", "y"), ("", "null", None, "z"), ("2", "3", "2011-01-02", "")]
+
+
+def _raw(spark):
+    return spark.createDataFrame(ROWS, "`Unit Price` string, Quantity string, InvoiceDate string, CustomerID string")
+
+
+def test_counts_are_noted_in_passing(spark):
+    from pyspark.sql import Observation
+
+    counts = Observation()
+    df = clean(_raw(spark), counts=counts)
+    assert sorted(r.customerid for r in df.collect()) == ["x"]
+    found = {k: v for k, v in counts.get.items() if v}
+    assert found == {
+        "rows": 4, "dropped": 3, "null:unitprice": 1, "blank:unitprice": 1, "token:quantity": 2, "null:invoicedate": 1, "blank:customerid": 1,
+    }
+    assert sorted(map(str, df.collect())) == sorted(map(str, clean(_raw(spark)).collect()))
+
+
+def test_counts_of_a_subset(spark):
+    from pyspark.sql import Observation
+
+    counts = Observation()
+    kept = clean(_raw(spark), subset=["quantity", "invoicedate"], counts=counts)
+    assert kept.count() == 2 and {r.customerid for r in kept.collect()} == {"x", None}
+    assert counts.get["dropped"] == 2 and "null:unitprice" not in counts.get
+
+
+def test_both_sides_from_one_scan(spark, tmp_path):
+    from tallyfold import clean_and_rejected
+
+    kept, rejected = clean_and_rejected(_raw(spark), str(tmp_path / "sides"))
+    assert kept.columns == ["unitprice", "quantity", "invoicedate", "customerid"]
+    assert [r.customerid for r in clean(kept).collect()] == ["x"]
+    assert sorted((r.customerid, r.missing_values) for r in rejected.collect()) == [
+        ("", ["blank:customerid"]),
+        ("y", ["null:unitprice", "token:quantity"]),
+        ("z", ["blank:unitprice", "token:quantity", "null:invoicedate"]),
+    ]
+    nan = spark.createDataFrame([(1.0, 2, "2011-01-01", "x"), (float("nan"), 2, "2011-01-01", "y")], "unitprice double, quantity int, invoicedate string, customerid string")
+    kept, rejected = clean_and_rejected(nan, str(tmp_path / "nan"))
+    assert kept.count() == 1 and rejected.first().missing_values == ["nan:unitprice"]
