@@ -19,7 +19,9 @@ SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
 #: Most words, in percent, that may be in three-word windows found twice.
 MAX_REPEATED = 50
-#: A line goes if more than so many distinct texts of its host have it, and more than this share of them.
+#: A line goes if more than ``MANY_TEXTS`` distinct texts of its host have it; in a small host if
+#: more than this share of them do, and more than ``MAX_TEXTS``.
+MANY_TEXTS = 50
 MAX_TEXTS = 5
 MAX_SHARE = 0.05
 #: A document has to keep this share of its words.
@@ -60,19 +62,23 @@ def quality(
     max_texts: int = MAX_TEXTS,
     max_share: float = MAX_SHARE,
     min_kept: float = MIN_KEPT,
+    many_texts: int = MANY_TEXTS,
+    with_text: bool = False,
 ) -> DataFrame:
     """Figures and verdict for every row of ``docs`` (doc_id, text, source); other columns are not read.
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; n_lost_words are the words of
     lines that are removed; base_failed by the text's own figures, kept if neither that nor
-    depleted. A null text has no words; rows without a source are one host. Rows are told
-    apart by their place, so ids may be null or repeat.
+    depleted. ``with_text`` adds ``cleaned``, the text without those lines. A null text has no
+    words and is empty when cleaned; rows without a source are one host. Rows are told apart by
+    their place, so ids may be null or repeat.
     """
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     split = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), text.alias("text"))
     split = split.withColumn("words", words_between(F.col("text"), SPACES))
-    split = split.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    every = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    split = split.withColumn("lines", F.filter(every, lambda l: l["x"].rlike(r"[^\x20\x09-\x0D]")))
     split = split.select(
         "doc_id",
         "host",
@@ -80,25 +86,32 @@ def quality(
         F.size("words").cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        (F.size("lines") - F.size(F.array_distinct(F.col("lines.x")))).cast("long").alias("n_dup_lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
         F.transform(
             "lines",
-            lambda x: F.struct(F.xxhash64(normalised_line(x)).alias("line"), F.size(words_between(x, SPACES)).alias("n")),
+            lambda l: F.struct(
+                F.xxhash64(normalised_line(l["x"])).alias("line"), F.size(words_between(l["x"], SPACES)).alias("n"), l["i"].alias("i")
+            ),
         ).alias("lines"),
+        *(["text"] if with_text else []),
     )
     facts = scratch.write(_with_repeats(split).drop("hashes").withColumn("row", F.monotonically_increasing_id()))
 
-    lines = facts.select("row", "host", "digest", F.explode("lines").alias("l")).select("row", "host", "digest", "l.line", "l.n")
+    lines = facts.select("row", "host", "digest", F.explode("lines").alias("l")).select("row", "host", "digest", "l.line", "l.n", "l.i")
     shared = lines.select("host", "line", "digest").distinct().groupBy("host", "line").agg(F.count("*").alias("texts"))
     hosts = facts.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("of"))
-    frequent = shared.where(F.col("texts") > max_texts).join(hosts, "host").where(F.col("texts") > max_share * F.col("of"))
-    lost = lines.join(scratch.write(frequent.select("host", "line")), ["host", "line"]).groupBy("row").agg(F.sum("n").alias("n_lost_words"))
+    of_host = (F.col("texts") > many_texts) | (F.col("texts") > max_share * F.col("of"))
+    frequent = shared.where(F.col("texts") > max_texts).join(hosts, "host").where(of_host)
+    gone = [F.collect_list("i").alias("gone")] if with_text else []
+    lost = lines.join(scratch.write(frequent.select("host", "line")), ["host", "line"]).groupBy("row").agg(F.sum("n").alias("n_lost_words"), *gone)
     found = facts.join(lost, "row", "left").withColumn("n_lost_words", F.coalesce("n_lost_words", F.lit(0).cast("long")))
 
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated * F.col("n_words"))
+    stays = F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
+    cleaned = [F.array_join(stays, "\n").alias("cleaned")] if with_text else []
     depleted = F.col("n_words") - F.col("n_lost_words") < min_kept * F.col("n_words")
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_words",
-        base.alias("base_failed"), (~base & ~depleted).alias("kept"),
+        base.alias("base_failed"), (~base & ~depleted).alias("kept"), *cleaned,
     )

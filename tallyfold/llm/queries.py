@@ -128,7 +128,7 @@ frequent AS (
   SELECT host, line
   FROM (SELECT host, line, count(DISTINCT text) AS texts FROM lines GROUP BY ALL)
   JOIN (SELECT host, count(DISTINCT text) AS of_host FROM d GROUP BY ALL) USING (host)
-  WHERE texts > 5 AND texts > 0.05::DOUBLE * of_host),
+  WHERE texts > 5 AND (texts > 50 OR texts > 0.05::DOUBLE * of_host)),
 lost AS (SELECT doc_id, sum(n) AS n FROM lines JOIN frequent USING (host, line) GROUP BY doc_id),
 facts AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
@@ -272,10 +272,14 @@ def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 SURROGATE_KEY = "test tables only"
 
 
+#: Levels of the tree in the SQL; the operator goes as deep as paths do.
+_URL_LEVELS = 7
+
+
 def _template_levels() -> str:
     """The tree level by level: l0 has empty templates, each next one a segment more."""
     out = []
-    for i in range(urls.LEVELS):
+    for i in range(_URL_LEVELS):
         out.append(f"""
 k{i} AS (
   SELECT host, template, segments[{i + 1}] AS segment, sum(blocked) AS b, sum(allowed) AS a
@@ -286,7 +290,8 @@ f{i} AS (
     (sum(b) OVER p)::DOUBLE / nullif(sum(a + b) OVER p, 0) AS share
   FROM k{i} WINDOW p AS (PARTITION BY host, template)),
 e{i} AS (SELECT *, 1.96::DOUBLE * sqrt(share * (1 - share) * (1::DOUBLE / nullif(n, 0) + 1::DOUBLE / nullif(rest, 0))) AS error FROM f{i}),
-s{i} AS (SELECT *, CASE WHEN apart > error THEN '*+' WHEN apart < -error THEN '*-' ELSE '*' END AS side FROM e{i}),
+s{i} AS (
+  SELECT *, CASE WHEN n = 0 THEN '*?' WHEN rest = 0 THEN '*!' WHEN apart > error THEN '*+' WHEN apart < -error THEN '*-' ELSE '*' END AS side FROM e{i}),
 n{i} AS (
   SELECT host, template, segment,
     CASE WHEN count(*) OVER (PARTITION BY host, template, side) = 1 THEN segment ELSE side END AS named
@@ -317,8 +322,7 @@ l0 AS (
     count(*) FILTER (by_rule = 'block') AS blocked, count(*) FILTER (by_rule = 'allow') AS allowed
   FROM r GROUP BY ALL),{_template_levels()}
 tree AS (
-  SELECT host, shape, template || CASE WHEN len(segments) > {urls.LEVELS} THEN '/**' ELSE '' END AS template, blocked, allowed
-  FROM l{urls.LEVELS}),
+  SELECT host, shape, template, blocked, allowed FROM l{_URL_LEVELS}),
 g AS (SELECT (sum(blocked) + 1)::DOUBLE / (sum(allowed) + sum(blocked) + 2) AS p FROM tree),
 h AS (SELECT host, (sum(blocked) + 10.0::DOUBLE * any_value(p)) / (sum(allowed) + sum(blocked) + 10.0::DOUBLE) AS p FROM tree, g GROUP BY host),
 t AS (

@@ -3,8 +3,9 @@
 The paths of a host form a tree of segments. Digits in a segment are generalised at once.
 Then, from the root down, the share of blocked pages among a branch's labelled ones is tested
 against that of its siblings together. Branches above, below and not apart from the others
-are merged into a wildcard each (``*+``, ``*-``, ``*``); one that is alone there stays. A
-page's way through the tree is its template. Labels are the verdicts of the rules; a
+are merged into a wildcard each (``*+``, ``*-``, ``*``); one that is alone there stays. A branch
+without labelled pages is not tested and only merged with others without any (``*?``); one that
+has all the labelled pages stays by itself. So it goes on as deep as paths go. A page's way through the tree is its template. Labels are the verdicts of the rules; a
 template's share of blocked pages, smoothed towards its host's and that towards all hosts',
 is its purity, and pure ones are rejected.
 """
@@ -17,8 +18,6 @@ from pyspark.sql import functions as F
 from tallyfold.llm.scratch import Scratch
 from tallyfold.llm.words import lower_ascii
 
-#: Segments of a template; what lies deeper is one wildcard.
-LEVELS = 4
 #: Two-sided test of equal shares, at 5 %.
 Z = 1.96
 #: Pages that a parent's share counts for in a child's.
@@ -43,41 +42,53 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return rule, verdict
 
 
-def templates(shapes: DataFrame, scratch: Scratch, levels: int = LEVELS, z: float = Z) -> DataFrame:
+def templates(shapes: DataFrame, scratch: Scratch, z: float = Z) -> DataFrame:
     """(host, shape, template, n, blocked, allowed) from counts by host and shape.
 
     Level by level: the counts of a level's nodes come from one aggregation, those of their
-    parents and of the wildcards from one each on top of it.
+    parents and of the wildcards from one each on top of it. A shape that is alone below a node
+    has its own segments from there on, so there are as many rounds as segments in which
+    different shapes of a host begin alike, and one more.
     """
-    state = scratch.write(shapes.withColumn("segments", F.array_remove(F.split("shape", "/"), "")).withColumn("template", F.lit("")))
-    for level in range(levels):
-        at = state.withColumn("segment", F.get("segments", F.lit(level)))
-        kids = at.where("segment is not null").groupBy("host", "template", "segment").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
-        parents = kids.groupBy("host", "template").agg(F.sum("b").alias("pb"), F.sum("a").alias("pa"))
+    named = shapes.withColumn("segments", F.array_remove(F.split("shape", "/"), "")).withColumn("template", F.lit(""))
+    state, level, done = scratch.write(named), 0, []
+    columns = ["host", "shape", "template", "n", "blocked", "allowed"]
+    while True:
+        deeper = F.size("segments") > level
+        done.append(state.where(~deeper).select(*columns))
+        at = state.where(deeper).withColumn("segment", F.get("segments", F.lit(level)))
+        if at.isEmpty():
+            break
+        kids = at.groupBy("host", "template", "segment").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"), F.count("*").alias("shapes"))
+        parents = kids.groupBy("host", "template").agg(F.sum("b").alias("pb"), F.sum("a").alias("pa"), F.sum("shapes").alias("below"))
         both = kids.join(parents, ["host", "template"])
         n, rest = F.col("a") + F.col("b"), F.col("pa") + F.col("pb") - F.col("a") - F.col("b")
         share = (F.col("pb") / (F.col("pa") + F.col("pb"))).cast("double")
         apart = F.col("b") / n - (F.col("pb") - F.col("b")) / rest
         error = F.sqrt(share * (1 - share) * (1 / n + 1 / rest))
-        side = F.when(apart > z * error, F.lit("*+")).when(apart < -z * error, F.lit("*-")).otherwise(F.lit("*"))
-        sided = both.select("host", "template", "segment", F.when((n > 0) & (rest > 0), side).otherwise(F.lit("*")).alias("side"))
+        tested = F.when(apart > z * error, F.lit("*+")).when(apart < -z * error, F.lit("*-")).otherwise(F.lit("*"))
+        side = F.when(n == 0, F.lit("*?")).when(rest == 0, F.lit("*!")).otherwise(tested)
+        sided = both.select("host", "template", "segment", "below", side.alias("side"))
         sizes = sided.groupBy("host", "template", "side").agg(F.count("*").alias("alike"))
         named = sided.join(sizes, ["host", "template", "side"]).select(
-            "host", "template", "segment", F.when(F.col("alike") == 1, F.col("segment")).otherwise(F.col("side")).alias("named")
+            "host", "template", "segment", "below", F.when(F.col("alike") == 1, F.col("segment")).otherwise(F.col("side")).alias("named")
         )
-        grown = at.join(named, ["host", "template", "segment"], "left")
-        grown = grown.withColumn("template", F.concat("template", F.coalesce(F.concat(F.lit("/"), "named"), F.lit(""))))
-        after = scratch.write(grown.select(*state.columns))
-        scratch.drop(state)
-        state = after
-    deeper = F.when(F.size("segments") > levels, F.lit("/**")).otherwise(F.lit(""))
-    return state.select("host", "shape", F.concat("template", deeper).alias("template"), "n", "blocked", "allowed")
+        grown = at.join(named, ["host", "template", "segment"])
+        alone = F.col("below") == 1
+        own = F.array_join(F.slice("segments", level + 1, F.greatest(F.size("segments") - level, F.lit(0))), "/")
+        grown = grown.withColumn("template", F.concat("template", F.lit("/"), F.when(alone, own).otherwise(F.col("named"))))
+        # What is finished has no segments left to go through.
+        rest_of = F.when(alone, F.array().cast("array<string>")).otherwise(F.col("segments")).alias("segments")
+        state, level = scratch.write(grown.select(*columns, rest_of)), level + 1
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def judge(
     pages: DataFrame,
     rules: list[tuple[str, str, str]],
-    levels: int = LEVELS,
     z: float = Z,
     smoothing: float = SMOOTHING,
     min_purity: float = PURITY,
@@ -99,7 +110,7 @@ def judge(
         F.count_if(F.col("by_rule") == "block").alias("blocked"),
         F.count_if(F.col("by_rule") == "allow").alias("allowed"),
     )
-    tree = scratch.write(templates(counts, scratch, levels, z))
+    tree = scratch.write(templates(counts, scratch, z))
     every = tree.agg(F.coalesce(F.sum("blocked"), F.lit(0)).alias("b"), F.coalesce(F.sum("allowed"), F.lit(0)).alias("a")).first()
     everywhere = (every.b + 1) / (every.a + every.b + 2)
     hosts = tree.groupBy("host").agg(F.sum("blocked").alias("hb"), F.sum("allowed").alias("ha"))

@@ -186,11 +186,64 @@ def test_pure_templates_are_rejected_and_similar_branches_merged(spark):
     rules = [("block", "h.com", f"/ads/{d}") for d in "123456789"] + [("allow", "h.com", f"/{s}/{d}") for s in ("news", "blog") for d in "12345"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(rows)], "page_id long, url string")
     found = urls.judge(pages, rules).collect()
-    assert {r.template for r in found if "/ads/" in r.path} == {"/ads/*/*"} | {r.template for r in found if r.path == "/ads/x/b"}
+    assert {r.template for r in found if "/ads/" in r.path} == {"/ads/*/a", "/ads/x/b"}
     assert {r.template for r in found if "/news/" in r.path} == {r.template for r in found if "/blog/" in r.path} == {"/*-/*/a"}
     assert {r.verdict for r in found if r.path.startswith("/ads/0")} == {"block"}
     assert {r.verdict for r in found if r.path.startswith("/news/9")} == {"allow"}
 
 
+def judged(spark, paths, rules):
+    pages = spark.createDataFrame([(i, f"http://h.com{p}") for i, p in enumerate(paths)], "page_id long, url string")
+    found = urls.judge(pages, rules).collect()
+    return {r.path: r for r in found}
+
+
+def test_templates_go_as_deep_as_paths(spark):
+    deep = "/a/b/c/d/e/f/g"
+    paths = [f"{deep}/{kind}/{i}/x" for i in range(60) for kind in ("spam", "good")]
+    rules = [("block", "h.com", f"{deep}/spam/{d}") for d in "1234"] + [("allow", "h.com", f"{deep}/good/{d}") for d in "1234"]
+    found = judged(spark, paths, rules)
+    assert found[f"{deep}/spam/50/x"].template == f"{deep}/spam/*/x"
+    assert {r.verdict for p, r in found.items() if "/spam/" in p} == {"block"}
+    assert {r.verdict for p, r in found.items() if "/good/" in p} == {"allow"}
+
+
+def test_branches_without_labels_are_not_blocked_with_others(spark):
+    paths = [f"/{lang}/{i}" for i in range(12) for lang in ("de", "en", "es")]
+    found = judged(spark, paths, [("block", "h.com", "/de/")])
+    assert {r.verdict for p, r in found.items() if not p.startswith("/de/")} == {"allow"}
+    assert {r.template for p, r in found.items()} == {"/de/*", "/*?/*"}
+
+
+def test_templates_of_one_long_path_take_one_round(spark):
+    long = "/" + "/".join(f"s{chr(97 + i % 26)}" for i in range(3000))
+    found = judged(spark, [long, long, "/x"], [])
+    assert found[long].template == "/*?" + long[3:] and found["/x"].template == "/*?"
+    assert judged(spark, [long], [])[long].template == long
+
+
+def quality_rows(docs, host_size):
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    own = lambda i: " ".join(f"w{word(i)}x{word(k)}" for k in range(60))
+    menu = " ".join(f"m{word(k)}" for k in range(100))
+    texts = [f"\n{own(i)}\n{menu}\n\nend {word(i)}" for i in range(90)] + [own(i) for i in range(90, host_size)]
+    return texts, menu, {r.doc_id: r for r in quality.quality(docs(texts), with_text=True).collect()}
+
+
+@pytest.mark.parametrize("host_size", [100, 2000])
+def test_lines_go_whatever_the_size_of_their_host(docs, host_size):
+    texts, menu, found = quality_rows(docs, host_size)
+    assert len(found) == host_size
+    for i, text in enumerate(texts):
+        assert found[i].n_lost_words == (100 if i < 90 else 0)
+        assert found[i].kept == (i >= 90)
+        assert found[i].cleaned == "\n".join(x for x in text.split("\n") if x != menu)
+
+
+def test_cleaned_texts_of_odd_rows(docs):
+    found = {r.doc_id: r.cleaned for r in quality.quality(docs([None, "", " \n", "a\n\nb"]), with_text=True).collect()}
+    assert found == {0: "", 1: "", 2: " \n", 3: "a\n\nb"}
+
+
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
