@@ -5,7 +5,7 @@ from tallyfold.operators.clusters import cluster_1d, order_cluster
 from tallyfold.operators.evaluation import accuracy, class_balance, classification_report, split
 from tallyfold.operators.monthly import country_list, month_list
 from tallyfold.operators.quantiles import column_quantiles, outlier_trim
-from tallyfold.operators.records import records_json, write_records
+from tallyfold.operators.records import read_records, records_json, write_records
 from tallyfold.operators.rfm import rfm_by_country, rfm_metrics
 from tallyfold.operators.scoring import scatter, score_profile, segment_counts, segment_onehot
 from tallyfold.operators.sketches import (
@@ -37,7 +37,7 @@ __all__ = [
     "country_list", "customer_sketches", "customer_value", "describe", "distinct_customers_of",
     "future_revenue", "future_value", "ltv_describe", "ltv_features", "ltv_summaries",
     "materialise", "month_list", "order_cluster", "outlier_trim", "quantile_sketches",
-    "quantiles_of_sketches", "read_cleaned", "read_transactions", "records_json", "release", "report_json",
+    "quantiles_of_sketches", "read_cleaned", "read_records", "read_transactions", "records_json", "release", "report_json",
     "rfm_by_country", "rfm_metrics", "scatter", "score_profile", "segment", "segment_counts",
     "segment_onehot", "split", "train_predict", "value_report", "window_slice",
     "with_future_revenue", "write_cleaned", "write_records",

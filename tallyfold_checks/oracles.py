@@ -318,6 +318,7 @@ ORACLES: dict[str, str] = {
     "scan_json": on("dirty", "select * from dirty"),
     "scan_json_array": on("dirty", "select * from dirty"),
     "scan_csv_folder": on("dirty", 'select * exclude ("Invoice No") replace (nullif("Country", \'\') as "Country") from dirty'),
+    "records_round_trip": on("dirty", "select * from dirty"),
     "scan_csv_quoted": on(
         "dirty",
         """select * exclude ("Invoice No") replace (nullif("Country", '') as "Country"),

@@ -135,6 +135,13 @@ def records_json(spark, sf_dir):
     return tf.records_json(clean)
 
 
+@query
+def records_round_trip(spark, sf_dir):
+    """Records written in files of bounded length, and read after their manifest was compared with them."""
+    write = lambda df, path: tf.write_records(df, path, file_records=20_000)
+    return tf.read_records(spark, _copy(spark, sf_dir, "records", write))
+
+
 # Cleaning
 
 

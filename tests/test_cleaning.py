@@ -1,6 +1,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyfold import InvalidDataset, clean
 from tallyfold.functions.dates import parse_date
@@ -205,3 +206,30 @@ def test_both_sides_from_one_scan(spark, tmp_path):
     nan = spark.createDataFrame([(1.0, 2, "2011-01-01", "x"), (float("nan"), 2, "2011-01-01", "y")], "unitprice double, quantity int, invoicedate string, customerid string")
     kept, rejected = clean_and_rejected(nan, str(tmp_path / "nan"))
     assert kept.count() == 1 and rejected.first().missing_values == ["nan:unitprice"]
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "decimal(38,12)"])
+@pytest.mark.parametrize("lenient", [False, True])
+def test_tiny_numbers_fail_instead_of_becoming_zero(spark, kind, lenient):
+    from tallyfold.functions import numbers
+
+    read = numbers.lenient_number if lenient else numbers.strict_number
+    def values(*texts):
+        df = spark.createDataFrame([(t,) for t in texts], "x string").select(F.col("x").cast(kind))
+        return [float(r[0]) for r in df.select(read(df, "x").alias("x")).collect()]
+
+    assert values("0", "0.00000001", "-2.5", "0.0") == [0, 1e-8, -2.5, 0]
+    with pytest.raises(Exception, match="too many decimals"):
+        values("0.000000001")
+
+
+def test_line_value_of_typed_columns_is_a_plain_product(spark):
+    from tallyfold.functions import numbers
+
+    df = spark.createDataFrame([("2.5", "4"), (None, "1"), ("99999999999999.9999", "99999999999999.9999")], "unitprice string, quantity string")
+    typed = df.select(*[F.col(c).cast("decimal(18,4)") for c in df.columns])
+    product = numbers.line_value(typed)
+    assert "double" not in str(product) and "raise_error" not in str(product)
+    for lenient in (False, True):
+        mine, general = (d.select(numbers.line_value(d, lenient).alias("v")).collect() for d in (typed, df))
+        assert mine == general

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from tallyfold.errors import InvalidDataset
-from tallyfold import allowed_file, clean, read_transactions, records_json, write_records
+from tallyfold import allowed_file, clean, read_records, read_transactions, records_json, write_records
 
 CSV = '''InvoiceNo,Quantity,Invoice Date,Unit Price,Customer ID,Description,Country
 536365,6,12/1/2010 8:26,2.55,17850,"Lantern, ""white""",France
@@ -101,3 +101,40 @@ def test_ragged_rows_fail(spark, tmp_path, row):
 def test_workbooks_are_refused(spark):
     with pytest.raises(ValueError, match="format"):
         read_transactions(spark, "shop.xlsx")
+
+
+def test_records_come_back_whole_or_not_at_all(spark, transactions, tmp_path):
+    path = str(tmp_path / "out")
+    rows = [(f"c{i}", f"2011-01-{1 + i % 28:02}", str(i), "2.50", 'x "y"\n' if i % 2 else None) for i in range(250)]
+    df = transactions(rows).repartition(2)
+    write_records(df, path, file_records=50)
+    listed = spark.read.json(f"{path}.manifest").collect()
+    assert len(listed) >= 5 and max(r.records for r in listed) <= 50 and sum(r.records for r in listed) == 250
+    read = read_records(spark, path)
+    assert sorted(map(str, read.select(df.columns).collect())) == sorted(map(str, df.withColumn("invoicedate", df.invoicedate.cast("string")).collect()))
+    part = sorted(tmp_path.glob("out/part-*"))[0]
+    whole = part.read_text()
+    part.write_text(whole[:-10])
+    (tmp_path / "out" / f".{part.name}.crc").unlink()
+    with pytest.raises(InvalidDataset, match=part.name):
+        read_records(spark, path)
+    part.unlink()
+    with pytest.raises(InvalidDataset, match=f"{part.name} has 0 bytes"):
+        read_records(spark, path)
+    part.write_text(whole)
+    assert read_records(spark, path).count() == 250
+    (tmp_path / "out" / "part-more.txt").write_text("{}\n")
+    with pytest.raises(InvalidDataset, match="part-more.txt has 3 bytes and should have 0"):
+        read_records(spark, path)
+
+
+def test_records_without_a_manifest_are_refused(spark, transactions, tmp_path):
+    path = str(tmp_path / "out")
+    records_json(transactions([("a", "2011-01-01", "1", "1", "x")])).write.text(path)
+    with pytest.raises(InvalidDataset, match="no manifest"):
+        read_records(spark, path)
+
+
+def test_no_records(spark, transactions, tmp_path):
+    write_records(transactions([]), str(tmp_path / "out"))
+    assert read_records(spark, str(tmp_path / "out"), schema="customerid string").count() == 0
