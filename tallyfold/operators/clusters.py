@@ -13,7 +13,7 @@ from fractions import Fraction
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.errors import InvalidDataset
@@ -27,8 +27,6 @@ FORESIGHT = 60
 # Seeds and steps of Spark ML's k-means.
 SEEDS = (0, 1, 2)
 ML_STEPS = 300
-# Labels that ``order_cluster`` ranks: one row each, in one task.
-MAX_LABELS = 100_000
 
 # A series and the start it is clustered from.
 Run = tuple[object, str]
@@ -237,18 +235,24 @@ def order_cluster(
 ) -> DataFrame:
     """Renumber labels by the mean of the target; the label column moves to the end.
 
-    The window ranks one row per label, in one task: more than ``MAX_LABELS`` are refused.
-    The ranks are written to the shared folder, so that Spark knows their size before it
+    There may be any number of labels: their means are sorted into ranges, and a range's ranks go
+    on where those before it end. The ranks are written to the shared folder, so that Spark knows their size before it
     plans the join: few of them are broadcast and the rows of ``df`` stay where they are,
     be one label as frequent as it may.
     """
     means = materialise(df.groupBy(cluster_column).agg(F.avg(target_column).alias("_mean")))
-    if means.limit(MAX_LABELS + 1).count() > MAX_LABELS:
-        raise InvalidDataset(f"more than {MAX_LABELS} labels in {cluster_column}")
-    order = F.col("_mean").asc() if ascending else F.col("_mean").desc()
-    ranks = means.select(
-        cluster_column,
-        (F.row_number().over(Window.orderBy(order, cluster_column)) - 1).cast("int").alias("_rank"),
+    order = [F.col("_mean").asc() if ascending else F.col("_mean").desc(), F.col(cluster_column).asc()]
+    ranged = means.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialise(ranged.withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", 33).cast("int").alias("_part")
+    before, starts = 0, []
+    for r in placed.groupBy(part).count().orderBy("_part").collect():  # a row for each range
+        starts.append((r["_part"], before))
+        before += r["count"]
+    offsets = df.sparkSession.createDataFrame(starts or [(0, 0)], "_part int, _before long")
+    inside = F.col("_place").bitwiseAND((1 << 33) - 1)
+    ranks = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").select(
+        cluster_column, (F.col("_before") + inside).cast("int").alias("_rank")
     )
     return (
         df.join(materialise(ranks), cluster_column)

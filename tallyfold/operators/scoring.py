@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions.numbers import exact
+from tallyfold.session import settled
 
 # A score above the first limit is Mid-Value, above the second High-Value;
 # and whether the most recent customers get the lowest recency label.
@@ -54,15 +55,40 @@ def segment_counts(segments: DataFrame, country: str = "All") -> DataFrame:
     return counted.select(F.inline(F.array(*rows)))
 
 
-def scatter(segments: DataFrame, x: str, y: str, country: str = "All") -> DataFrame:
-    """Points of two metrics with the segment and its colour."""
+def scatter(
+    segments: DataFrame, x: str, y: str, country: str = "All", grid: int | None = None, per_cell: int = 1
+) -> DataFrame:
+    """Points of two metrics with the segment and its colour: one for each row, or with ``grid`` fewer.
+
+    With ``grid`` the plane between the extremes is cut into ``grid`` by ``grid`` cells, and each
+    segment has ``per_cell`` points in a cell at most: rows are dealt to as many lots by a digest of
+    the customer, and a lot's point is the one of its least digest. So the same rows give the
+    same points however they lie, every segment and every part of the plane that has points
+    keeps some, and their number does not grow with the rows.
+    """
     colours = F.create_map(*[F.lit(part) for pair in SEGMENT_COLOURS.items() for part in pair])
-    return of_country(segments, country).select(
+    points = of_country(segments, country).select(
         F.col(x).cast("double").alias("x"),
         F.col(y).cast("double").alias("y"),
         "segment",
         colours[F.col("segment")].alias("colour"),
+        *([] if grid is None else [F.md5(F.col("customerid").cast("binary")).alias("digest")]),
     )
+    return points if grid is None else _thinned(points, grid, per_cell)
+
+
+def _thinned(points: DataFrame, grid: int, per_cell: int) -> DataFrame:
+    base = settled(points)
+
+    def cell(name: str) -> Column:
+        low, high = base.agg(F.min(name)).scalar(), base.agg(F.max(name)).scalar()
+        share = (F.col(name) - low) / F.nullif(high - low, F.lit(0.0))
+        return F.coalesce(F.least(F.floor(share * grid), F.lit(grid - 1)), F.lit(0)).alias(f"cell_{name}")
+
+    lot = (F.conv(F.substr("digest", F.lit(1), F.lit(7)), 16, 10).cast("long") % per_cell).alias("lot")
+    least = F.min(F.struct("digest", "x", "y")).alias("point")
+    thin = base.groupBy("segment", "colour", cell("x"), cell("y"), lot).agg(least)
+    return thin.select("point.x", "point.y", "segment", "colour")
 
 
 def score_profile(segments: DataFrame) -> DataFrame:

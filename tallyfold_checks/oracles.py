@@ -409,6 +409,15 @@ ORACLES: dict[str, str] = {
     "segment_counts": spine(),
     "segment_counts_country": spine("country = 'nation_3'"),
     "scatter_rvsm": points("recency", "monetary"),
+    "scatter_thinned": statement(segments("retail", "all_data"), """
+        select x, y, segment, case segment when 'Low-Value' then 'red' when 'Mid-Value' then 'blue' else 'green' end as colour
+        from (
+            select *, row_number() over (partition by segment, cell_x, cell_y, lot order by digest, x, y) as place from (
+                select x, y, segment, digest, ('0x' || substr(digest, 1, 7))::bigint % 3 as lot,
+                       coalesce(least(floor((x - min(x) over ()) / nullif(max(x) over () - min(x) over (), 0) * 20), 19), 0) as cell_x,
+                       coalesce(least(floor((y - min(y) over ()) / nullif(max(y) over () - min(y) over (), 0) * 20), 19), 0) as cell_y
+                from (select cast(recency as double) as x, cast(monetary as double) as y, segment, md5(customerid) as digest from segments)))
+        where place = 1""", "retail"),
     "scatter_rvsf": points("recency", "frequency", "country = 'nation_3'"),
     "scatter_fvsm": points("frequency", "monetary"),
     "window_slice": on("retail", f"""

@@ -432,6 +432,12 @@ def scatter_rvsm(spark, sf_dir):
     return tf.scatter(_segments(spark, sf_dir), "recency", "monetary")
 
 
+@query
+def scatter_thinned(spark, sf_dir):
+    """Three points for each segment and cell of a grid at most."""
+    return tf.scatter(_segments(spark, sf_dir), "recency", "monetary", grid=20, per_cell=3)
+
+
 @query
 def scatter_rvsf(spark, sf_dir):
     return tf.scatter(_segments(spark, sf_dir), "recency", "frequency", country="nation_3")

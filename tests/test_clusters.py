@@ -220,3 +220,15 @@ def test_wide_range_needs_few_jobs(spark, monkeypatch):
         fit_lloyd(buckets, {0: 4})
     assert len(calls) <= 20
     assert max(calls) <= module.SPLITS_PER_JOB
+
+
+def test_any_number_of_labels_is_renumbered(spark):
+    from pyspark.sql import functions as F
+    from tallyfold import order_cluster
+
+    n = 120_000
+    df = spark.range(n).select(F.col("id").alias("label"), ((F.col("id") * 7919) % n).alias("x"))
+    ranked = order_cluster(df, "label", "x", ascending=False)
+    assert ranked.filter(F.col("label") != n - 1 - F.col("x")).count() == 0 and ranked.count() == n
+    tied = spark.createDataFrame([("b", 1.0), ("a", 1.0), ("c", 0.0), (None, 9.0)], "label string, x double")
+    assert sorted((r.x, r.label) for r in order_cluster(tied, "label", "x").collect()) == [(0.0, 0), (1.0, 1), (1.0, 2)]
