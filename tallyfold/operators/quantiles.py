@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from tallyfold.operators.buckets import ValueBuckets, histogram
 from tallyfold.operators.sketches import asked, quantile_of, quantile_sketch, quantile_sketches
 from tallyfold.session import materialise, settled
 
+if TYPE_CHECKING:
+    from tallyfold.operators.clusters import Clusters
+
 
 def quantiles(buckets: ValueBuckets, series: object, probabilities: Sequence[float]) -> list[float]:
     """Quantiles with linear interpolation between neighbours."""
@@ -32,6 +36,21 @@ def quantiles_of_all(
     return {s: [_interpolated(buckets, s, x) for x in found] for s, found in places.items()}
 
 
+def cluster_quantiles(
+    buckets: ValueBuckets, series: object, clusters: Clusters, probabilities: Sequence[float]
+) -> list[tuple[int, float, float]]:
+    """(label, probability, value) of clusters of a series, whose midpoints are settled; none of an empty cluster."""
+    edges = [0, *(buckets.below(series, m)[0] for m in clusters.midpoints), buckets.rows(series)]
+    parts = [(r, a, b - a) for r, a, b in zip(clusters.ranks(True), edges, edges[1:]) if b > a]
+    places = [(r, start, p, p * (rows - 1)) for r, start, rows in parts for p in probabilities]
+    buckets.settle_ranks({series: {start + n for _, start, _, x in places for n in _neighbours(x)}})
+    out = []
+    for label, start, p, x in places:
+        low, high = (buckets.at_rank(series, start + n) for n in _neighbours(x))
+        out.append((label, p, min(low + (high - low) * (x - math.floor(x)), high)))
+    return out
+
+
 def _neighbours(place: float) -> tuple[int, int]:
     return math.floor(place), math.ceil(place)
 

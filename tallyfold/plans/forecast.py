@@ -12,7 +12,7 @@ from tallyfold.errors import InvalidDataset
 from tallyfold.functions.numbers import exact
 from tallyfold.operators.buckets import ValueBuckets, histogram
 from tallyfold.operators.clusters import STARTS, assign, fit_lloyd
-from tallyfold.operators.quantiles import column_quantiles, trim_limit
+from tallyfold.operators.quantiles import cluster_quantiles, column_quantiles, trim_limit
 from tallyfold.operators.rfm import with_recency
 from tallyfold.operators.sketches import quantile_of, quantile_sketch
 from tallyfold.operators.windows import Windows, two_window_totals
@@ -37,6 +37,21 @@ def customer_value(
     fact table; one histogram of all four figures serves both clusterings and the
     trim, which only cuts off the top of the revenue histogram.
     """
+    return _valued(df, windows, trim, k, starts)[0]
+
+
+def _valued(
+    df: DataFrame,
+    windows: Windows,
+    trim: float,
+    k: int,
+    starts: Sequence[str],
+    probabilities: Sequence[float] = (),
+) -> tuple[DataFrame, list[tuple[int, float, float]]]:
+    """``customer_value``, and quantiles of the value clusters as (cluster, probability, value).
+
+    A cluster is a range of the revenue histogram, so its quantiles are ranks of that.
+    """
     base = with_recency(two_window_totals(df, windows))
     revenue = len(METRICS)
     with ValueBuckets(histogram(base, [*METRICS, TARGET])) as buckets:
@@ -48,15 +63,17 @@ def customer_value(
         buckets.settle({revenue: [highest]})
         buckets.cut(revenue, highest)
         valued = fit_lloyd(buckets, {revenue: k}, starts)[revenue]
+        quantiles = cluster_quantiles(buckets, revenue, valued, probabilities)
     users = labelled(base, scored, "window")
     users = assign(users, TARGET, "ltv_cluster", valued)
     kept = F.col(TARGET).cast("double") < limit
-    return users.select(
+    users = users.select(
         "customerid",
         *segment_columns(),
         F.col(TARGET).cast("double"),
         F.when(kept, F.col("ltv_cluster")).alias("ltv_cluster"),
     )
+    return users, quantiles
 
 
 def future_value(
@@ -146,8 +163,8 @@ def _figures() -> list[Column]:
     ]
 
 
-def _quartile_cells(ltv: DataFrame) -> DataFrame:
-    return _quartiles(ltv).select(
+def _quartile_cells(quartiles: DataFrame) -> DataFrame:
+    return quartiles.select(
         F.lit("prediction_ltv_description").alias("section"),
         F.col("ltv_cluster").cast("string").alias("key"),
         "stat",
@@ -155,11 +172,12 @@ def _quartile_cells(ltv: DataFrame) -> DataFrame:
     )
 
 
-def value_summaries(users: DataFrame) -> DataFrame:
+def value_summaries(users: DataFrame, quartiles: DataFrame | None = None) -> DataFrame:
     """The six summaries of ``customer_value`` as rows (section, key, stat, value).
 
     One pass over the customers: in total, by segment and by value cluster are grouping
-    sets of the same aggregation.
+    sets of the same aggregation. ``quartiles`` (ltv_cluster, stat, value) are found from the
+    customers unless they are known.
     """
     grouped = users.groupingSets([[], ["segment"], ["ltv_cluster"]], "segment", "ltv_cluster")
     figures = grouped.agg(F.grouping_id().alias("level"), *_figures())
@@ -179,21 +197,24 @@ def value_summaries(users: DataFrame) -> DataFrame:
         )
         .when(F.col("ltv_cluster").isNotNull(), _cluster_cells())
     )
-    ltv = users.filter(F.col("ltv_cluster").isNotNull())
-    return figures.select(F.inline(cells)).unionByName(_quartile_cells(ltv))
+    if quartiles is None:
+        quartiles = _quartiles(users.filter(F.col("ltv_cluster").isNotNull()))
+    return figures.select(F.inline(cells)).unionByName(_quartile_cells(quartiles))
 
 
 def ltv_summaries(ltv: DataFrame) -> DataFrame:
     """The three summaries of the value clusters as rows (section, key, stat, value)."""
     figures = ltv.groupBy("ltv_cluster").agg(*_figures())
-    return figures.select(F.inline(_cluster_cells())).unionByName(_quartile_cells(ltv))
+    return figures.select(F.inline(_cluster_cells())).unionByName(_quartile_cells(_quartiles(ltv)))
 
 
 def value_report(
     df: DataFrame, windows: Windows, trim: float = 0.99, k: int = 3, starts: Sequence[str] = STARTS
 ) -> DataFrame:
-    """Scores, future value and all summaries in one call."""
-    return value_summaries(customer_value(df, windows, trim, k, starts))
+    """Scores, future value and all summaries in one call; quartiles come from the histogram that the clusters do."""
+    users, found = _valued(df, windows, trim, k, starts, QUARTILES)
+    rows = [(cluster, f"{100 * p:.0f}%", value) for cluster, p, value in found]
+    return value_summaries(users, df.sparkSession.createDataFrame(rows, "ltv_cluster int, stat string, value double"))
 
 
 def report_json(summaries: DataFrame) -> DataFrame:

@@ -169,3 +169,11 @@ def test_predictions(ltv, algo):
 def test_unknown_algorithm(ltv):
     with pytest.raises(ValueError):
         train_predict(ltv, algo="oracle")
+
+
+def test_quartiles_of_the_report_are_those_of_its_customers(spark, small):
+    from tallyfold.plans.forecast import customer_value, value_report, value_summaries
+
+    df = retail(spark, small, *PREDICTED)
+    users = customer_value(df, WINDOWS, k=4)
+    assert sorted(map(str, value_report(df, WINDOWS, k=4).collect())) == sorted(map(str, value_summaries(users).collect()))
