@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.llm.names import by_place, without
 from tallyfold.llm.scratch import Scratch
 
 N = 3
@@ -224,7 +225,9 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", names: t
     """``docs`` with the language of each whole text and its probability as two more columns.
 
     Nothing but the text is looked at. A null text or one without letters is ``und`` with score 0.
+    Columns of ``docs`` that are called like the new ones give way to them.
     """
+    docs = without(docs, *names)
     fields, at = docs.schema.fields, docs.columns.index(text)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -236,7 +239,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", names: t
                 names=[*(f"c{i}" for i in range(len(fields))), "language", "probability"],
             )
 
-    plain = docs.toDF(*(f"c{i}" for i in range(len(fields))))
+    plain = by_place(docs)
     schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)), "language string, probability double"])
     return plain.mapInArrow(predict, schema).toDF(*(f.name for f in fields), *names)
 

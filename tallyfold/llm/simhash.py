@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.components import components
+from tallyfold.llm.names import by_place
 from tallyfold.llm.scratch import Scratch
 
 SEED = 42
@@ -206,8 +207,14 @@ def keep_one(docs: DataFrame, width: int = 4, distance: int = 4, doc_id: str = "
     """One row of ``docs`` for each group of near-duplicates, with all its columns.
 
     It is the row with the group's smallest id; of rows that share that id and its
-    fingerprint, any one.
+    fingerprint, any one. Columns are named as they like.
     """
+    names = docs.columns
+    places = (f"c{names.index(c)}" for c in (doc_id, text))
+    return _kept(by_place(docs), width, distance, *places).toDF(*names)
+
+
+def _kept(docs: DataFrame, width: int, distance: int, doc_id: str, text: str) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     prints = with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width).drop("text")
     groups = duplicate_groups(scratch.write(prints), distance, scratch)

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.llm.names import by_place, without
 from tallyfold.llm.scratch import Scratch
 
 #: What each kind of entity looks like, in order of precedence. No capturing groups.
@@ -213,13 +214,23 @@ def entity_map(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
         state = after
 
 
-def replace_entities(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the entities in ``text`` replaced, and a column ``n_entities``; all other columns as they are.
+def replace_entities(
+    docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text", count: str = "n_entities"
+) -> DataFrame:
+    """``docs`` with the entities in ``text`` replaced, and a column ``count``; all other columns as they are.
 
     Texts without an entity, and null ones, are untouched and leave the scan as they came; the
     others are rebuilt from the parts between mentions. Rows are told apart by id and text, so
-    ids may be null or repeat. ``docs`` must not have columns that start with two underscores.
+    ids may be null or repeat. Other columns are named as they like; one of the name ``count``
+    gives way to it.
     """
+    docs = without(docs, count)
+    names = docs.columns
+    places = (f"c{names.index(c)}" for c in (doc_id, text))
+    return _replaced(by_place(docs), key, *places).toDF(*names, count)
+
+
+def _replaced(docs: DataFrame, key: str, doc_id: str, text: str) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     has = F.coalesce(F.regexp_like(text, F.lit(HINT)) & F.regexp_like(text, F.lit(MENTION)), F.lit(False))
     plain = docs.where(~has).withColumn("n_entities", F.lit(0).cast("long"))

@@ -51,3 +51,24 @@ def test_empty_tables_pass_through(spark, folder):
 def test_every_query_gives_a_row_for_every_row(spark, folder, name):
     table = "pages" if name.startswith("op10_") else "documents"
     assert queries.QUERIES[name](spark, folder).count() == spark.read.parquet(f"{folder}/{table}.parquet").count()
+
+
+CLASH = ["n_entities", "lang_pred", "score", "language", "digest", "__digest", "__own", "__id", "__fp", "__i", "__worn", "__parts", "c0", "bad_id", "fp", "kind", "value"]
+
+
+def test_names_of_further_columns_do_not_clash(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(60).selectExpr("*", *[f"'mine' AS `{c}`" for c in CLASH])
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        assert {r[c] for r in out.collect() for c in CLASH} == {"mine"}, name
+
+
+def test_new_columns_take_the_names_of_old_ones(spark, folder):
+    from tallyfold.llm import surrogates
+
+    docs = spark.createDataFrame([(1, "write to a.b@mail.org", "x"), (2, "nothing", "y")], "doc_id long, text string, n_entities string")
+    assert sorted((r.doc_id, r.n_entities) for r in surrogates.replace_entities(docs, "k").collect()) == [(1, 1), (2, 0)]
+    model = language.fit(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang"))
+    found = language.identify(docs.withColumnRenamed("n_entities", "lang_pred"), model)
+    assert found.columns == ["doc_id", "text", "lang_pred", "score"] and found.count() == 2
