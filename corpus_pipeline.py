@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.llm import bpe, decontaminate, language, simhash, surrogates
+from tallyfold.llm.names import free
 from tallyfold.llm.scratch import Scratch
 from tallyfold.llm.shipping import ship
 
@@ -29,8 +30,9 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; without letters, or with no language likely, they go."""
     ship(spark)
     model = language.fit(docs.select("doc_id", "text", "lang").where(~language.held_out()))
-    found = language.identify(docs, model, names=("__language", "__score"))
-    sure = (F.col("__language") != language.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE)
+    name, score = free("language", docs.columns), free("score", docs.columns)
+    found = language.identify(docs, model, names=(name, score))
+    sure = (F.col(name) != language.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE)
     return found.where(sure).select(*docs.columns)
 
 
@@ -44,15 +46,17 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents of whose words less than one in 20 is inside a 13-word window of the benchmark."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     hits = decontaminate.benchmark_hits(docs, benchmark, window=13)
-    bad = hits.where(decontaminate.is_contaminated()).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
-    same = docs.doc_id.eqNullSafe(F.col("__id")) & (F.xxhash64(docs.text) == F.col("__digest"))
+    own, digest = free("bad_id", docs.columns), free("bad_digest", docs.columns)
+    bad = hits.where(decontaminate.is_contaminated()).select(F.col("doc_id").alias(own), F.col("digest").alias(digest)).distinct()
+    same = docs.doc_id.eqNullSafe(F.col(own)) & (F.xxhash64(docs.text) == F.col(digest))
     return docs.join(bad, same, "left_anti")
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data; n_chars follows the text."""
-    replaced = surrogates.replace_entities(docs, SURROGATE_KEY)
-    chars = F.when(F.col("n_entities") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
+    count = free("n_entities", docs.columns)
+    replaced = surrogates.replace_entities(docs, SURROGATE_KEY, count=count)
+    chars = F.when(F.col(count) > 0, F.char_length("text")).otherwise(F.col("n_chars"))
     return replaced.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
