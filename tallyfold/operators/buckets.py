@@ -156,6 +156,17 @@ class ValueBuckets:
     def total(self, series: object) -> int:
         return self._totals[series][-1]
 
+    def ranges(self, series: object) -> Sequence[Bucket]:
+        """The ranges as they are, rising."""
+        return self._buckets[series]
+
+    def refine(self, series: object, places: Sequence[int], fanout: int = FANOUT) -> None:
+        """Split the ranges at these places, each into up to ``fanout`` finer ones."""
+        step = max(1, min(SPLITS_PER_JOB, SPLITS_PER_JOB * FANOUT // fanout))
+        rising = sorted(places)
+        for end in range(len(rising), 0, -step):  # from above, so that the places below stay
+            self._split([(series, i) for i in rising[max(0, end - step) : end]], fanout)
+
     def settle(
         self,
         thresholds: Thresholds,
@@ -239,13 +250,14 @@ class ValueBuckets:
             if (i := self._straddling(s, t)) is not None
         ]
 
-    def _split(self, targets: Sequence[tuple[object, int]]) -> None:
+    def _split(self, targets: Sequence[tuple[object, int]], fanout: int | None = None) -> None:
         """Replace buckets by finer ones: one job over the histogram for all of them.
 
         The ranges to split go along as a small table, joined on the slot: a row of the
         histogram meets only the ranges of its own slot.
         """
         targets = targets[:SPLITS_PER_JOB]
+        fanout = fanout or FANOUT
         chosen = [(s, self._buckets[s][i]) for s, i in targets]
         number = pa.decimal128(38, 0)
         ranges = self._hist.sparkSession.createDataFrame(
@@ -256,7 +268,7 @@ class ValueBuckets:
                     "slot": pa.array([b.slot for _, b in chosen], pa.int32()),
                     "start": pa.array([Decimal(b.low) for _, b in chosen], number),
                     "end": pa.array([Decimal(b.high) for _, b in chosen], number),
-                    "factor": [FANOUT / (b.high - b.low) for _, b in chosen],
+                    "factor": [fanout / (b.high - b.low) for _, b in chosen],
                 }
             )
         )
@@ -264,7 +276,7 @@ class ValueBuckets:
         summed = (
             self._hist.join(F.broadcast(ranges), ["series", "slot"])
             .filter(F.col("value").between(F.col("start"), F.col("end")))
-            .groupBy("target", _step(F.col("start"), F.col("factor"), FANOUT))
+            .groupBy("target", _step(F.col("start"), F.col("factor"), fanout))
             .agg(*_totals())
         )
         for row in summed.collect():

@@ -1,4 +1,4 @@
-"""One-dimensional k-means, deterministic, over columns of any size.
+"""One-dimensional k-means, deterministic, over columns of any size; its optimum on request.
 
 Spark counts the distinct values (``buckets.histogram``) and sums ranges of them;
 the Lloyd iteration itself only moves k centres per column. Labels are then a chain
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.errors import InvalidDataset
 from tallyfold.operators.buckets import Histogram, ValueBuckets, histogram
+from tallyfold.operators.optimal import best_cuts
 from tallyfold.operators.quantiles import quantiles_of_all
 from tallyfold.session import materialise, settled
 
@@ -34,14 +35,15 @@ Run = tuple[object, str]
 
 @dataclass(frozen=True)
 class Clusters:
-    """Sorted centres, and how many values each one holds."""
+    """Sorted centres, how many values each one holds, and where they part if that is not half way."""
 
     centres: tuple[float, ...]
     rows: tuple[int, ...]
+    cuts: tuple[float, ...] | None = None
 
     @property
     def midpoints(self) -> list[float]:
-        return _midpoints(self.centres)
+        return _midpoints(self.centres) if self.cuts is None else list(self.cuts)
 
     def ranks(self, ascending: bool = True) -> list[int]:
         """New label of each cluster: its place among those that hold anything."""
@@ -171,6 +173,24 @@ def _foreseen(
     return points
 
 
+def fit_optimal(buckets: ValueBuckets, ks: Mapping[object, int]) -> dict[object, Clusters]:
+    """The clusters of least squared error of several series.
+
+    Of equally good ones those with the lowest cuts; as many as there are distinct values, if
+    that is fewer than asked for.
+    """
+    found: dict[object, Clusters] = {}
+    for s, k in ks.items():
+        if buckets.rows(s) < k:
+            raise InvalidDataset(f"{buckets.rows(s)} rows are too few for {k} clusters")
+        units = buckets.units(s)
+        cuts = tuple((low + high) / (2 * units) for low, high in best_cuts(buckets, s, k))
+        edges = [(0, 0), *(buckets.below(s, c) for c in cuts), (buckets.rows(s), buckets.total(s))]
+        shares = [(n - m, t - u) for (m, u), (n, t) in zip(edges, edges[1:])]
+        found[s] = Clusters(tuple(t / units / n for n, t in shares), tuple(n for n, _ in shares), cuts)
+    return found
+
+
 def fit_ml(hist: Histogram, k: int, seeds: Sequence[int] = SEEDS) -> Clusters:
     """Centres from Spark ML's k-means on the weighted histogram, best of the seeds."""
     number = F.col("value").cast("double") / F.lit(float(10 ** hist.scales[0]))
@@ -213,11 +233,14 @@ def cluster_1d(
 ) -> DataFrame:
     """Add cluster labels of one column.
 
+    ``method`` "lloyd" takes the best of ``starts``, "optimal" the least squared error there is
+    (``operators.optimal``), "ml" the best of ``seeds`` by Spark ML.
+
     The table is read twice, once for the centres and once for the labels, so it is
     written to the shared folder first unless it is a stored table as it stands.
     """
-    if method not in ("lloyd", "ml"):
-        raise ValueError("method must be lloyd or ml")
+    if method not in ("lloyd", "optimal", "ml"):
+        raise ValueError("method must be lloyd, optimal or ml")
     base = settled(df)
     hist = histogram(base, [column])
     if method == "ml":
@@ -226,7 +249,7 @@ def cluster_1d(
         with ValueBuckets(hist) as buckets:
             if not buckets.series:
                 raise InvalidDataset(f"0 rows are too few for {k} clusters")
-            found = fit_lloyd(buckets, {0: k}, starts)[0]
+            found = (fit_optimal(buckets, {0: k}) if method == "optimal" else fit_lloyd(buckets, {0: k}, starts))[0]
     return assign(base, column, out, found, ascending)
 
 

@@ -130,6 +130,32 @@ def clusters(
     return ctes
 
 
+def best_clusters(name: str, source: str, value: str, k: int, exact: str = EXACT) -> dict[str, str]:
+    """Clusters of least squared error by plain recursion over all distinct values; ``{name}`` as in ``clusters``.
+
+    ``{name}_to{j}``: the largest gain of the first values in j clusters, and where each cluster ends.
+    """
+    cast = f"cast({value} as {exact})"
+    gain = "(b.t - a.t) * (b.t - a.t) / (b.n - a.n)"
+    ctes = {
+        f"{name}_hist": f"""
+            select v, row_number() over (order by v) as i, w,
+                   cast(v as double) - (select avg(cast({value} as double)) from {source}) as d
+            from (select {cast} as v, cast(count(*) as double) as w from {source} group by all)""",
+        f"{name}_sums": f"""
+            select i, sum(w) over (order by i) as n, sum(w * d) over (order by i) as t from {name}_hist""",
+        f"{name}_to1": f"select i, n, t, t * t / n as g, [i] as ends from {name}_sums",
+    }
+    for j in range(2, k + 1):
+        ctes[f"{name}_to{j}"] = f"""
+            select b.i, any_value(b.n) as n, any_value(b.t) as t, max(a.g + {gain}) as g,
+                   list_append(arg_max(a.ends, a.g + {gain}), b.i) as ends
+            from {name}_to{j - 1} a join {name}_sums b on a.i < b.i group by b.i"""
+    ends = f"(select ends from {name}_to{k} order by i desc limit 1)"
+    ctes[name] = f"select v, cast(len(list_filter({ends}, lambda e: e < i)) as integer) as label from {name}_hist"
+    return ctes
+
+
 def totals(source: str, keys: str = "customerid") -> str:
     return f"""
         select {keys}, max(invoicedate) as last_purchase, count(invoicedate) as frequency,
@@ -485,6 +511,22 @@ ORACLES |= {
         from lineitem""",
 }
 
+# Clusters of least squared error
+
+_BEST_MONEY = {**metrics("customers", "retail"), **best_clusters("found", "customers", "monetary", 4)}
+ORACLES |= {
+    "monetary_clusters_optimal": statement(_BEST_MONEY, f"""
+        select customerid, monetary, label as monetary_cluster
+        from customers join found on v = cast(monetary as {EXACT})""", "retail"),
+    "quantity_clusters_optimal": statement(best_clusters("found", "lineitem", "l_quantity", 4), f"""
+        select l_orderkey, l_linenumber, 3 - label as label from lineitem join found on v = cast(l_quantity as {EXACT})"""),
+    "default_clusters_gap": statement(_BEST_MONEY, f"""
+        select round(sum(part) / any_value(whole), 6) as least_within, true as default_near from (
+            select var_pop(monetary) * count(*) as part,
+                   (select var_pop(monetary) * count(*) from customers) as whole
+            from customers join found on v = cast(monetary as {EXACT}) group by label)""", "retail"),
+}
+
 # What is certain about trained models
 
 ORACLES |= {

@@ -390,6 +390,30 @@ for _metric in ("recency", "frequency", "monetary"):
     QUERIES[f"{_metric}_clusters_ml"] = _metric_clusters(_metric, "ml")
 
 
+@query
+def monetary_clusters_optimal(spark, sf_dir):
+    """Customers in the four clusters of money with the least squared error there is."""
+    df = tf.rfm_metrics(retail(spark, sf_dir, *PREDICTED)).select("customerid", "monetary")
+    return tf.cluster_1d(df, "monetary", 4, "monetary_cluster", method="optimal")
+
+
+@query
+def quantity_clusters_optimal(spark, sf_dir):
+    """Lines by quantity: few values, each in very many rows."""
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return tf.cluster_1d(df, "l_quantity", 4, "label", method="optimal", ascending=False).drop("l_quantity")
+
+
+@query
+def default_clusters_gap(spark, sf_dir):
+    """The deviation that the default, three starts of Lloyd's steps, leaves beside the least there is."""
+    df = materialise(tf.rfm_metrics(retail(spark, sf_dir, *PREDICTED)).select("customerid", "monetary"))
+    default = _spread(tf.cluster_1d(df, "monetary", 4, "label"), "monetary", "label").head()[0]
+    least = _spread(tf.cluster_1d(df, "monetary", 4, "label", method="optimal"), "monetary", "label")
+    near = F.lit(default).between((1 - 1e-9) * F.col("left_within"), 1.1 * F.col("left_within"))
+    return least.select(F.round("left_within", 6).alias("least_within"), near.alias("default_near"))
+
+
 @query
 def order_cluster(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(

@@ -109,7 +109,7 @@ def test_fewer_values_than_clusters_are_numbered_densely(spark):
 
 
 @pytest.mark.parametrize("values", [[1, 2, 3], []])
-@pytest.mark.parametrize("method", ["lloyd", "ml"])
+@pytest.mark.parametrize("method", ["lloyd", "optimal", "ml"])
 def test_too_few_rows(spark, values, method):
     with pytest.raises(InvalidDataset, match="too few"):
         cluster_1d(column(spark, values), "value", 4, "cluster", method=method)
