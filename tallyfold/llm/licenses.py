@@ -4,7 +4,9 @@ All k-grams of a text's words are joined with those of the license templates. A
 k-gram at word i of the text and word j of a template votes for the diagonal i - j: an
 unbroken copy puts all votes on one diagonal, inserted or missing words move the later ones
 to a neighbour. Votes are counted by diagonal, runs of neighbouring diagonals are merged, and
-the span they name is compared with the template word by word.
+the span they name is aligned with the template word by word, in order. Of spans that overlap
+the one aligned best stays, so that a license which differs from another by a word is not
+taken for it.
 
 Short phrases are matched as they stand.
 """
@@ -37,6 +39,10 @@ TEMPLATES = (
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
@@ -46,8 +52,10 @@ TEMPLATES = (
 K = 3
 #: Diagonals at most so far apart belong to one run.
 GAP = 2
-#: Share of a template's words that a span has to have in their order.
+#: Share of a template's words that a span has to have in their order, each word in between taken off.
 MIN_SCORE = 0.8
+#: Words of a text that are one block when overlapping spans are brought together.
+BLOCK = 64
 
 
 def _templates(spark: SparkSession, templates, k: int) -> DataFrame:
@@ -104,10 +112,53 @@ def license_spans(docs: DataFrame, templates=TEMPLATES, k: int = K, gap: int = G
     )
 
 
+def aligned_words(own: str, words: str, longest: int) -> Column:
+    """The most words of the array ``words`` that a part of the array ``own`` has in order, less its other words.
+
+    A word of ``words`` may be missing, and costs what it would have counted; a word of ``own``
+    between two aligned ones costs one. ``longest`` bounds the length of ``words``. The state
+    after a word of ``own`` holds, for each place in ``words``, the best that ends there or
+    before, and at its end the best so far.
+    """
+    shifts = F.array(*(F.lit(1 << b) for b in range(longest.bit_length())))
+    size = F.size(words) + 1
+    nothing = F.array_repeat(F.lit(0), size)
+
+    def upto(values: Column) -> Column:
+        """Running maximum: over twice as many places a step."""
+        return F.aggregate(shifts, values, lambda v, by: F.slice(F.zip_with(v, F.concat(F.slice(nothing, 1, by), v), lambda a, b: F.greatest(a, b)), 1, size))
+
+    def after(row: Column, word: Column) -> Column:
+        before = F.zip_with(words, F.concat(F.array(F.lit(0)), row), lambda t, b: F.struct(t.alias("t"), b.alias("b")))
+        met = F.zip_with(
+            before, row,
+            lambda p, here: F.when(p["t"].isNull(), here).when(p["t"] == word, p["b"] + 1).otherwise(F.greatest(here - 1, F.lit(0))),
+        )
+        return upto(F.slice(met, 1, size))
+
+    return F.aggregate(own, nothing, after, lambda row: F.element_at(row, -1))
+
+
+def best_of_overlapping(spans: DataFrame) -> DataFrame:
+    """``spans`` (row, template, label, start, end, size, score) that no better one overlaps.
+
+    Better is the higher score, then the longer template, then the template named first.
+    Spans meet by blocks of their row, so no row's spans are compared all with all.
+    """
+    blocks = F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("end") - 1) / BLOCK))
+    placed = spans.withColumn("rank", F.struct("score", "size", (-F.col("template")).alias("template")))
+    placed = placed.withColumn("block", F.explode(blocks))
+    other = placed.select("row", "block", F.col("start").alias("other_start"), F.col("end").alias("other_end"), F.col("rank").alias("other_rank"))
+    beaten = (F.col("start") < F.col("other_end")) & (F.col("other_start") < F.col("end")) & (F.col("rank") < F.col("other_rank"))
+    lost = placed.join(other, ["row", "block"]).where(beaten).select("row", "template", "start", "end").distinct()
+    return spans.join(lost, ["row", "template", "start", "end"], "left_anti")
+
+
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, k: int = K, gap: int = GAP, min_score: float = MIN_SCORE) -> DataFrame:
     """One row for every row of ``docs`` (doc_id, text); other columns are not read.
 
-    n_words; ``phrases``, with their places; ``spans``, the verified template spans, or null;
+    n_words; ``phrases``, with their places; ``spans``, the verified template spans that no
+    better one overlaps, or null;
     ``score``, 1 with a phrase and else the best span's, 0 without either.
     A null text is an empty one. Rows are told apart by their place, so ids may be null or repeat.
     """
@@ -128,17 +179,15 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, k: int
     )
     voting = facts.where("words is not null").select("row", "words")
     spans = license_spans(voting.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))), templates, k, gap, min_score)
-    # verified on the words themselves: the template's words in k-grams that the span has
-    wording = _templates(spark, templates, k).groupBy("template", "size").agg(
-        F.collect_list(F.struct("place", F.array_join(F.slice("words", F.col("place") + 1, k), " ").alias("gram"))).alias("grams")
-    )
-    compared = voting.join(spans, "row").join(F.broadcast(wording), "template")
-    own = F.slice("words", F.col("start") + 1, F.col("end") - F.col("start"))
-    compared = compared.select("row", "label", "start", "end", "size", "grams", F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" ")).alias("own"))
-    there = F.filter("grams", lambda g: F.contains(F.col("own"), F.concat(F.lit(" "), g["gram"], F.lit(" "))))
-    covered = F.size(F.array_distinct(F.flatten(F.transform(there, lambda g: F.sequence(g["place"], g["place"] + (k - 1))))))
-    compared = compared.withColumn("score", covered / F.col("size"))
-    verified = compared.where(F.col("score") >= min_score).groupBy("row").agg(
+    # verified on the words themselves, in their order
+    wording = _templates(spark, templates, k).where("place = 0").select("template", "size", "words")
+    longest = max((len(t.words) for t in wording.collect()), default=1)  # as many rows as ``templates``
+    own = F.slice("own", F.col("start") + 1, F.col("end") - F.col("start"))
+    compared = voting.withColumnRenamed("words", "own").join(spans, "row").withColumn("own", own)
+    compared = compared.join(F.broadcast(wording), "template")
+    compared = compared.withColumn("score", aligned_words("own", "words", longest) / F.col("size"))
+    likely = scratch.write(compared.where(F.col("score") >= min_score).select("row", "template", "label", "start", "end", "size", "score"))
+    verified = best_of_overlapping(likely).groupBy("row").agg(
         F.sort_array(F.collect_list(F.struct("label", "start", "end", "score"))).alias("spans")
     )
     found = facts.select("row", "doc_id", "n_words", "phrases").join(verified, "row", "left")

@@ -166,7 +166,7 @@ _TEMPLATE_ROWS = ", ".join(
 _PHRASE_ROWS = ", ".join(f"('{phrase}', '{label}')" for phrase, label in licenses.PHRASES)
 
 ORACLES["op6_licenses"] = f"""
-WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
 p AS (SELECT string_split(phrase, ' ') AS p, label FROM (VALUES {_PHRASE_ROWS}) AS t(phrase, label)),
 spots AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM d),
 base AS (
@@ -191,13 +191,27 @@ voted AS (
   GROUP BY doc_id, template, label, size, run
   HAVING len(list_distinct(flatten(list([place, place + 1, place + 2])))) >= 0.8::DOUBLE * size),
 spans AS (
-  SELECT doc_id, v.label, run, v.template, v.size, ' ' || array_to_string(w[a + 1:b], ' ') || ' ' AS own
-  FROM voted v JOIN d USING (doc_id)),
+  SELECT doc_id, v.label, v.template, v.size, a, b, d.w[a + 1:b] AS own, t.w
+  FROM voted v JOIN d USING (doc_id) JOIN t USING (template)),
+steps AS (
+  SELECT doc_id, template, a, b, 0 AS i, list_transform(w, lambda x: 0) AS met, list_transform(w, lambda x: 0) AS reached, 0 AS most
+  FROM spans
+  UNION ALL
+  SELECT doc_id, template, a, b, i, met,
+    list_transform(range(1, size + 1), lambda j: list_max(met[1:j])) AS reached, greatest(most, list_max(met))
+  FROM (
+    SELECT doc_id, template, a, b, i + 1 AS i, size, most,
+      list_transform(range(1, size + 1), lambda j: CASE WHEN w[j] = own[i + 1] THEN 1 + CASE WHEN j = 1 THEN 0 ELSE reached[j - 1] END
+        ELSE greatest(reached[j] - 1, 0) END) AS met
+    FROM steps JOIN spans USING (doc_id, template, a, b) WHERE i < len(own))),
 verified AS (
-  SELECT doc_id, s.label, len(list_distinct(flatten(list([place, place + 1, place + 2])))) / s.size::DOUBLE AS score
-  FROM spans s JOIN grams g ON s.template = g.template AND contains(own, ' ' || g.g || ' ')
-  GROUP BY doc_id, s.label, s.template, run, s.size),
-best AS (SELECT doc_id, label, score FROM verified WHERE score >= 0.8::DOUBLE),
+  SELECT doc_id, s.label, s.template, a, b, s.size, max(most) / s.size::DOUBLE AS score
+  FROM steps JOIN spans s USING (doc_id, template, a, b) GROUP BY doc_id, s.label, s.template, a, b, s.size),
+good AS (SELECT * FROM verified WHERE score >= 0.8::DOUBLE),
+best AS (
+  SELECT doc_id, label, score FROM good g WHERE NOT EXISTS (
+    FROM good o WHERE o.doc_id = g.doc_id AND g.a < o.b AND o.a < g.b
+      AND (o.score > g.score OR (o.score = g.score AND (o.size > g.size OR (o.size = g.size AND o.template < g.template)))))),
 labelled AS (
   SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
   FROM (SELECT doc_id, label FROM best UNION ALL SELECT doc_id, unnest(string_split(labels, ',')) FROM base) GROUP BY doc_id)

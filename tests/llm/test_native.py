@@ -97,6 +97,41 @@ def test_licenses(docs):
     assert licenses.scan_licenses(docs([])).count() == 0
 
 
+def test_licenses_that_differ_by_a_word(docs):
+    """The license whose words are there in order, not one that lacks or adds a word."""
+    cc = "This work is licensed under a Creative Commons {} 4.0 International License"
+    texts = [cc.format(kind) for kind in ("Attribution", "Attribution-ShareAlike", "Attribution-NonCommercial", "Attribution-NoDerivatives", "Attribution-NonCommercial-ShareAlike")]
+    gpl = next(t for label, t in licenses.TEMPLATES if label == "gpl")
+    words = gpl.replace("/", " ").split()
+    scattered = " ".join(w + (" foreign" if i % 8 == 7 else "") for i, w in enumerate(words))
+    texts += [gpl, scattered, gpl.replace("General Public", "Lesser General Public"), f"{texts[2]} and {texts[0]}", " ".join(words[14:] + words[:14])]
+    found = {r.doc_id: r for r in licenses.scan_licenses(docs(texts)).collect()}
+    labels = {i: [s["label"] for s in r.spans or []] for i, r in found.items()}
+    assert [labels[i] for i in range(5)] == [["cc-by"], ["cc-by-sa"], ["cc-by-nc"], ["cc-by-nd"], ["cc-by-nc-sa"]]
+    assert labels[5] == ["gpl"] and labels[6] == ["gpl"] and labels[7] == ["lgpl"] and labels[8] == ["cc-by", "cc-by-nc"]
+    assert "gpl" not in labels[9]
+    assert [s["score"] for s in found[5].spans] == [1.0]
+    assert found[6].spans[0]["score"] == pytest.approx(1 - ((len(words) - 1) // 8) / len(words))
+
+
+def test_alignment_against_plain_python(spark):
+    rng = random.Random(4)
+    pairs = [("".join(rng.choices("abcd", k=rng.randint(0, 12))), "".join(rng.choices("abcd", k=rng.randint(1, 9)))) for _ in range(150)]
+
+    def plain(own, words):
+        best, row = 0, [0] * (len(words) + 1)
+        for w in own:
+            new = [0]
+            for j, t in enumerate(words):
+                new.append(max(new[-1], row[j] + 1 if t == w else 0, row[j + 1] - 1))
+            row, best = new, max(best, *new)
+        return best
+
+    df = spark.createDataFrame([(i, list(a), list(b)) for i, (a, b) in enumerate(pairs)], "i int, own array<string>, words array<string>")
+    found = {r.i: r.n for r in df.select("i", licenses.aligned_words("own", "words", 9).alias("n")).collect()}
+    assert found == {i: plain(*pair) for i, pair in enumerate(pairs)}
+
+
 def test_surrogates_keep_format_identity_and_everything_else(docs):
     text = 'Mail A.92@MAIL2.EXAMPLE.COM, a.92@mail2.example.com; +1 (310) 555-4510, 4465758382889437 4465758382889437 token = "1eb9c654e721b4f812088970e66a6345cee33dd0", 2.195.74.112.'
     names = "Mrs. Anna Meyer met Mr Meyer. Г-жа Анна Петрова"
