@@ -3,7 +3,8 @@
 Entities are found by pattern. An entity's canonical form (case, separators and title apart)
 names it: all its mentions get the same surrogate, in the format of each mention. Surrogates
 are made from a keyed digest character by character: digits become digits, letters become
-letters of the same script and case, or Latin ones; names keep their gender's ending. A surrogate that
+letters of the same script and case, or Latin ones; names keep their gender's ending, phone
+numbers their country, card and account numbers get check digits that hold. A surrogate that
 another entity has too, or that is itself an entity of the corpus, is made again with the
 next attempt until all are distinct, and grows when its shape may have no value left.
 
@@ -30,6 +31,9 @@ PATTERNS = (
     ("name", r"(?<!\p{L})(?:Mr|Mrs|Ms|Herr|Frau|Monsieur|Madame|Señor|Señora|Г-н|Г-жа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?(?!\p{L})"),
 )
 
+#: Country codes of telephone numbers; those not named have three digits. None begins another.
+_COUNTRY_CODE = r"^(1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
 #: Titles of women; the other titles are men's.
 _FEMALE = ("Mrs", "Ms", "Frau", "Madame", "Señora", "Г-жа")
 #: Syllables and endings of made-up names, by script and gender.
@@ -66,7 +70,7 @@ def canonical(kind: Column, mention: Column) -> Column:
     digits = F.regexp_replace(mention, r"[^0-9]", "")
     female = F.regexp_extract(mention, r"^(\S+?)\.? ", 1).isin(*_FEMALE)
     person = F.regexp_extract(mention, r"^\S+ (.*)$", 1)
-    code = F.regexp_extract(mention, r"^\+(\d{1,3})(?=[ .-]|\()", 1)
+    code = F.regexp_extract(digits, _COUNTRY_CODE, 1)
     phone = F.concat(F.lit("+"), code, F.lit(" "), F.substr(digits, F.char_length(code) + 1))
     return (
         F.when((kind == "phone") & F.startswith(mention, F.lit("+")), phone)
@@ -129,6 +133,31 @@ def _made_up(script: str, female: bool, stream: Column, surname: bool, attempt:
     return F.concat(F.initcap(F.array_join(parts, "")), F.lit("" if surname and script == "latin" else _ENDINGS[script, female]))
 
 
+def _with_check_digit(digits: Column) -> Column:
+    """Digits and the one that makes every other of them doubled, from the right, add up to tens."""
+    doubled = lambda d: F.when(d > 4, d * 2 - 9).otherwise(d * 2)
+    each = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 0, doubled(c.cast("int"))).otherwise(c.cast("int")))
+    total = F.aggregate(each, F.lit(0), lambda a, d: a + d)
+    return F.concat(digits, ((10 - total % 10) % 10).cast("string"))
+
+
+def _account(country: Column, number: Column) -> Column:
+    """An account number of a country: its two check digits leave 1 when all is divided by 97, letters counting from 10."""
+    turned = F.concat(number, country, F.lit("00"))
+    rest = F.aggregate(
+        F.split(turned, ""),
+        F.lit(0),
+        lambda r, c: F.when(c.between("0", "9"), (r * 10 + F.ascii(c) - 48) % 97).otherwise((r * 100 + F.ascii(c) - 55) % 97).cast("int"),
+    )
+    return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), number)
+
+
+def _cased(value: Column, like: Column) -> Column:
+    """``value`` with capitals where ``like`` has them."""
+    letters = F.zip_with(F.split(value, ""), F.split(like, ""), lambda v, c: F.struct(v.alias("v"), c.alias("c")))
+    return F.array_join(F.transform(letters, lambda p: F.when(p["c"] != F.lower(p["c"]), F.upper(p["v"])).otherwise(F.coalesce(p["v"], F.lit("")))), "")
+
+
 def _person(value: Column, given: Column, surname: Column, attempt: Column) -> Column:
     """A name for ``f Given Surname`` or ``m Surname``; surnames are keyed alone, so they agree between forms."""
     names = F.split(F.substr(value, F.lit(3)), " ")
@@ -166,7 +195,8 @@ def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
         .when(kind == "ip", F.concat_ws(".", *octets))
         .when(kind == "secret", _hex_characters(value, stream))
         .when(kind == "name", _person(value, stream, of_group, attempt))
-        .when(kind == "iban", F.concat(F.substr(value, F.lit(1), F.lit(2)), _characters(F.substr(value, F.lit(3)), stream), more))
+        .when(kind == "iban", _account(F.substr(value, F.lit(1), F.lit(2)), F.concat(_characters(F.substr(value, F.lit(5)), stream), more)))
+        .when(kind == "card", _with_check_digit(F.concat(_characters(F.substr(value, F.lit(2)), stream), more)))
         .when(F.contains(value, F.lit(" ")), F.concat(F.substring_index(value, " ", 1), F.lit(" "), _characters(F.substring_index(value, " ", -1), stream), more))
         .otherwise(F.concat(_characters(value, stream), more))
     )
@@ -186,8 +216,12 @@ def dressed(kind: Column, mention: Column, value: Column) -> Column:
     filled = F.concat(filled, F.substr(marks, F.char_length(F.regexp_replace(mention, other, F.lit(""))) + 1))
     loud = (mention == F.upper(mention)) & (mention != F.lower(mention))
     title = F.regexp_extract(mention, r"^(\S+ )", 1)
+    host = F.regexp_replace(F.substring_index(mention, "@", -1), r"\.[^.]+$", "")
+    local, domain = _cased(F.substring_index(value, "@", 1), F.substring_index(mention, "@", 1)), _cased(F.substring_index(value, "@", -1), host)
+    mixed = (kind == "email") & (mention != F.lower(mention))
     return (
         F.when((kind == "email") & loud, F.upper(value))
+        .when(mixed, F.concat(local, F.lit("@"), domain))
         .when(kind == "name", F.concat(title, F.substr(value, F.lit(3))))
         .when(kind.isin("card", "phone", "ssn", "iban"), filled)
         .otherwise(value)

@@ -154,6 +154,33 @@ def test_surrogates_keep_format_identity_and_everything_else(docs):
     assert surrogates.replace_entities(docs([]), "k").count() == 0
 
 
+def test_surrogates_hold_what_their_kind_promises(docs):
+    """Countries of phone numbers, check digits, capitals; one entity in several spellings has one surrogate."""
+    cards = ["4465 7583 8288 9437", "4465758382889437", "5500-0000-0000-0004", "378282246310005"]
+    accounts = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82WEST12345698765432"]
+    phones = ["+1 310 555 4510", "+13105554510", "+1 (310) 555-4510", "+44 20 7946 0958", "+442079460958", "+420 601 123 456"]
+    emails = ["John.Doe@Example.com", "john.doe@example.com", "JOHN.DOE@EXAMPLE.COM"]
+    mentions = cards + accounts + phones + emails
+    given = docs([(i, f"see {m}, now") for i, m in enumerate(mentions)])
+    found = {r.doc_id: re.fullmatch("see (.*), now", r.text)[1] for r in surrogates.replace_entities(given, "k").collect()}
+    made = {m: found[i] for i, m in enumerate(mentions)}
+    digits = {m: re.sub("[^0-9A-Z]", "", v) for m, v in made.items()}
+    assert all(made[m] != m and len(made[m]) == len(m) for m in cards + accounts + phones)
+    assert all(re.sub("[0-9]", "0", made[m]) == re.sub("[0-9]", "0", m) for m in cards + phones)
+    for m in cards:
+        each = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits[m]))]
+        assert sum(d - 9 if d > 9 else d for d in each) % 10 == 0
+    for m in accounts:
+        turned = digits[m][4:] + digits[m][:4]
+        assert int("".join(str(int(c, 36)) for c in turned)) % 97 == 1 and made[m][:2] == m[:2]
+    assert digits[cards[0]] == digits[cards[1]] and digits[accounts[0]] == digits[accounts[1]]
+    assert digits[phones[0]] == digits[phones[1]] == digits[phones[2]] != digits[phones[3]] == digits[phones[4]]
+    assert digits[phones[0]][0] == "1" and digits[phones[3]][:2] == "44" and digits[phones[5]][:3] == "420"
+    mixed, low, loud = (made[m] for m in emails)
+    assert mixed.lower() == low == loud.lower() and loud == low.upper()
+    assert re.fullmatch(r"[A-Z][a-z]{3}\.[A-Z][a-z]{2}@[A-Z][a-z]{6}\.example", mixed)
+
+
 def test_every_kind_has_a_hint(spark):
     """What has no hint is not looked at: texts of every kind, some without a digit."""
     mentions = ["a@b.cc", "abcdef" * 6, "ABCDEF" * 6, "AKIA" + "B" * 16, "ghp_" + "b" * 36, "sk-" + "c" * 20, "DE89 3704 0044 0532 0130 00",
