@@ -18,7 +18,9 @@ the one with the lowest first cut is taken, then the lowest second.
 
 The driver holds the ranges that may hold a cut and the runs between them. A cut moved by a
 share x of the values costs about x**2, a range of share d hides about d: so near sqrt(n) of
-n distinct values stay in question, not n.
+n distinct values stay in question. Where very different cuts are almost equally good, as in
+heavy tails with many clusters, more do, at worst all: the driver's memory and work, which is
+the square of the ranges, then grow with them, and ``method="lloyd"`` is the one to take.
 """
 
 from __future__ import annotations
