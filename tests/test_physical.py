@@ -104,6 +104,29 @@ def test_cluster_session_needs_a_shared_folder(settings):
         shared_folder(bare)
 
 
+def on_cluster(spark, settings, **others):
+    """The session as one of a cluster would look, whose machines all mount the local folders."""
+    parts = {
+        "conf": SimpleNamespace(get=lambda name, default=None: settings.get(name, default)),
+        "sparkContext": SimpleNamespace(master="spark://host:7077", applicationId="app", defaultParallelism=3),
+        "range": spark.range, "read": spark.read, "_jvm": spark._jvm, "_jsc": spark._jsc,
+    }
+    return SimpleNamespace(**parts | others)
+
+
+@pytest.mark.parametrize("name", ["spark.checkpoint.dir", "spark.sql.warehouse.dir"])
+def test_mounted_folder_is_shared(spark, tmp_path, name):
+    for _ in range(2):
+        assert shared_folder(on_cluster(spark, {name: f"file:{tmp_path}"})) == f"file:{tmp_path}/tallyfold-app"
+    assert not list((tmp_path / "tallyfold-app").iterdir())  # the trial is gone
+
+
+def test_folder_that_loses_what_executors_write_is_refused(spark, tmp_path):
+    lost = on_cluster(spark, {"spark.checkpoint.dir": f"file:{tmp_path}"}, range=lambda *_: spark.range(0, 1, 1, 1))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(lost)
+
+
 def test_scratch_tables_lie_in_the_configured_folder(spark):
     df = tf.materialise(spark.range(5))
     assert spark.conf.get("spark.checkpoint.dir") in df.inputFiles()[0]
