@@ -22,16 +22,20 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose encoding a task remembers, and arcs that it keeps.
+#: Words whose encoding a worker remembers, and arcs that it keeps. Workers outlive their tasks, so a
+#: word is kept as the bytes of its ids: what they hold takes memory from the stages that follow.
 WORDS_KEPT = 1 << 19
 ARCS_KEPT = 1 << 20
 #: Words encoded at a time, so that memory does not grow with a text's tokens.
@@ -127,7 +131,11 @@ class WordTokenizer:
         self.word = regex.compile(split["pattern"]["Regex"])
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.symbols = _byte_symbols()
-        self.kept: dict[str, tuple[int, str, str]] = {}
+        #: labels and ids in writing, of special tokens too; the type that holds an id
+        self.named = {i: t for t, i in self.special.items()} | self.automaton.labels
+        self.numbers = {i: str(i) for i in self.named}
+        self.kind = "H" if max(self.named) < 1 << 16 else "I"
+        self.kept: dict[str, bytes] = {}
 
     def words(self, text: str) -> Iterator[str]:
         """Pre-split words; special tokens stand for themselves."""
@@ -142,19 +150,16 @@ class WordTokenizer:
             return [self.special[word]]
         return self.automaton.path("".join([self.symbols[b] for b in word.encode()]))
 
-    def entry(self, word: str) -> tuple[int, str, str]:
-        """Number of tokens, their ids and their labels, each joined by spaces."""
-        ids = self.ids(word)
-        found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+    def entry(self, word: str) -> bytes:
+        """The ids of a word's tokens."""
+        found = array(self.kind, self.ids(word)).tobytes()
         if len(self.kept) < WORDS_KEPT:
             self.kept[word] = found
         return found
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, as a tokenizer without a decoder gives them: joined by spaces."""
-        named = self.automaton.labels
-        specials = {i: t for t, i in self.special.items()}
-        return " ".join([named[i] if i in named else specials[i] for i in ids])
+        return " ".join(map(self.named.__getitem__, ids))
 
     def text_of(self, ids: list[int]) -> str:
         """Lower-case words again, a space after each: the round trip of the words."""
@@ -166,16 +171,17 @@ class WordTokenizer:
             for w in labels.split(self.automaton.suffix)[:-1]
         )
 
+    def id_chunks(self, text: str) -> Iterator[np.ndarray]:
+        """The ids of ``CHUNK`` words at a time."""
+        known, entry, words = self.kept.get, self.entry, self.words(text)
+        while found := [known(word) or entry(word) for word in islice(words, CHUNK)]:
+            yield np.frombuffer(b"".join(found), self.kind)
+
     def chunks(self, text: str) -> Iterator[list[tuple[int, str, str]]]:
-        found: list[tuple[int, str, str]] = []
-        known, entry = self.kept.get, self.entry
-        for word in self.words(text):
-            found.append(known(word) or entry(word))
-            if len(found) == CHUNK:
-                yield found
-                found = []
-        if found:
-            yield found
+        """For each of these, number of tokens, their ids and their labels, each joined by spaces."""
+        for found in self.id_chunks(text):
+            ids = found.tolist()
+            yield [(len(ids), " ".join(map(self.numbers.__getitem__, ids)), self.decode(ids))]
 
 
 def _lower(text: str) -> str:
@@ -237,7 +243,7 @@ def encode(docs: DataFrame, file: str, keep: tuple[str, ...] = (), doc_id: str =
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 found = [
-                    [int(i) for chunk in coder.chunks(t.as_py()) for _, numbers, _ in chunk for i in numbers.split()]
+                    np.concatenate([np.empty(0, np.int32), *coder.id_chunks(t.as_py())], dtype=np.int32, casting="unsafe")
                     for t in part.column(len(own))
                 ]
                 yield pa.RecordBatch.from_arrays(
@@ -245,7 +251,7 @@ def encode(docs: DataFrame, file: str, keep: tuple[str, ...] = (), doc_id: str =
                         *part.columns[:-1],
                         pa.array(found, pa.list_(pa.int32())),
                         pa.array([len(i) for i in found], pa.int64()),
-                        pa.array([coder.text_of(i) for i in found], pa.string()),
+                        pa.array([coder.text_of(i.tolist()) for i in found], pa.string()),
                     ],
                     names=[*(f"c{i}" for i in range(len(own))), "ids", "n_tokens", "decoded"],
                 )

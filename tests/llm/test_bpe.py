@@ -69,3 +69,14 @@ def test_every_row_gets_its_digests(docs, library):
         assert r.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
     assert bpe.token_digests(docs([]), FILE).count() == 0
     assert bpe.encode(docs([(None, None)]), FILE, keep=("lang",)).first() == (None, "en", [], 0, "")
+
+
+def test_a_worker_keeps_words_in_few_bytes(library):
+    import sys
+
+    coder = bpe.WordTokenizer(FILE)
+    text = " ".join("".join(random.Random(i).choices("aehinorstl", k=9)) for i in range(2000))
+    ids = [i for found in coder.id_chunks(text) for i in found.tolist()]
+    assert ids == library.encode(text, add_special_tokens=False).ids
+    held = [sum(map(sys.getsizeof, v)) + sys.getsizeof(v) if isinstance(v, tuple) else sys.getsizeof(v) for v in coder.kept.values()]
+    assert len(held) == 2000 and max(held) < 64  # a tuple alone is as large
