@@ -48,6 +48,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     hits = decontaminate.benchmark_hits(docs, benchmark, window=13)
     own, digest = free("bad_id", docs.columns), free("bad_digest", docs.columns)
     bad = hits.where(decontaminate.is_contaminated()).select(F.col("doc_id").alias(own), F.col("digest").alias(digest)).distinct()
+    # written, so that Spark knows its size: few of them reach the documents without a shuffle of the texts
+    bad = Scratch(spark).write(bad, docs.count())
     same = docs.doc_id.eqNullSafe(F.col(own)) & (F.xxhash64(docs.text) == F.col(digest))
     return docs.join(bad, same, "left_anti")
 

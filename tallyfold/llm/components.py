@@ -27,14 +27,15 @@ def _small_star(links: DataFrame) -> DataFrame:
     return hung.unionByName(least.select("a", F.col("m").alias("b")))
 
 
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, rows: int | None = None) -> DataFrame:
     """(vertex, root) for every vertex with a link; root is the smallest vertex it reaches.
 
     Alternating large and small stars. Rounds grow with the logarithm of the vertices, each
     reads the written links of the one before, and no round holds more links than the first.
     A hub's minimum is combined before the shuffle; its links are split by Spark's skew join.
+    ``rows``, if given, is about the number of links.
     """
-    links = scratch.write(links.where("a <> b").select("a", "b").distinct())
+    links = scratch.write(links.where("a <> b").select("a", "b").distinct(), rows)
     seen = None
     while True:
         state = links.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
@@ -42,6 +43,6 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return links.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
         seen = state
         stars = _small_star(_large_star(links)).where("a <> b").distinct()
-        after = scratch.write(stars)
+        after = scratch.write(stars, state[0])
         scratch.drop(links)
         links = after

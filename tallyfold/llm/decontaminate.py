@@ -70,7 +70,9 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     first pass.
     """
     scratch = Scratch(docs.sparkSession)
-    tokens = scratch.write(_tokens(_windows(benchmark, window), width))
+    # a window for each word, and a few shingles for each window: about one for each character
+    characters = benchmark.agg(F.sum(F.char_length("text"))).first()[0]
+    tokens = scratch.write(_tokens(_windows(benchmark, window), width), characters or 0)
     wanted = tokens.select("size", "shingle").distinct()
     sent = wanted.limit(max_sent + 1).collect()
     few = len(sent) <= max_sent
@@ -103,14 +105,14 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     prefix = rarity.groupBy("window").agg(
         F.min(F.struct("n_corpus", "offset", "size", "shingle", "length", "items")).alias("p"), F.count("n_corpus").alias("seen"), F.count("*").alias("all")
     ).where("seen = all")
-    prefix = scratch.write(prefix.select("window", "p.offset", "p.size", "p.shingle", "p.length", "p.items"))
+    prefix = scratch.write(prefix.select("window", "p.offset", "p.size", "p.shingle", "p.length", "p.items"), tokens.count())
 
     start = F.col("at") - F.col("offset")
     bounded = matches.join(prefix, ["size", "shingle"]).where((start >= 0) & (start + F.col("length") <= F.col("n_words")))
     candidates = bounded.groupBy("row").agg(F.collect_set(F.struct(start.alias("start"), "length", "window", "items")).alias("candidates"))
     compared = facts.where("words is not null").select("row", "words").join(candidates, "row")
     same = F.filter("candidates", lambda c: F.array_join(F.slice("words", c["start"] + 1, c["length"]), " ") == c["window"])
-    verified = scratch.write(compared.select("row", same.alias("hits")))
+    verified = scratch.write(compared.select("row", same.alias("hits")), facts.count())
 
     none = F.array().cast(verified.schema["hits"].dataType)
     found = facts.select("row", "doc_id", "digest", "n_words").join(verified, "row", "left").withColumn("hits", F.coalesce("hits", none))

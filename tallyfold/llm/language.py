@@ -169,7 +169,7 @@ def fit(labelled: DataFrame, max_trained: int = MAX_TRAINED, bits: int = BITS) -
 
     # what a language can teach: its distinct texts, however many copies there are of one
     distinct = rows.select("lang", digest.alias("digest"), "text").mapInArrow(lettered, "lang string, digest long").distinct()
-    keyed = scratch.write(distinct)
+    keyed = scratch.write(distinct, n)
     sizes = {r.lang: r["count"] for r in keyed.groupBy("lang").count().collect()}
     languages = tuple(sorted(sizes))
     if not languages:

@@ -176,12 +176,12 @@ def near_links(prints: DataFrame, distance: int, scratch: Scratch, cell_block: i
 def duplicate_groups(prints: DataFrame, distance: int, scratch: Scratch, doc_id: str = "doc_id") -> DataFrame:
     """(fp, root, component_id, first) for each distinct fingerprint of ``prints`` (doc_id, fp).
 
-    ``root`` names the group, ``component_id`` is its smallest id (ids that are null count
+    ``prints`` is a written table, whose rows are counted. ``root`` names the group, ``component_id`` is its smallest id (ids that are null count
     last) and ``first`` the pair (fp, id) of the one row that stands for the group.
     """
     one = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "fp"))
-    distinct = scratch.write(prints.groupBy("fp").agg(one.alias("first")))
-    linked = components(near_links(distinct.select("fp"), distance, scratch), scratch)
+    distinct = scratch.write(prints.groupBy("fp").agg(one.alias("first")), prints.count())
+    linked = components(near_links(distinct.select("fp"), distance, scratch), scratch, distinct.count())
     rooted = distinct.join(linked, distinct.fp == linked.vertex, "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "first"
     )
@@ -217,8 +217,10 @@ def keep_one(docs: DataFrame, width: int = 4, distance: int = 4, doc_id: str = "
 def _kept(docs: DataFrame, width: int, distance: int, doc_id: str, text: str) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     prints = with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width).drop("text")
-    groups = duplicate_groups(scratch.write(prints), distance, scratch)
-    first = scratch.write(groups.where(F.col("fp") == F.col("root")).select(F.col("first.id").alias("__id"), F.col("first.fp").alias("__fp")))
+    prints = scratch.write(prints)
+    groups = duplicate_groups(prints, distance, scratch)
+    first = groups.where(F.col("fp") == F.col("root")).select(F.col("first.id").alias("__id"), F.col("first.fp").alias("__fp"))
+    first = scratch.write(first, prints.count())
     marked = with_fingerprints(docs, width, text, "__own")
     kept = marked.join(first, (F.col(doc_id).eqNullSafe(F.col("__id"))) & (F.col("__own") == F.col("__fp")), "left_semi")
     return kept.dropDuplicates([doc_id, "__own"]).drop("__own")

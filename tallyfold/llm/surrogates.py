@@ -234,16 +234,17 @@ def entity_map(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     Also no surrogate is a value of its kind. Who came by a surrogate with fewer attempts, then
     the smaller value, keeps it; the others try again, few of them more than once.
     """
-    state = scratch.write(with_surrogates(entities.withColumn("attempt", F.lit(0)), key))
+    n = entities.count()
+    state = scratch.write(with_surrogates(entities.withColumn("attempt", F.lit(0)), key), n)
     known = entities.select("kind", F.col("value").alias("surrogate"))
     while True:
         holders = state.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "value")).alias("holder"))
         holders = holders.join(known, ["kind", "surrogate"], "left_anti").select("kind", F.col("holder.value").alias("value"))
-        again = scratch.write(state.join(holders, ["kind", "value"], "left_anti").select("kind", "value", (F.col("attempt") + 1).alias("attempt")))
+        again = scratch.write(state.join(holders, ["kind", "value"], "left_anti").select("kind", "value", (F.col("attempt") + 1).alias("attempt")), n)
         if again.isEmpty():
             return state
         settled = state.join(again.select("kind", "value"), ["kind", "value"], "left_anti").unionByName(with_surrogates(again, key))
-        after = scratch.write(settled)
+        after = scratch.write(settled, n)
         scratch.drop(state)
         state = after
 
@@ -273,7 +274,7 @@ def _replaced(docs: DataFrame, key: str, doc_id: str, text: str) -> DataFrame:
     mentions = rows.select("__digest", F.posexplode(F.regexp_extract_all(text, F.lit(MENTION), 0)).alias("__i", "mention"))
     mentions = mentions.withColumn("kind", kind_of(F.col("mention")))
     mentions = scratch.write(mentions.withColumn("value", canonical(F.col("kind"), F.col("mention"))))
-    entities = scratch.write(mentions.select("kind", "value").where("kind is not null").distinct())
+    entities = scratch.write(mentions.select("kind", "value").where("kind is not null").distinct(), mentions.count())
     known = entity_map(entities, key, scratch)
     worn = mentions.join(known, ["kind", "value"], "left").select(
         "__digest", "__i", F.coalesce(dressed(F.col("kind"), F.col("mention"), F.col("surrogate")), "mention").alias("worn")
