@@ -116,7 +116,7 @@ _SPACE = " \t\r\n"
 class JsonRecords:
     """The records of a range of a file that holds one array of objects."""
 
-    def __init__(self, start: Start):
+    def __init__(self, start: Start, whole: bool = True):
         self.start, self.offset = start, start.offset
         self.inside, self.depth = start.state
         self.open: list[str] | None = None  # the record that is begun
@@ -192,6 +192,11 @@ class JsonRecords:
 
 #: A line that begins and ends outside quotes.
 _CSV_PLAIN = r'^(?:[^",]*|"(?:[^"]|"")*")(?:,(?:[^",]*|"(?:[^"]|"")*"))*\r?$'
+#: What ``ends_inside`` says of a line, told of many at once: from outside quotes to outside, and from inside.
+_CSV_CLOSED = r'"(?:[^",][^,]*)?'
+_CSV_FIELDS = rf'(?:,(?:[^",][^,]*|"(?:[^"]|"")*{_CSV_CLOSED})?)*$'
+_CSV_STAYS = rf'^(?:[^",][^,]*|"(?:[^"]|"")*{_CSV_CLOSED})?{_CSV_FIELDS}'
+_CSV_LEAVES = rf'^(?:[^"]|"")*{_CSV_CLOSED}{_CSV_FIELDS}'
 
 
 def ends_inside(line: str, inside: int) -> int:
@@ -216,6 +221,33 @@ def ends_inside(line: str, inside: int) -> int:
         inside, at = 0, comma + 1
 
 
+def _csv_states(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(known, free): each line ends in the state known ^ (free & s) if the first begins in s.
+
+    A line without quotes changes nothing. Another one leads both states to one, after which
+    nothing is free, or has them change places.
+    """
+    quoted = pc.match_substring(values, '"')
+    lines = values.filter(quoted).cast(pa.binary())  # text takes several times as long
+    outside, inside = (~pc.match_substring_regex(lines, p).to_numpy(zero_copy_only=False) for p in (_CSV_STAYS, _CSV_LEAVES))
+    swaps = np.concatenate([[0], np.cumsum(outside & ~inside)])
+    last = np.maximum.accumulate(np.concatenate([[0], np.where(outside == inside, np.arange(1, len(lines) + 1), 0)]))
+    led = np.concatenate([[False], outside])[last]
+    known, free = led ^ (swaps - swaps[last]) & 1, (last == 0).astype(np.int64)
+    at = np.cumsum(quoted.to_numpy(zero_copy_only=False))  # quoted lines so far
+    return known[at], free[at]
+
+
+def _csv_texts(texts: pa.Array) -> pa.Array:
+    """Records without the carriage return that their line ended with, and without empty ones."""
+    if pc.any(pc.ends_with(texts, "\r\r")).as_py():
+        plain = pc.and_not(pc.match_substring_regex(texts, _CSV_PLAIN), pc.match_substring(texts, "\n"))
+        texts = pc.if_else(plain, pc.utf8_rtrim(texts, "\r"), pc.replace_substring_regex(texts, "\r$", ""))
+    else:
+        texts = pc.utf8_rtrim(texts, "\r")
+    return texts.filter(pc.not_equal(pc.utf8_trim_whitespace(texts), ""))
+
+
 class CsvEffect:
     """What a range does to (inside a quoted field), and the header if it holds one."""
 
@@ -235,16 +267,9 @@ class CsvEffect:
                 if not inside and "".join(self.lines).strip():
                     self.head, self.lines = "\n".join(self.lines).strip("\r\n"), None
                     break
-        quoted = np.flatnonzero(pc.match_substring(values, '"').to_numpy(zero_copy_only=False))
-        if not len(quoted):
-            return
-        plain = pc.match_substring_regex(values, _CSV_PLAIN).to_numpy(zero_copy_only=False)
-        for i in quoted:
-            if self.ends == [0, 0] and plain[i]:
-                continue
-            line = values[int(i)].as_py()
-            steps = {s: ends_inside(line, s) for s in set(self.ends)}
-            self.ends = [steps[s] for s in self.ends]
+        if len(values):
+            known, free = _csv_states(values)
+            self.ends = [int(known[-1] ^ free[-1] & s) for s in self.ends]
 
     def effect(self) -> list[int]:
         return self.ends
@@ -260,39 +285,53 @@ class CsvEffect:
 
 
 class CsvRecords:
-    """The records of a range, without the file's header and without empty lines."""
+    """The records of a range, without the file's header and without empty lines.
+
+    Those of a batch of lines leave together. Without ``whole``, only the parts of records that go over an edge do.
+    """
 
-    def __init__(self, start: Start):
+    def __init__(self, start: Start, whole: bool = True):
         (self.inside,) = start.state
         self.open: list[str] | None = [] if self.inside else None
         self.begun_here = not self.inside
         self.header = start.offset == 0
+        self.whole = whole
 
     def feed(self, values: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-        plain = pc.match_substring_regex(values, _CSV_PLAIN).to_numpy(zero_copy_only=False)
-        odd_ones, i = np.flatnonzero(~plain), 0
-        while i < len(values):
-            if self.open is None and not self.header:
-                after = odd_ones[np.searchsorted(odd_ones, i) :]
-                upto = int(after[0]) if len(after) else len(values)
-                if upto > i:
-                    lines = pc.utf8_rtrim(values.slice(i, upto - i), "\r")
-                    yield _WHOLE, lines.filter(pc.not_equal(pc.utf8_trim_whitespace(lines), ""))
-                    i = upto
-                    continue
-            line = values[i].as_py()
+        if not len(values):
+            return
+        values.validate(full=True)  # text that is not UTF-8 fails
+        known, free = _csv_states(values)
+        inside = known ^ free & self.inside
+        self.inside = int(inside[-1])
+        ends = np.flatnonzero(inside == 0) + 1
+        if len(ends):
+            yield from self._ended(values, ends)
+        rest = values.slice(int(ends[-1]) if len(ends) else 0)
+        if len(rest):
             if self.open is None:
                 self.open, self.begun_here = [], True
-            self.open.append(line)
-            self.inside = ends_inside(line, self.inside)
-            if not self.inside:
-                text = "\n".join(self.open).removesuffix("\r")
-                if self.header and text.strip():
-                    self.header = False
-                elif text.strip() or not self.begun_here:
-                    yield (_WHOLE if self.begun_here else _HEAD), pa.array([text])
-                self.open = None
-            i += 1
+            self.open.append("\n".join(rest.to_pylist()))
+
+    def _ended(self, values: pa.Array, ends: np.ndarray) -> Iterator[tuple[int, pa.Array]]:
+        """The records that end before the lines ``ends``; of records begun elsewhere alone unless ``whole``."""
+        first, self.open = self.open, None
+        if not self.whole:
+            if self.begun_here:
+                return
+            ends = ends[:1]
+        offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+        texts = pc.binary_join(pa.ListArray.from_arrays(offsets, values), pa.scalar("\n", values.type))
+        if first is not None:
+            text = pa.array(["\n".join([*first, texts[0].as_py()])], texts.type)
+            if self.begun_here:
+                texts = pa.concat_arrays([text, texts[1:]])
+            else:
+                yield _HEAD, pc.replace_substring_regex(text, "\r$", "")
+                texts, self.begun_here = texts[1:], True
+        while self.header and len(texts):
+            self.header, texts = not texts[0].as_py().strip(), texts[1:]
+        yield _WHOLE, _csv_texts(texts)
 
     def close(self) -> Iterator[tuple[int, pa.Array]]:
         if self.open is not None:
@@ -383,13 +422,11 @@ class Scan:
         return none.unionByName(out)
 
     def _records(self, starts: dict[tuple[int, int], Start]) -> DataFrame:
-        whole, further = self._cut(starts, list(starts.values()))
-        whole = whole.where(F.col("kind") == _WHOLE).select("text", *further)
+        whole, further = self._cut(starts, list(starts.values()), whole=True)
         edges = [s for s in starts.values() if s.offset and self.format.open_state(s.state)]
         if not edges:
             return whole
-        parts, _ = self._cut(starts, edges)
-        parts = parts.where(F.col("kind") != _WHOLE)
+        parts, _ = self._cut(starts, edges, whole=False)
         # At most two parts for each range; a record's own parts are put together in one task.
         number = F.expr("count_if(kind = 2) OVER (PARTITION BY file ORDER BY block, kind)")
         numbered = parts.withColumn("number", number)
@@ -398,12 +435,12 @@ class Scan:
         joined = numbered.groupBy("file", "number").agg(F.array_join(F.transform(cells, lambda c: c["text"]), "").alias("text"), *rest)
         return whole.unionByName(joined.select("text", *further))
 
-    def _cut(self, starts: dict[tuple[int, int], Start], some: list[Start]) -> tuple[DataFrame, list[str]]:
-        """The files of ``some`` ranges cut into records and parts of records."""
+    def _cut(self, starts: dict[tuple[int, int], Start], some: list[Start], whole: bool) -> tuple[DataFrame, list[str]]:
+        """The files of ``some`` ranges cut into records, or of others into the parts that lie in one range."""
         files = list(dict.fromkeys(s.path for s in some))
         lines, further = _read(self.ranged, self.path, self.format.delimiter, None if len(files) == len(self.paths) else files)
         reader = self.format.records
-        names = ["file", "block", "kind", "text", *further]
+        names = ([] if whole else ["file", "block", "kind"]) + ["text", *further]
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now = None
@@ -411,22 +448,24 @@ class Scan:
             def rows(found, key, extra):
                 for kind, texts in found:
                     n = len(texts)
-                    keys = [pa.array(np.full(n, k)) for k in key]
+                    if not n or whole != (kind == _WHOLE):
+                        continue
+                    keys = [] if whole else [*(pa.array(np.full(n, k)) for k in key), pa.array(np.full(n, kind, np.int32))]
                     more = [pa.array([e.as_py()] * n, e.type) for e in extra]
-                    yield pa.RecordBatch.from_arrays([*keys, pa.array(np.full(n, kind, np.int32)), texts.cast(pa.string()), *more], names=names)
+                    yield pa.RecordBatch.from_arrays([*keys, texts.cast(pa.string()), *more], names=names)
 
             for batch in batches:
                 for key, values, extra in _slices(batch):
                     if now is None or now[1] != key:
                         if now is not None:
                             yield from rows(now[0].close(), *now[1:])
-                        now = (reader(starts[key]), key, extra)
+                        now = (reader(starts[key], whole), key, extra)
                     yield from rows(now[0].feed(values), key, extra)
             if now is not None:
                 yield from rows(now[0].close(), *now[1:])
 
         types = {f.name: f.dataType.simpleString() for f in lines.schema}
-        schema = ", ".join(["file long, block long, kind int, text string", *(f"`{c}` {types[c]}" for c in further)])
+        schema = ", ".join([*([] if whole else ["file long, block long, kind int"]), "text string", *(f"`{c}` {types[c]}" for c in further)])
         return lines.mapInArrow(cut, schema), further
 
 

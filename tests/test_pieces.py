@@ -5,6 +5,7 @@ import io
 import json
 import random
 
+import pyarrow as pa
 import pytest
 
 from tallyfold import read_transactions
@@ -229,3 +230,69 @@ def test_ends_inside_follows_each_character(inside):
             elif c == ",":
                 state = "start"
         assert pieces.ends_inside(line, inside) == (state == "quoted"), line
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_states_of_many_lines_follow_each_line(seed):
+    rnd = random.Random(seed)
+    for _ in range(300):
+        lines = ["".join(rnd.choice('ab",é\r') for _ in range(rnd.randint(0, 7))) for _ in range(rnd.randint(1, 12))]
+        effect, ends = pieces.CsvEffect(False), [0, 1]
+        cut = rnd.randint(0, len(lines))
+        for part in (lines[:cut], lines[cut:]):
+            effect.feed(pa.array(part, pa.string()))
+        for line in lines:
+            ends = [pieces.ends_inside(line, s) for s in ends]
+        assert effect.effect() == ends, lines
+
+
+def cut_records(lines, inside, sizes, whole=True, offset=5):
+    """(kind, text) of the records of one range, its lines fed in batches of ``sizes``, and the number of arrays they left in."""
+    reader = pieces.CsvRecords(pieces.Start(offset, (inside,), 10**6, "p"), *([] if whole else [False]))
+    found, lines = [], list(lines)
+    for n in sizes:
+        found += reader.feed(pa.array(lines[:n], pa.string()))
+        del lines[:n]
+    found += [*reader.feed(pa.array(lines, pa.string())), *reader.close()]
+    return [(kind, text) for kind, texts in found for text in texts.to_pylist()], len(found)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_records_do_not_depend_on_batches(seed):
+    rnd = random.Random(seed)
+    for _ in range(200):
+        lines = ["".join(rnd.choice('ab",\r ') for _ in range(rnd.randint(0, 5))) for _ in range(rnd.randint(0, 12))]
+        inside = rnd.randint(0, 1)
+        own, begun, state = [], [] if inside else None, inside
+        for line in lines:
+            begun, kind = ([] if begun is None else begun), pieces._HEAD if inside and not any(k == pieces._HEAD for k, _ in own) else pieces._WHOLE
+            begun.append(line)
+            state = pieces.ends_inside(line, state)
+            if not state:
+                text = "\n".join(begun).rstrip("\r")
+                own += [(kind, text)] if kind == pieces._HEAD or text.strip() else []
+                begun = None
+        if begun is not None:
+            own.append((pieces._HEAD if inside and not own else pieces._TAIL, "\n".join(begun) + "\n"))
+        sizes = [rnd.randint(0, 4) for _ in range(4)]
+        bare = lambda found: [(k, t if t.endswith("\n") else t.rstrip("\r")) for k, t in found]
+        assert bare(cut_records(lines, inside, sizes)[0]) == own, (lines, inside)
+        assert bare(cut_records(lines, inside, sizes, whole=False)[0]) == [r for r in own if r[0] != pieces._WHOLE], (lines, inside)
+
+
+def test_records_with_line_breaks_leave_in_few_batches():
+    lines = ["1,\"to \"\"a\"\",", "", "b\"", "2,c", '3,"d,e"\r', " "] * 1000
+    found, arrays = cut_records(lines, 0, [2500, 1])
+    assert found == [(pieces._WHOLE, t) for t in ['1,"to ""a"",\n\nb"', "2,c", '3,"d,e"'] * 1000]
+    assert arrays <= 6  # a few for each batch of lines, not some for each record
+
+
+def test_carriage_returns_at_the_end():
+    lines = ["a,b\r\r", '5" x\r\r', '"a', 'b"\r\r', '"u"\r\r', '"v"\r']
+    assert [t for _, t in cut_records(lines, 0, [])[0]] == ["a,b", '5" x\r', '"a\nb"\r', '"u"\r', '"v"']
+
+
+def test_text_that_is_not_utf8_fails(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'a,b\n1,"x\xe9\ny"\n2,\xe9\n')
+    with pytest.raises(Exception, match="(?i)utf-?8"):
+        read_transactions(spark, str(tmp_path / "a.csv"), multiline=True).collect()
